@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import embedding_dedup, packing, sharding, token_counts, toxicity
+from plumbline.llm import embedding_dedup, minhash_forest, packing, sharding, token_counts, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_documents(table(spark, sf_dir, "documents"), 75)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
@@ -55,6 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_forest": op1_minhash_forest,
     "op3_sharding": op3_sharding,
     "op7_packing": op7_packing,
     "op8_embedding_dedup": op8_embedding_dedup,
