@@ -10,6 +10,7 @@ curve over the strongest windows turns byte gains into a score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
