@@ -14,77 +14,89 @@ cluster, and each finds its run by bisection.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.pretokenize import SPECIAL, pieces
+from plumbline.llm.pretokenize import PATTERN, SPECIAL
 from plumbline.llm.storage import written
+from plumbline.llm.token_counts import byte_symbols
 
-CACHED_PIECES = 400_000
+CACHED_CHUNKS = 600_000
 
 
-class PieceIds:
-    """Numbers for pieces, and the token ids of each; forgets all when full."""
+# A space before anything else but white space starts a piece, whatever stands around it.
+_other_space = re.compile(r" (?:\s|\Z)")
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = self.tokenizer.token_to_id(SPECIAL)
+class ChunkIds(dict):
+    """A number for every chunk of text after a space, given when first asked for; forgets all when full.
+
+    tiktoken splits and merges the chunks, with the vocabulary of the tokenizers file; it gives the same ids in a
+    fraction of the time.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        byte = {c: b for b, c in enumerate(byte_symbols())}
+        special = {t["content"]: t["id"] for t in told["added_tokens"]}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in told["model"]["vocab"].items() if t not in special}
+        self.encode = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = special[SPECIAL]
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(1 << 20, np.uint32), np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int64)
-        self.used = 0
-
-    def learn(self, new: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in encoded], np.int64)
-        flat = np.array([i for x in encoded for i in x], np.uint32)
-        at, end = len(self.number), self.used + len(flat)
-        while end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while at + len(new) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.ids[self.used : end] = flat
-        self.starts[at : at + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[at : at + len(new)] = lengths
-        self.number |= zip(new, range(at, at + len(new)), strict=True)
-        self.used = end
+        self.clear()
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def __missing__(self, chunk: str) -> int:
+        at = self[chunk] = len(self.ends) - 1
+        self.ids.extend(self.encode(" " + chunk))
+        self.ends.append(len(self.ids))
+        return at
+
+    def part(self, text: str) -> np.ndarray:
+        if _other_space.search(text):
+            return np.array(self.encode(text), np.uint32)
+        first, *chunks = text.split(" ")
+        begin = np.array(self.encode(first), np.uint32)
+        if not chunks:
+            return begin
+        at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        ends = np.frombuffer(self.ends, np.int64)
+        start = ends[at]
+        length = ends[at + 1] - start
+        stop = np.cumsum(length)
+        return np.concatenate([begin, np.frombuffer(self.ids, np.uint32)[np.repeat(start - (stop - length), length) + np.arange(stop[-1])]])
 
     def of(self, text: str) -> np.ndarray:
         """The ids of a text, as the tokenizer gives them without added special tokens."""
+        if len(self) >= CACHED_CHUNKS:
+            self.forget()
         out = []
         for k, part in enumerate(text.split(SPECIAL)):
             if k:
                 out.append(np.array([self.special], np.uint32))
-            if not part:
-                continue
-            cut = pieces(part)
-            number = self.number
-            if new := [p for p in dict.fromkeys(cut) if p not in number]:
-                if len(number) + len(new) > CACHED_PIECES and number:
-                    self.forget()
-                    new, number = list(dict.fromkeys(cut)), self.number
-                self.learn(new)
-            at = np.fromiter(map(number.__getitem__, cut), np.int64, len(cut))
-            lengths = self.lengths[at]
-            ends = np.cumsum(lengths)
-            out.append(self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])])
+            if part:
+                out.append(self.part(part))
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 @lru_cache(maxsize=1)
-def piece_ids(path: str) -> PieceIds:
+def chunk_ids(path: str) -> ChunkIds:
     """Kept by the worker process from one task to the next."""
-    return PieceIds(path)
+    return ChunkIds(path)
 
 
 ITEMS = "id long, piece int, start long, length long, ids_crc32 long"
@@ -94,7 +106,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int, end_id: int,
     """The items: id, piece, start, length, ids_crc32.  The first piece of a long document takes what is left over."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = piece_ids(vocabulary)
+        ids = chunk_ids(vocabulary)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["id"], batch["text"], strict=True):
