@@ -143,16 +143,14 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_chars: int, id_col: str, text_col: str) -> tuple[list[str], list[int]]:
-    """At most ``per_class`` labelled texts of each class, in hash order; longer texts than ``max_chars`` aren't drawn."""
-    drawn = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .where(F.length("text") <= max_chars)
-        .join(labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")), "id")
-        .where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
-    )
-    # the limits bound what reaches the driver
-    parts = [drawn.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id", "text").limit(per_class).collect() for k in (0, 1)]
-    rows = sorted((r for p in parts for r in p), key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.text))
+    """The texts of at most ``per_class`` labelled ids of each class, in hash order, without those over ``max_chars``."""
+    named = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    open_to_learn = named.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
+    drawn = [open_to_learn.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
+    # at most 2 * per_class ids are broadcast, and as many texts of bounded length reach the driver
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= max_chars)
+    found = texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").dropDuplicates(["id", "toxic"]).limit(2 * per_class).collect()
+    rows = sorted(found, key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.toxic))
     return [r.text for r in rows], [r.toxic for r in rows]
 
 
