@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, embedding_dedup, language_model, line_dedup, minhash_forest, packing, sharding, token_counts, toxicity
+from plumbline.llm import decontamination, embedding_dedup, html_extraction, language_model, line_dedup, minhash_forest, packing, sharding, token_counts, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -53,6 +53,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"))
 
@@ -102,6 +106,7 @@ QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
+    "op4_html_extraction": op4_html_extraction,
     "op5_language_model": op5_language_model,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
