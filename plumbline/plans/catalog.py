@@ -1,4 +1,6 @@
 """Every query of the base library, and its DuckDB counterpart."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from plumbline.plans import metric_queries  # noqa: F401  each module registers its queries
+from plumbline.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
