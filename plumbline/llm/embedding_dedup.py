@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.storage import written
+from plumbline.llm.storage import collected, written
 
 VECTORS_A_PIVOT = 500
 MOST_PIVOTS = 1024
@@ -154,7 +154,7 @@ def near_vectors(
     if not n:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     wanted = min(MOST_PIVOTS, -(-n // VECTORS_A_PIVOT))
-    drawn = distinct.orderBy("k2", "rep").limit(wanted).select("dim", "vector").toPandas()
+    drawn = pd.DataFrame(collected(distinct.orderBy("k2", "rep").limit(wanted).select("dim", "vector")))
     pivots = {int(dim): unit(part["vector"]) for dim, part in drawn.groupby("dim")}
 
     bare = distinct.select("label", "dim", "rep", "mult", "vector")

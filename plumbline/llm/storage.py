@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
@@ -36,3 +37,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def collected(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a small table on the driver, by way of Arrow, so that no row becomes a Python object."""
+    table = df.toArrow()
+    return {name: table.column(name).to_numpy() for name in table.column_names}
