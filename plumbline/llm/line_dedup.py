@@ -1,10 +1,11 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
 A text's lines are hashed, and a rolling hash over the last ROLL line hashes ends a chunk where it is divisible by
-DIVISOR.  Boundaries depend on nearby lines alone, so a passage is cut alike wherever it stands.  A line of
-LONG_LINE words or more is a passage of its own, with a boundary on either side.  Of every chunk that occurs more
-than once, and has several lines or a long one, all but the first occurrence are removed, after their bytes have
-been compared with the first one's.
+DIVISOR and the chunk is worth removing.  Boundaries depend on nearby lines alone, so a passage is cut alike
+wherever it stands.  A line of LONG_LINE words or more is a passage of its own, with a boundary on either side.  Of
+every chunk that occurs more than once, and has several lines or a long one, all but the first occurrence are
+removed, after their bytes have been compared with the first one's.  Up to EXTEND shorter lines on either side go
+too where they are those of the first occurrence, since a chunk rarely ends where a passage does.
 """
 
 from __future__ import annotations
@@ -23,37 +24,47 @@ DIVISOR = 3
 LONG_LINE = 20
 LEAST_WORDS = 12  # of a chunk that is worth removing
 MOST_LINES = 64
+EXTEND = 4
 
+FIRST = ("chunk", "before", "after")  # of a chunk's first occurrence
 CHUNK_ROW = "id long, line int, lines int, k1 long, k2 long"
 
 
 def chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """(first line, lines) of consecutive chunks that cover all lines."""
-    out, first, rolled = [], 0, [0] * ROLL
+    """(first line, lines) of consecutive chunks that cover all lines.  None ends before it is worth removing, but for
+    one before a long line and the last."""
+    out, first, words, rolled = [], 0, 0, [0] * ROLL
     for i, line in enumerate(lines):
-        long = len(line.split(None, LONG_LINE)) >= LONG_LINE
-        if long and i > first:
+        own = len(line.split(None, LONG_LINE))
+        if own >= LONG_LINE and i > first:
             out.append((first, i - first))
-            first = i
+            first, words = i, 0
+        words += own
         rolled = [*rolled[1:], xxhash.xxh64_intdigest(line.encode("utf-8", "replace"))]
         mixed = 0
         for h in rolled:
             mixed = (mixed * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-        if long or (mixed >> 16) % DIVISOR == 0 or i + 1 - first == MOST_LINES:
+        worth = _worth(i + 1 - first, words)
+        if own >= LONG_LINE or worth and (mixed >> 16) % DIVISOR == 0 or i + 1 - first == MOST_LINES:
             out.append((first, i + 1 - first))
-            first = i + 1
-            rolled = [0] * ROLL if long else rolled
+            first, words = i + 1, 0
+            rolled = [0] * ROLL if own >= LONG_LINE else rolled
     if first < len(lines):
         out.append((first, len(lines) - first))
     return out
 
 
+def _worth(lines: int, words: int) -> bool:
+    """Several lines or a long one, and not few words."""
+    return words >= LONG_LINE or lines > 1 and words >= LEAST_WORDS
+
+
 def removable(lines: list[str]) -> Iterator[tuple[int, int, str]]:
     """First line, lines and text of the chunks that may be removed: several lines or a long one, and not few words."""
     for first, n in chunks(lines):
         text = "\n".join(lines[first : first + n])
         words = len(text.split(None, LONG_LINE))
-        if words >= LONG_LINE or n > 1 and words >= LEAST_WORDS:
+        if _worth(n, words):
             yield first, n, text
 
 
@@ -62,14 +73,31 @@ def _digest(text: str) -> tuple[int, int]:
     return tuple((x ^ 1 << 63) - (1 << 63) for x in (d >> 64, d & 0xFFFFFFFFFFFFFFFF))
 
 
+def _short(lines: list[str]) -> list[str]:
+    """The first lines of these up to a long one, EXTEND at most."""
+    out = []
+    for line in lines[:EXTEND]:
+        if len(line.split(None, LONG_LINE)) >= LONG_LINE:
+            break
+        out.append(line)
+    return out
+
+
+def beside(lines: list[str], first: int, n: int) -> tuple[list[str], list[str]]:
+    """The short lines before a chunk, nearest first, and after it."""
+    return _short(lines[max(0, first - EXTEND) : first][::-1]), _short(lines[first + n :])
+
+
 def _chunk_rows(with_text: bool):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc, text in zip(batch["id"], batch["text"], strict=True):
-                for first, n, chunk in removable(text.split("\n")):
-                    out.append((doc, first, n, *_digest(chunk), chunk)[: 5 + with_text])
-            names = ["id", "line", "lines", "k1", "k2", "chunk"][: 5 + with_text]
+                lines = text.split("\n")
+                for first, n, chunk in removable(lines):
+                    row = (doc, first, n, *_digest(chunk))
+                    out.append((*row, chunk, *beside(lines, first, n)) if with_text else row)
+            names = ["id", "line", "lines", "k1", "k2", "chunk", "before", "after"][: 8 if with_text else 5]
             yield pd.DataFrame(out, columns=names).astype({k: "int64" for k in names[:5]})
 
     return rows
@@ -78,12 +106,18 @@ def _chunk_rows(with_text: bool):
 REMOVED_ROW = "text string, n_lines long, n_removed_lines long, n_removed_words long"
 
 
+def _same(here: list[str], there) -> int:
+    return next((k for k, (a, b) in enumerate(zip(here, there, strict=False)) if a != b), min(len(here), len(there)))
+
+
 def _cut(text: str, spans: list) -> tuple[str, int, int, int]:
     lines = text.split("\n")
     gone: set[int] = set()
     for s in spans:
-        if "\n".join(lines[s["line"] : s["line"] + s["lines"]]) == s["chunk"]:
-            gone.update(range(s["line"], s["line"] + s["lines"]))
+        first, n = s["line"], s["lines"]
+        if "\n".join(lines[first : first + n]) == s["chunk"]:
+            before, after = beside(lines, first, n)
+            gone.update(range(first - _same(before, s["before"]), first + n + _same(after, s["after"])))
     kept = [x for i, x in enumerate(lines) if i not in gone]
     return "\n".join(kept), len(lines), len(gone), sum(len(lines[i].split()) for i in gone)
 
@@ -95,7 +129,7 @@ def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """id, line, lines, chunk: every occurrence but the first of a chunk, with the first one's text.
+    """id, line, lines, and chunk, before and after: every occurrence but the first of a chunk, with the text and surroundings of the first one.
 
     docs: id, text, neither null.  First means of smallest id, then line.
     """
@@ -107,10 +141,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     # the text of each first occurrence: the documents that have one are read again
     wanted = repeated.select(F.col("first.id").alias("id"), F.col("first.line").alias("line"), "k1", "k2")
     source = docs.join(wanted.select("id").distinct(), "id", "left_semi")
-    texts = source.mapInPandas(_chunk_rows(True), f"{CHUNK_ROW}, chunk string").join(wanted, ["id", "line", "k1", "k2"], "left_semi")
-    texts = texts.groupBy("k1", "k2").agg(F.min("chunk").alias("chunk"))
+    texts = source.mapInPandas(
+        _chunk_rows(True), f"{CHUNK_ROW}, chunk string, before array<string>, after array<string>"
+    ).join(wanted, ["id", "line", "k1", "k2"], "left_semi")
+    texts = texts.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in FIRST])
     first = written(repeated.join(texts, ["k1", "k2"]), "chunks-first")
-    return rows.join(first, ["k1", "k2"]).where(at != F.col("first")).select("id", "line", "lines", "chunk")
+    return rows.join(first, ["k1", "k2"]).where(at != F.col("first")).select("id", "line", "lines", *FIRST)
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +160,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     added = ("n_lines", "n_removed_lines", "n_removed_words")
     own = [c for c in docs.columns if c not in added]
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    span = F.struct("line", "lines", "chunk")
+    span = F.struct("line", "lines", *FIRST)
     without = F.pandas_udf(_without, REMOVED_ROW)
     spans = repeated_chunks(plain).groupBy("id").agg(F.collect_list(span).alias("spans"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
