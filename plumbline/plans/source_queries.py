@@ -112,7 +112,7 @@ def k4(t):
 
 
 @query("q_k5_leaderboard", f"""+ {RANKS}, s AS (SELECT model, task, {AUROC} AS a FROM r GROUP BY ALL) SELECTING SELECT '0' AS place, '| task | alpha | beta |' AS line UNION ALL SELECT '1', '|---|---|---|' UNION ALL
-SELECT task, '| ' || task || ' | ' || printf('%.3f', max(a) FILTER (model = 'alpha')) || ' | ' || printf('%.3f', max(a) FILTER (model = 'beta')) || ' |' FROM s GROUP BY task""", "preds")
+SELECT task, '| ' || task || ' | ' || coalesce(printf('%.3f', max(a) FILTER (model = 'alpha')), '-') || ' | ' || coalesce(printf('%.3f', max(a) FILTER (model = 'beta')), '-') || ' |' FROM s GROUP BY task""", "preds")
 def k5(t):
     return sinks.leaderboard_markdown(rounded(m.auroc(t.preds, KEYS), "auroc"), ["alpha", "beta"])
 

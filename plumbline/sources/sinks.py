@@ -38,7 +38,7 @@ def still_to_do(wanted: DataFrame, done: DataFrame, keys: list[str], least: int
 def leaderboard_markdown(scores: DataFrame, models: list[str], score: str = "auroc") -> DataFrame:
     """place, line: a Markdown table of tasks by models, one row per line; the head has places 0 and 1."""
     wide = scores.groupBy("task").pivot("model", models).agg(F.first(score))
-    cells = [F.coalesce(F.format_string("%.3f", m), F.lit("-")) for m in models]
+    cells = [F.when(F.col(m).isNotNull(), F.format_string("%.3f", m)).otherwise("-") for m in models]
     body = wide.select(F.col("task").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", "task", *cells), F.lit(" |")).alias("line"))
     head = [("0", "| task | " + " | ".join(models) + " |"), ("1", "|" + "---|" * (len(models) + 1))]
     return scores.sparkSession.createDataFrame(head, "place string, line string").unionByName(body)
