@@ -168,6 +168,6 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
-    """The rows of ``docs`` that share no window with an item, with their own columns."""
+    """The rows of ``docs`` that share no window with an item, with their own columns.  Rows that share an id go together."""
     dropped = contamination(docs, items, id_col=id_col, text_col=text_col, **columns).where("contaminated").select(id_col).distinct()
     return docs.join(dropped, id_col, "left_anti").select(docs.columns)
