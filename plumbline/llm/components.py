@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.storage import written
+from plumbline.llm.storage import tasks_for, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,18 +16,19 @@ def components(links: DataFrame) -> DataFrame:
     Self-links and repeated links are allowed.  No links give an empty table.
     """
     rest = written(links.select("a", "b").distinct(), "links")
+    tasks = tasks_for(rest.count())
     nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
-    found = nodes.select("node", F.col("node").alias("component"))
-    while True:
-        rest = rest.where("a <> b")
+    rest, steps = rest.where("a <> b"), []
+    while not rest.isEmpty():
         both = rest.union(rest.select("b", "a"))
-        up = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("up")), "links-up")
-        if up.isEmpty():
-            return found
+        up = both.groupBy("a").agg(F.least("a", F.min("b")).alias("up"))
         second = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        step = written(up.join(second, "up").select("a", "top"), "links-step")
+        step = written(up.join(second, "up").select("a", "top"), "links-step", tasks)
+        steps.append(step)
         to_a, to_b = step.toDF("a", "ra"), step.toDF("b", "rb")
-        rest = written(rest.join(to_a, "a").join(to_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "links-left")
-        found = written(
-            found.join(step.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component")), "links-found"
-        )
+        left = rest.join(to_a, "a").join(to_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        rest = written(left.where("a <> b").distinct(), "links-left", tasks)
+    found = nodes.select("node", F.col("node").alias("component"))
+    for step in steps:
+        found = found.join(step.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return written(found, "links-found", tasks)

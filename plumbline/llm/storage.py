@@ -25,11 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def tasks_for(rows: int, each: int = 50_000) -> int:
+    """How many tasks suit a table of so many rows."""
+    return max(6, -(-rows // each))
+
+
+def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """The rows of ``df``, computed once and read back from a table in the shared folder.
 
-    A lost executor costs at most a reread.  Files go when the session ends.
+    A lost executor costs at most a reread.  Files go when the session ends.  ``tasks``: for a table known to be
+    small, how many tasks at most make it, so that what follows reads few files.
     """
+    df = df.coalesce(tasks) if tasks else df
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
