@@ -83,16 +83,16 @@ def test_packing_repeats_rows(spark):
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 9), max_size=25))
 def test_plan_places_every_item_once(count):
     table, used = packing.plan(count, 40)
-    load, taken = Counter(), Counter()
+    places, taken = {}, Counter()
     for length, first, items, sequence, offset in table.tolist():
         assert first == taken[length]
         taken[length] += items
         for k in range(items):
-            assert load[sequence + k] == offset
-            load[sequence + k] += length
-    assert dict(taken) == count and all(v <= 40 for v in load.values()) and len(load) == used
-    total = sum(n * c for n, c in count.items())
-    assert used <= 1 + max(-(-total // 40) * 3 // 2, sum(c for n, c in count.items() if n > 20) + total // 30)
+            places.setdefault(sequence + k, []).append((offset, length))
+    assert dict(taken) == count and len(places) == used
+    for rows in places.values():
+        rows.sort()
+        assert [o for o, _ in rows] == [sum(n for _, n in rows[:k]) for k in range(len(rows))] and sum(n for _, n in rows) <= 40
 
 
 # ---- vectors ----------------------------------------------------------------------------------------------------
