@@ -5,10 +5,12 @@ of minimum hashes; documents whose signatures share a long prefix stand next to
 candidates in a tree are its neighbours in that order, as long as they share LEAST_DEPTH values: in a sparse region
 everything down to that depth, in a crowded one only the deepest matches.  Trees differ, so one that crowds a pair
 apart is made up for by others.  This is done twice: first next neighbours only are compared, which joins the
-members of crowded regions to one another; then rows up to REACH apart, only across components, so that no link is
-confirmed that changes nothing.  Beside the order's own values a row carries two bits of every minimum hash.  By them
-most unlike neighbours are told apart where they stand, and of a row's neighbours in a crowd the NEIGHBOURS most alike
-are taken.
+members of crowded regions to one another; then all rows that share LEAST_DEPTH values, only across components, so
+that no link is confirmed that changes nothing.  Beside the order's own values a row carries two bits of every minimum
+hash, by which most unlike neighbours are told apart where they stand.
+
+Where more than REACH rows share LEAST_DEPTH values the order hides links, however deep it goes.  Rows of such crowds
+are joined exactly instead, on their rarest shingles (``crowd_pairs``): two sets that link share one of them.
 
 Documents of equal sets are one node, so exact copies cost nothing.  Candidates are confirmed on full sets.
 
@@ -26,15 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.storage import tasks_for, written
+from plumbline.llm.storage import collected, tasks_for, written
 from plumbline.llm.words import Words, batches, mix, numbers
 
 SHINGLE = 5
 TREES = 20
 DEPTH = 6
 LEAST_DEPTH = 2
-NEIGHBOURS = 8
 REACH = 64
+ORDERED_SHINGLES = 1_000_000  # whose counts in crowds are broadcast; shingles beyond them count as rarer
+BLOCK = 4096  # rows of one shingle that are compared at once
 HASH_BYTES = 6  # of each shingle in a stored set; sets of a thousand differ by chance once in 10**8 pairs
 BROADCAST_IDS = 2_000_000
 # Of TREES * DEPTH two-bit values two documents at three quarters share 13 / 16 on average; this is 4.3 standard
@@ -120,30 +123,33 @@ def _blocks(rows: pd.DataFrame) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(new)])
 
 
+def _crowded(block: np.ndarray, reach: int) -> np.ndarray:
+    """Which of these sorted rows stand in a block of more than ``reach`` rows, as far as it is seen here."""
+    full = np.zeros(len(block) + 1, np.int64)
+    at = np.flatnonzero(block[reach:] == block[:-reach]) if len(block) > reach else np.zeros(0, np.int64)
+    np.add.at(full, at, 1)
+    np.add.at(full, at + reach + 1, -1)
+    return np.cumsum(full)[:-1] > 0
+
+
 def _pairs(rows: pd.DataFrame, reach: int) -> pd.DataFrame:
     """Likely pairs of different components at most ``reach`` apart in these sorted rows, and in one block.
 
-    Each pair counts for the end whose component has fewer rows here, and each row has its NEIGHBOURS best.
+    If ``reach`` is more than one, rows of crowded blocks make none; each is given out as a pair with itself.
     """
     block, part, node = _blocks(rows), rows["part"].to_numpy(), rows["node"].to_numpy()
     drawn = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
-    _, inverse, sizes = np.unique(part, return_inverse=True, return_counts=True)
-    crowd = sizes[inverse]
-    found = [np.zeros((3, 0), np.int64)]
+    crowd = _crowded(block, reach) if reach > 1 else np.zeros(len(node), bool)
+    found = [np.stack([np.flatnonzero(crowd)] * 2)]
     for k in range(1, min(reach, len(node) - 1) + 1):
         together = block[k:] == block[:-k]
         if not together.any():
             break
-        i = np.flatnonzero(together & (part[k:] != part[:-k]))
-        alike = _EQUAL[drawn[i] ^ drawn[i + k]].sum(axis=1, dtype=np.int64)
-        i, alike = i[alike >= LEAST_SKETCH], alike[alike >= LEAST_SKETCH]
-        found.append(np.stack([i, i + k, alike]))
-    i, j, alike = np.concatenate(found, axis=1)
-    asks = np.where(crowd[i] <= crowd[j], i, j)
-    order = np.lexsort((-alike, asks))
-    asks = asks[order]
-    best = order[np.arange(len(order)) - np.searchsorted(asks, asks) < NEIGHBOURS]
-    a, b = node[i[best]], node[j[best]]
+        i = np.flatnonzero(together & ~crowd[k:] & ~crowd[:-k] & (part[k:] != part[:-k]))
+        i = i[_EQUAL[drawn[i] ^ drawn[i + k]].sum(axis=1, dtype=np.int64) >= LEAST_SKETCH]
+        found.append(np.stack([i, i + k]))
+    i, j = np.concatenate(found, axis=1)
+    a, b = node[i], node[j]
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
@@ -177,7 +183,7 @@ def _at_ends(reach: int):
 
 
 def candidates(nodes: DataFrame, reach: int) -> DataFrame:
-    """Pairs a < b to confirm.  nodes: node, signature, sketch, part (its component)."""
+    """Pairs a < b to confirm, and a = b for nodes of crowds.  nodes: node, signature, sketch, part (its component)."""
     width = 4 * DEPTH
     cut = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("signature", t * width + 1, F.lit(width)))
     orders = nodes.select("node", "part", "sketch", F.posexplode(cut).alias("tree", "signature")).select("tree", "signature", "node", "part", "sketch")
@@ -209,6 +215,138 @@ def _confirm(percent: int):
     return confirm
 
 
+def _prefix(percent: int, order):
+    """Of each set its rarest shingles, as many as two sets that link must share one of.
+
+    at: the shingle's place in the set's order; first: whether it is among those that hold for the smaller of two
+    sets.  A shingle of more rows than BLOCK is dealt to blocks of its rows, and each row goes to every two blocks
+    that hold its own, x <= y.
+    """
+
+    def rows(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, times, whole = order.value
+        for batch in batches_:
+            out = []
+            for node, part, data in zip(batch["node"], batch["part"], batch["shingles"], strict=True):
+                h = _numbers(data)
+                n = len(h)
+                k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                c = np.where(known[k] == h, times[k], 0) if len(known) else np.zeros(n, np.int64)
+                rank = np.lexsort((h, c))[: min(n, n - -(-percent * n // 100) + 1)]
+                first = np.arange(len(rank)) < n - -(-2 * percent * n // (100 + percent)) + 1
+                use = np.flatnonzero(c[rank] > 0) if whole else np.arange(len(rank))  # others are in no other set
+                blocks = -(-c[rank] // BLOCK)
+                for i in use[blocks[use] > 1]:
+                    own, m = node * 0x9E3779B97F4A7C15 % (1 << 64) % int(blocks[i]), int(blocks[i])
+                    to = np.arange(m)
+                    out.append((np.full(m, h[rank[i]]), np.minimum(own, to), np.maximum(own, to), np.full(m, own), np.full(m, node), np.full(m, part), np.full(m, n), np.full(m, i), np.full(m, first[i])))
+                use = use[blocks[use] <= 1]
+                zero = np.zeros(len(use), np.int64)
+                out.append((h[rank[use]], zero, zero, zero, zero + node, zero + part, zero + n, use, first[use]))
+            if out:
+                yield pd.DataFrame({name: np.concatenate(x) for name, x in zip(MEET_NAMES, zip(*out, strict=True), strict=True)})
+
+    return rows
+
+
+MEET_ROW = "shingle long, x int, y int, own int, node long, part long, n int, at int, first boolean"
+MEET_NAMES = ["shingle", "x", "y", "own", "node", "part", "n", "at", "first"]
+
+
+def _numbers(shingles: bytes) -> np.ndarray:
+    wide = np.zeros((len(shingles) // HASH_BYTES, 8), np.uint8)
+    wide[:, :HASH_BYTES] = np.frombuffer(shingles, np.uint8).reshape(-1, HASH_BYTES)
+    return wide.view("<i8").ravel()
+
+
+def _shingle_counts(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in rows:
+        h, n = np.unique(np.concatenate([_numbers(x) for x in batch["shingles"]] or [np.zeros(0, np.int64)]), return_counts=True)
+        yield pd.DataFrame({"shingle": h, "n": n})
+
+
+def _meet(percent: int):
+    """Pairs of different components among sorted rows of one shingle and two blocks whose sets may be alike enough."""
+
+    def pairs(x: int, y: int, own, node, part, n, at, first) -> Iterator[np.ndarray]:
+        left, right = (np.flatnonzero(own == x), np.flatnonzero(own == y))
+        for k in range(0, len(left), 512):
+            i, j = left[k : k + 512, None], right[None]
+            ok = part[i] != part[j]
+            if x == y:
+                ok &= i < j
+            i, j = (v[s] for v, s in zip((left[k : k + 512], right), np.nonzero(ok), strict=True))
+            ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            ok &= np.where(n[i] <= n[j], first[i], first[j])
+            most = np.minimum(n[i] - at[i], n[j] - at[j])  # shared, if these shingles are the first that are
+            ok &= (100 + percent) * most >= percent * (n[i] + n[j])
+            a, b = node[i[ok]], node[j[ok]]
+            yield np.stack([np.minimum(a, b), np.maximum(a, b)])
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        key = rows[["shingle", "x", "y"]].to_numpy()
+        start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
+        part = rows["part"].to_numpy()
+        mixed = np.minimum.reduceat(part, start[:-1]) != np.maximum.reduceat(part, start[:-1])
+        columns = [rows[c].to_numpy() for c in ("own", "node", "part", "n", "at", "first")]
+        columns[3:5] = [c.astype(np.int64) for c in columns[3:5]]
+        found = [np.zeros((2, 0), np.int64)]
+        for s, e in zip(start[:-1][mixed], start[1:][mixed], strict=True):
+            found.extend(pairs(key[s, 1], key[s, 2], *[c[s:e] for c in columns]))
+        a, b = np.concatenate(found, axis=1)
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    def meet(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches_:
+            if not len(batch):
+                continue
+            last = (batch[["shingle", "x", "y"]] == batch[["shingle", "x", "y"]].iloc[-1]).all(axis=1).to_numpy()
+            begin = len(last) if last.all() else len(last) - int(last[::-1].argmin())
+            same = last.all() and (not held or (held[-1][["shingle", "x", "y"]].iloc[-1] == batch[["shingle", "x", "y"]].iloc[-1]).all())
+            if same:
+                held.append(batch)
+                continue
+            begin = 0 if last.all() else begin
+            yield whole(pd.concat([*held, batch.iloc[:begin]]))
+            held = [batch.iloc[begin:]]
+        if held:
+            yield whole(pd.concat(held))
+
+    return meet
+
+
+def crowd_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Every pair a < b of different components that can link: one of the rarest shingles of either set is shared.
+
+    crowd: node, id, part.  The order of shingles is that of their counts here, so text that a crowd has in common
+    comes last and is no reason to compare.  The count of a shingle that isn't broadcast passes for none, which costs
+    time only.
+    """
+    few = crowd.count() <= BROADCAST_IDS
+    held = F.broadcast(crowd) if few else crowd
+    ids = crowd.select("id").distinct()
+    full = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInPandas(_sets, SET_ROW).withColumnRenamed("set_key", "node")
+    full = written(full.join(held, ["node", "id"]).dropDuplicates(["node"]).select("node", "part", "shingles"), "forest-crowd")
+    counts = written(full.mapInPandas(_shingle_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"), "forest-shingles")
+    # eight bins for each doubling of the count
+    of = F.floor(F.log2("n") * 8)
+    level, taken, whole = None, 0, True
+    for b in counts.groupBy(of.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect():
+        taken += b.n
+        if taken > ORDERED_SHINGLES:
+            whole = False
+            break
+        level = b.bin
+    often = collected(counts.where(of >= level if level is not None else F.lit(False)))
+    order = np.argsort(often["shingle"])
+    held = full.sparkSession.sparkContext.broadcast((often["shingle"][order], often["n"][order], whole))
+    rows = full.mapInPandas(_prefix(percent, held), MEET_ROW)
+    partitions = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.repartition(partitions, "shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+    return sorted_rows.mapInPandas(_meet(percent), "a long, b long")
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, by their full sets.  Sets are made again from the texts of documents that have a candidate."""
     n = pairs.count()
@@ -243,6 +381,9 @@ def near_documents(docs: DataFrame, percent: int = 75, *, id_col: str = "doc_id"
     groups = nodes.join(components(links), "node", "left").select("node", "id", "signature", "sketch", F.coalesce("component", "node").alias("part"))
     groups = written(groups, "documents-parts")
     apart = candidates(groups.select("node", "signature", "sketch", "part"), REACH)
+    crowd = groups.join(apart.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").select("node", "id", "part")
+    in_crowds = crowd_pairs(written(crowd, "forest-crowded"), texts, percent)
+    apart = written(apart.where("a < b").union(in_crowds).distinct(), "forest-apart")
     to_part = groups.select("node", "part")
     more = confirmed(apart, nodes, texts, percent).join(to_part.toDF("a", "x"), "a").join(to_part.toDF("b", "y"), "b")
     joined = components(more.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "part")

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,31 @@ def test_near_documents_are_those_of_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_pairs_within_a_crowd(spark):
+    """Documents of like boilerplate, none of which links with another but for its own partner."""
+    rng = np.random.default_rng(8)
+    boilerplate, size, pairs = sentence(rng, 124, 10**6), 4000, 100
+    own = [sentence(rng, 26, 10**6).split() for _ in range(size)]
+    for k in range(pairs):
+        own[size - 1 - k][:7] = own[k][:7]
+    texts = [(k, f"{boilerplate} {' '.join(w)}") for k, w in enumerate(own)]
+    a, b, c = (shingles(texts[k][1]) for k in (0, size - 1, 1))
+    assert len(a & b) / len(a | b) > 0.76 and len(a & c) / len(a | c) < 0.71
+    out = minhash_forest.near_documents(table(spark, texts)).where("not kept").collect()
+    assert {r.doc_id: r.component_id for r in out} == {size - 1 - k: k for k in range(pairs)}
+
+
+def test_rows_of_one_shingle_in_blocks():
+    """Any two rows of different components meet in one pair of blocks, however a shingle's rows are dealt."""
+    order = type("Held", (), {"value": (np.array([5]), np.array([3 * minhash_forest.BLOCK]), False)})
+    data = np.array([5, *range(10, 13)], "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    rows = pd.concat(minhash_forest._prefix(1, order)(iter([pd.DataFrame({"node": range(60), "part": range(60), "shingles": [data] * 60})])))
+    rows = rows[rows["shingle"] == 5].sort_values(["shingle", "x", "y"]).assign(at=0, first=True)
+    assert rows["x"].nunique() > 1
+    found = pd.concat(minhash_forest._meet(75)(rows.iloc[k : k + 7] for k in range(0, len(rows), 7)))
+    assert sorted(zip(found["a"], found["b"], strict=True)) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
+
+
 def test_near_documents_of_repeated_rows_and_null_ids(spark):
     texts = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (None, "a b c d e f")]
     out = minhash_forest.near_documents(table(spark, texts))
