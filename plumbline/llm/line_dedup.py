@@ -1,11 +1,14 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
 A text's lines are hashed, and a rolling hash over the last ROLL line hashes ends a chunk where it is divisible by
-DIVISOR and the chunk is worth removing.  Boundaries depend on nearby lines alone, so a passage is cut alike
-wherever it stands.  A line of LONG_LINE words or more is a passage of its own, with a boundary on either side.  Of
-every chunk that occurs more than once, and has several lines or a long one, all but the first occurrence are
-removed, after their bytes have been compared with the first one's.  Up to EXTEND shorter lines on either side go
-too where they are those of the first occurrence, since a chunk rarely ends where a passage does.
+DIVISOR and the chunk is worth removing.  A line of LONG_LINE words or more is a passage of its own, with a boundary
+on either side.  These chunks cover a text, but a short passage may hold none of them whole.  So a second set is
+chosen: from every line there is a shortest run worth removing, and of those within the next WINDOW_WORDS words, or
+WINDOW_LINES lines, the one of least hash is a chunk too.  A shared run of lines with as many words or lines therefore
+holds the same whole chunk wherever it stands.  Of every chunk that occurs more than once, and has several lines or a
+long one, all but the first occurrence are removed, after their bytes have been compared with the first one's.  Up to
+EXTEND shorter lines on either side go too where they are those of the first occurrence, since a chunk rarely ends
+where a passage does.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ DIVISOR = 3
 LONG_LINE = 20
 LEAST_WORDS = 12  # of a chunk that is worth removing
 MOST_LINES = 64
-EXTEND = 4
+WINDOW_WORDS = 50
+WINDOW_LINES = 10
+EXTEND = WINDOW_LINES - 2  # a window's chunk has no more lines beside it
 
 FIRST = ("chunk", "before", "after")  # of a chunk's first occurrence
 CHUNK_ROW = "id long, line int, lines int, k1 long, k2 long"
@@ -59,9 +64,51 @@ def _worth(lines: int, words: int) -> bool:
     return words >= LONG_LINE or lines > 1 and words >= LEAST_WORDS
 
 
+def chosen(lines: list[str]) -> set[tuple[int, int]]:
+    """(first line, lines) of the shortest worthy runs that have the least hash of a window of lines.
+
+    A window goes from a line to where it has WINDOW_WORDS words, or WINDOW_LINES lines and a worthy run, and no
+    further; a text with less is one window.  A run's hash is of its lines alone.
+    """
+    words = [len(line.split(None, LONG_LINE)) for line in lines]
+    hashes = [xxhash.xxh64_intdigest(line.encode("utf-8", "replace")) for line in lines]
+    ends, at, total = [], 0, 0  # of the run from each line; the last lines have none
+    for i, own in enumerate(words):
+        at, total = (i, 0) if at < i else (at, total)
+        while at < len(lines) and not _worth(at - i, total):
+            total += words[at]
+            at += 1
+        if not _worth(at - i, total):
+            break
+        ends.append(at)
+        total -= own
+    rank = []
+    for i, end in enumerate(ends):
+        mixed = 0
+        for h in hashes[i:end]:
+            mixed = ((mixed ^ h) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        rank.append(mixed ^ mixed >> 29)
+    out, at, total = set(), 0, 0
+    for i, end in enumerate(ends):
+        while at < len(lines) and (at < end or total < WINDOW_WORDS and at - i < WINDOW_LINES):
+            total += words[at]
+            at += 1
+        if i and total < WINDOW_WORDS and at - i < WINDOW_LINES:
+            break  # the text ends in this window and all later ones
+        best = i
+        for k in range(i + 1, min(at, len(ends))):
+            if ends[k] > at:
+                break
+            if rank[k] < rank[best]:
+                best = k
+        out.add((best, ends[best] - best))
+        total -= words[i]
+    return out
+
+
 def removable(lines: list[str]) -> Iterator[tuple[int, int, str]]:
     """First line, lines and text of the chunks that may be removed: several lines or a long one, and not few words."""
-    for first, n in chunks(lines):
+    for first, n in sorted({*chunks(lines), *chosen(lines)}):
         text = "\n".join(lines[first : first + n])
         words = len(text.split(None, LONG_LINE))
         if _worth(n, words):
@@ -146,7 +193,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     ).join(wanted, ["id", "line", "k1", "k2"], "left_semi")
     texts = texts.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in FIRST])
     first = written(repeated.join(texts, ["k1", "k2"]), "chunks-first")
-    return rows.join(first, ["k1", "k2"]).where(at != F.col("first")).select("id", "line", "lines", *FIRST)
+    # a run that begins within its own first occurrence, as among equal lines, isn't another one
+    other = (F.col("id") != F.col("first.id")) | (F.col("line") >= F.col("first.line") + F.col("lines"))
+    return rows.join(first, ["k1", "k2"]).where(other).select("id", "line", "lines", *FIRST)
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -262,6 +262,26 @@ def test_passages_are_removed(spark):
     assert sum(block[5] in (t or "") for t in got.values()) < 4  # all but lines at the edges of the block go
 
 
+def test_passages_of_short_lines_are_removed(spark):
+    rng = np.random.default_rng(6)
+    passages = [[sentence(rng, n, 10**6) for _ in range(-(-50 // n))] for n in (7, 8, 9, 10, 11, 12) for _ in range(6)]
+    texts = []
+    for k in range(4 * len(passages)):
+        lines = [sentence(rng, int(rng.integers(1, 15)), 10**6) for _ in range(12)]
+        at = int(rng.integers(0, 13))
+        lines[at:at] = passages[k % len(passages)]
+        texts.append((k, "\n".join(lines)))
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(table(spark, texts)).collect()}
+    for i, t in texts:
+        passage = passages[i % len(passages)]
+        assert out[i] == [x for x in t.split("\n") if i < len(passages) or x not in passage]
+
+
+def test_equal_lines_keep_their_first_passage(spark):
+    line = "one two three four five six"
+    assert line_dedup.line_dedup(table(spark, [(1, "\n".join([line] * 9))])).first().text == f"{line}\n{line}"
+
+
 def test_chunks_cover_and_resist_shifts():
     rng = np.random.default_rng(4)
     lines = [sentence(rng, int(rng.integers(1, 12))) for _ in range(200)]
