@@ -1,17 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic text.  A text is read in short
-windows of whole words; a window that the toxic dictionary compresses to fewer bytes than the ordinary one looks
-toxic.  Toxic documents are mostly ordinary text, so the toxic dictionary is trained on those of their words that
-ordinary documents have clearly less often, and stands behind the ordinary one: both then know ordinary text equally well.  A logistic
-curve over the strongest windows turns byte gains into a score.
+Two zstandard dictionaries are trained, one on windows of ordinary documents and one on windows of toxic documents.
+A text is read in short windows of whole words; each is compressed with the ordinary dictionary alone and with the
+toxic one behind it, and its gain is the bytes by which the second is shorter.  Both sides know ordinary text equally
+well that way, so a gain is due to what only toxic text has.  A logistic curve over a text's gains is the score.
+
+Toxic documents are mostly ordinary text, which would fill their dictionary.  So it is trained in rounds: the toxic
+documents are halved, each half's dictionary compresses the other half's windows, and only windows that gain are
+samples of the next round, without the words at either end that add nothing.  How many rounds and bytes are best, and
+the curve, are decided on documents that no dictionary has seen.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,21 +24,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW_CHARS = 80
-DICTIONARY_BYTES = 8192
-FEATURES = 6
-MUCH = 6  # bytes
-# small tables of all positions and an optimal parse: which matches are found then doesn't depend on chance
-SEARCH = {"strategy": zstandard.STRATEGY_BTOPT, "hash_log": 15, "chain_log": 16, "window_log": 15, "search_log": 5, "min_match": 3}
-LEAST_SURPRISE = 6.0  # standard errors by which a unit's share of toxic documents exceeds its share of ordinary ones
-LEAST_RATIO = 12.0  # of these shares
-STARTS = (4, 5, 6)  # characters of word beginnings that are units beside whole words
-
+WINDOW_CHARS = 48
+ORDINARY_BYTES = 65536
+ROUND_BYTES = 4096  # of the toxic dictionary while its samples are chosen
+TOXIC_BYTES = (1024, 1536)
+ROUNDS = 5
+SHARE = 0.03  # of windows that one round passes to the next at most, but for ties
+LEAST_GAIN = 4  # bytes, of a window that is passed on
+MUCH = (3, 5, 7)  # bytes; windows that gain as much are counted
+TOP = 4
+FEATURES = TOP + len(MUCH) + 1
+# segment and match lengths that the trainer looks for: word sequences at first, parts of words once samples are few
+COARSE, FINE = {"k": 16, "d": 8}, ({"k": 6, "d": 6}, {"k": 8, "d": 6})
+# tables for all positions of the dictionaries and an optimal parse: which matches are found then doesn't depend on chance
+SEARCH = {"strategy": zstandard.STRATEGY_BTOPT, "hash_log": 17, "chain_log": 18, "window_log": 18, "search_log": 5, "min_match": 3}
 
 
 def windows(text: str) -> list[bytes]:
     """The text, lower-cased, in runs of whole words of about WINDOW_CHARS characters; long words are split."""
-    return [w.encode() for w in re.findall(rf"\S.{{0,{WINDOW_CHARS - 2}}}(?!\S)|\S{{1,{WINDOW_CHARS}}}", " ".join(text.lower().split()))]
+    return [w.encode("utf-8", "replace") for w in re.findall(rf"\S.{{0,{WINDOW_CHARS - 2}}}(?!\S)|\S{{1,{WINDOW_CHARS}}}", " ".join(text.lower().split()))]
 
 
 @dataclass(frozen=True)
@@ -45,75 +52,81 @@ class ToxicityModel:
     weights: tuple[float, ...]  # of the features, and a constant
 
 
-@lru_cache(maxsize=2)
-def _compressors(toxic: bytes, ordinary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-    def one(data: bytes) -> zstandard.ZstdCompressor:
-        content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, **SEARCH)
-        content.precompute_compress(compression_params=how)
-        return zstandard.ZstdCompressor(dict_data=content, compression_params=how)
+@lru_cache(maxsize=8)
+def _compress(content: bytes):
+    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    how = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, **SEARCH)
+    dictionary.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress
+
 
-    return one(toxic), one(ordinary)
+def lengths(parts: list[bytes], content: bytes) -> np.ndarray:
+    """Bytes of each window when compressed with this dictionary."""
+    compress = _compress(content)
+    return np.fromiter((len(compress(p)) for p in parts), np.float64, len(parts))
 
 
 def gains(parts: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
-    """Bytes that each window is shorter with the toxic dictionary than with the ordinary one."""
-    a, b = (c.compress for c in _compressors(toxic, ordinary))
-    return np.fromiter((len(b(p)) - len(a(p)) for p in parts), np.float64, len(parts))
+    """Bytes that each window is shorter with the toxic dictionary behind the ordinary one."""
+    return lengths(parts, ordinary) - lengths(parts, ordinary + toxic)
 
 
 def features(gain: np.ndarray) -> np.ndarray:
-    """Of a text: its four largest gains, how many windows gain much, and how many windows there are."""
-    top = np.zeros(4)
-    best = np.sort(gain)[::-1][:4]
+    """Of a text: its largest gains, how many windows gain much, and how many windows there are."""
+    top = np.zeros(TOP)
+    best = np.sort(gain)[::-1][:TOP]
     top[: len(best)] = best
-    return np.array([*top, np.log1p((gain >= MUCH).sum()), np.log1p(len(gain))])
+    return np.array([*top, *(np.log1p((gain >= m).sum()) for m in MUCH), np.log1p(len(gain))])
+
+
+def _curve(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
 
 def score_text(text: str | None, model: ToxicityModel) -> float:
-    x = features(gains(windows(text or ""), model.toxic, model.ordinary))
-    z = float(x @ np.array(model.weights[:-1]) + model.weights[-1])
-    return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    return float(_curve(features(gains(windows(text or ""), model.toxic, model.ordinary)), np.array(model.weights)))
 
 
-def _dictionary(parts: list[bytes]) -> bytes:
-    """Content of a dictionary trained on these samples; distinct samples that fit are the content themselves."""
-    whole = b"".join(dict.fromkeys(parts))
-    if len(whole) <= DICTIONARY_BYTES:
-        return whole
+def train(parts: list[bytes], size: int, how: dict[str, int]) -> bytes:
+    """A dictionary of these samples; too few to train on are its content themselves."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, parts, k=32, d=6).as_bytes()
-    except zstandard.ZstdError:  # too few samples
-        return whole[-DICTIONARY_BYTES:]
-
-
-def _units(text: str) -> set[tuple[str, str]]:
-    """Words and word beginnings, each with the word that follows it."""
-    words = text.lower().split()
-    out = set()
-    for w, after in zip(words, [*words[1:], ""], strict=True):
-        if len(w) > 3:
-            out.add((f" {w} ", after))
-        out.update((f" {w[:n]}", after) for n in STARTS if len(w) > n)
+        return zstandard.train_dictionary(size, parts, **how).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(parts)[-size:] or b" " * 8
+
+
+def _distinct(texts: list[str]) -> list[bytes]:
+    return list(dict.fromkeys(w for t in texts for w in windows(t)))
+
+
+def core(window: bytes, gain: float, ordinary: bytes, both: bytes) -> bytes:
+    """The window without words at either end that add no more than a byte to its gain."""
+    plain, with_toxic, words = _compress(ordinary), _compress(both), window.split(b" ")
+    for end in (0, -1):
+        while len(words) > 1:
+            rest = words[1:] if end == 0 else words[:-1]
+            left = b" ".join(rest)
+            if len(plain(left)) - len(with_toxic(left)) < gain - 1:
+                break
+            words = rest
+    return b" " + b" ".join(words) + b" "
+
+
+def samples(toxic: list[str], ordinary: bytes, how: dict[str, int]) -> list[list[bytes]]:
+    """By round, the windows of these texts that a toxic dictionary is to be trained on."""
+    halves = [_distinct(toxic[::2]), _distinct(toxic[1::2])]
+    seen = set(halves[0])
+    halves[1] = [w for w in halves[1] if w not in seen]
+    plain, chosen, out = [lengths(h, ordinary) for h in halves], halves, []
+    for r in range(ROUNDS):
+        other = [train(h, ROUND_BYTES, how if r else COARSE) for h in chosen[::-1]]
+        gain = [p - lengths(h, ordinary + d) for h, p, d in zip(halves, plain, other, strict=True)]
+        cuts = [max(LEAST_GAIN, np.sort(g)[::-1][int(len(g) * SHARE)] if len(g) else 0) for g in gain]
+        chosen = [[core(w, x, ordinary, ordinary + d) for w, x in zip(h, g, strict=True) if x >= cut] for h, g, cut, d in zip(halves, gain, cuts, other, strict=True)]
+        out.append(chosen[0] + chosen[1])
     return out
 
 
-def _marked(bad: list[str], good: list[str]) -> list[bytes]:
-    """Words, and beginnings of words, that toxic documents have clearly more often; the clearest come last.
-
-    A unit counts once for each word that follows it, so a passage copied many times counts once.
-    """
-    in_bad, in_good = (Counter(u for u, _ in set().union(*map(_units, texts))) for texts in (bad, good))
-    found = []
-    for unit, n in in_bad.items():
-        a, b = n / len(bad), in_good[unit] / len(good)
-        p = (n + in_good[unit]) / (len(bad) + len(good))
-        z = (a - b) / (p * (1 / len(bad) + 1 / len(good))) ** 0.5
-        if z >= LEAST_SURPRISE and a >= LEAST_RATIO * b:
-            found.append((z, unit))
-    return [u.encode() for _, u in sorted(found)]
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> np.ndarray:
     """Weights and constant by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -133,13 +146,25 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return ToxicityModel(b"-" * 16, b"-" * 16, (*[0.0] * FEATURES, float(np.log(share / (1 - share)))))
-    half = np.arange(len(y)) % 2 == 0  # one half trains the dictionaries, the other the curve
-    bad = [t for t, x, h in zip(texts, y, half, strict=True) if x and h]
-    good = [t for t, x, h in zip(texts, y, half, strict=True) if not x and h]
-    ordinary = _dictionary([w for t in good for w in windows(t)])
-    tox = ordinary + _dictionary(_marked(bad, good)) if bad and good else ordinary
-    x = np.array([features(gains(windows(t), tox, ordinary)) for t in texts])
-    return ToxicityModel(tox, ordinary, tuple(map(float, _logistic(x[~half], y[~half]))))
+    bad = [t for t, x in zip(texts, y, strict=True) if x]
+    good = [t for t, x in zip(texts, y, strict=True) if not x]
+    ordinary = train(_distinct(good[::2]), ORDINARY_BYTES, COARSE)
+    # every third toxic document and every other ordinary one is held back from the dictionaries
+    learn, held = [t for k, t in enumerate(bad) if k % 3 != 2], bad[2::3] or bad
+    unseen = [windows(t) for t in [*held, *(good[1::2] or good)]]
+    label = np.arange(len(unseen)) < len(held)
+    plain = [lengths(w, ordinary) for w in unseen]
+    best = (-np.inf, b"", np.zeros(FEATURES + 1))
+    for how in FINE:
+        for parts in samples(learn, ordinary, how)[1:]:
+            for size in TOXIC_BYTES:
+                content = train(parts, size, how)
+                x = np.array([features(p - lengths(w, ordinary + content)) for w, p in zip(unseen, plain, strict=True)])
+                weights = _logistic(x, label.astype(float))
+                p = _curve(x, weights)
+                fitted = float(np.log(np.where(label, p, 1 - p)).sum())
+                best = max(best, (fitted, content, weights), key=lambda b: b[0])
+    return ToxicityModel(best[1], ordinary, tuple(map(float, best[2])))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_chars: int, id_col: str, text_col: str) -> tuple[list[str], list[int]]:
