@@ -1,50 +1,50 @@
 """Scoring text with a deleted-interpolation model.
 
-The outcomes are the known words, the end of a text, and one for any unknown word.  The context of a token is the
-last of the CONTEXTS most frequent words before it.  Three estimates are mixed:
+The outcomes are the known words, the end of a text, and one for any unknown word.  The context of a token is the word
+before it, or the beginning of the text.  Three estimates are mixed:
 
-* the maximum-likelihood probability of the word after its context; words beyond the TABLE_WORDS most frequent are
-  one class there, shared out among them by their own counts;
+* the maximum-likelihood probability of the token after its context;
 * the maximum-likelihood unigram;
 * all mass on the unknown word.
 
 Contexts fall in buckets by their frequency, and each bucket has its own weights.  Counts come from retained
 documents; the weights are those that make held-out counts likeliest, found by expectation-maximisation.
 
-All counts are whole-corpus counts made by Spark.  Frequent words, at most FREQUENT_WORDS, are broadcast with their
-counts, and so is the table of contexts, of at most (CONTEXTS + 1) * (TABLE_WORDS + 1) numbers.  Occurrences of all
-other words are joined to their counts.
+All counts of words and of pairs of words are whole-corpus counts, and no table of them is held anywhere whole.  Documents
+are dealt to batches of about BATCH_BYTES.  A batch sends its distinct words and pairs, with their numbers, to key
+buckets; a bucket adds up what all batches sent, and answers each with the corpus counts of its own keys, in order.  So
+one shuffle both counts and asks.  Batches then meet their answers: those of held-out documents give the weights, and
+all are scored.  Keys are 40 bits of a hash within their bucket, of which there are more as the corpus grows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.storage import collected, written
-from plumbline.llm.words import batches
+from plumbline.llm.storage import written
+from plumbline.llm.words import batches, mix
 
-FREQUENT_WORDS = 300_000
-TABLE_WORDS = 8191
-CONTEXTS = 255
-FLUSH = 1_500_000
+BATCH_BYTES = 6_000_000
+BUCKET_BYTES = 20_000_000  # of text, whose words and pairs go to one key bucket
 BUCKETS = 40  # of log2 context frequency
 BIN = 0.02  # of log10 ratios of the first two estimates
+LEAST_RATIO = 1e-9
 ADD = 0.1
-END = np.uint64(0)  # stands for the end of a text; no word's hash but for one chance in 2**64
-
-TYPE_ROW = "h long, train long, kept long"
+END = np.uint64(0)  # stands for the end of a text, and for its beginning as a context; no word's hash but for one chance in 2**64
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_KEY_BITS = np.uint64(40)
 
 
 def split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, text, part: part 0 is held out of training, 1 sets weights, others give counts, as does a null id."""
+    """id, text, part: part 0 is held out of training, 1 sets weights, others give counts, as does a null id."""
     part = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10, F.lit(2)).cast("int")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.alias("part"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), part.alias("part"))
 
 
 def tokens(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -59,97 +59,119 @@ def tokens(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield at, out, first
 
 
-def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]], frame: Callable[[np.ndarray, np.ndarray], pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of counts (rows of the second arrays) by key, given out whenever FLUSH keys are held."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        u, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        counts = np.concatenate([c for _, c in held], axis=1)
-        held.clear()
-        return u, np.stack([np.bincount(inverse, weights=c, minlength=len(u)) for c in counts]).astype(np.int64)
-
-    for part in found:
-        held.append(part)
-        if sum(len(k) for k, _ in held) > FLUSH:
-            yield frame(*merged())
-    if held:
-        yield frame(*merged())
-
-
-def word_types(docs: DataFrame) -> DataFrame:
-    """h, train, kept: every token of training documents, with its number in them and in the retained ones."""
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for f in frames:
-                kept = (f["part"] > 1).to_numpy()
-                for at, h, first in tokens(f["text"].tolist()):
-                    u, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-                    weight = np.repeat(kept[at : at + len(first) - 1], np.diff(first))
-                    yield u, np.stack([n, np.bincount(inverse, weights=weight, minlength=len(u)).astype(np.int64)])
-
-        return _gathered(found(), lambda u, c: pd.DataFrame({"h": u.view(np.int64), "train": c[0], "kept": c[1]}))
-
-    partial = docs.where("part > 0").select("text", "part").mapInPandas(count, TYPE_ROW)
-    return written(partial.groupBy("h").agg(F.sum("train").alias("train"), F.sum("kept").alias("kept")), "types")
-
-
-@dataclass
-class Lexicon:
-    """Frequent words in order of hash."""
-
-    h: np.ndarray
-    train: np.ndarray
-    kept: np.ndarray
-    column: np.ndarray = field(init=False)  # in the table of contexts; TABLE_WORDS: not in it
-    context: np.ndarray = field(init=False)  # number of the context that the word makes; -1: none
-
-    def __post_init__(self) -> None:
-        order = np.lexsort((self.h, -self.kept))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.column = np.where(self.kept > 0, np.minimum(rank, TABLE_WORDS), TABLE_WORDS)
-        words = [i for i in order[: CONTEXTS + 1] if self.h[i] != END and self.kept[i] > 0][:CONTEXTS]
-        self.context = np.full(len(order), -1)
-        self.context[words] = np.arange(len(words))
-
-    def places(self, h: np.ndarray) -> np.ndarray:
-        """Where these words are; -1 for those that aren't frequent."""
-        u, inverse = np.unique(h, return_inverse=True)
-        if not len(self.h) or not len(u):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.h, u), len(self.h) - 1)
-        return np.where(self.h[at] == u, at, -1)[inverse]
-
-    def contexts(self, place: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The context of each token: CONTEXTS where its text has none before it."""
-        own = np.where(place >= 0, self.context[place], -1)
-        last = np.maximum.accumulate(np.where(own >= 0, np.arange(len(own)), -1))
-        before = np.concatenate([[-1], last[:-1]])
-        begin = np.repeat(first[:-1], np.diff(first))
-        return np.where(before >= begin, own[before], CONTEXTS)
-
-
-def context_table(docs: DataFrame, lexicon) -> np.ndarray:
-    """How often each column's word follows each context in retained documents."""
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for f in frames:
-                for _, h, first in tokens(f["text"].tolist()):
-                    place = lexicon.value.places(h)
-                    column = np.where(place >= 0, lexicon.value.column[place], TABLE_WORDS)
-                    u, n = np.unique(lexicon.value.contexts(place, first) * (TABLE_WORDS + 1) + column, return_counts=True)
-                    yield u, n[None]
-
-        return _gathered(found(), lambda u, c: pd.DataFrame({"cell": u, "n": c[0]}))
-
-    partial = docs.where("part > 1").select("text").mapInPandas(count, "cell long, n long")
-    cells = collected(partial.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.sum("n").cast("float").alias("n")))  # no more than the table has
-    table = np.zeros((CONTEXTS + 1) * (TABLE_WORDS + 1), np.float32)
-    table[cells["cell"]] = cells["n"]
-    return table.reshape(CONTEXTS + 1, TABLE_WORDS + 1)
+class Batch:
+    """The tokens of some texts, by place among the batch's distinct words and pairs of a context and a word."""
+
+    def __init__(self, texts: list[str | None]):
+        hashes, docs, starts, n = [], [], [], 0
+        for at, h, first in tokens(texts):
+            hashes.append(h)
+            docs.append(np.repeat(np.arange(at, at + len(first) - 1), np.diff(first)))
+            starts.append(first[:-1] + n)
+            n += len(h)
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        self.tokens = np.bincount(self.doc, minlength=len(texts))
+        self.words, self.word = np.unique(h, return_inverse=True)
+        before = np.roll(h, 1)
+        before[start] = END
+        self.pairs, self.pair = np.unique(mix(before * _STEP + h), return_inverse=True)
+        self.context = np.roll(self.word, 1)
+        self.context[start] = np.searchsorted(self.words, END)
+
+
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of these keys by bucket and value, where each bucket begins in it, and their values."""
+    value = keys & ((np.uint64(1) << _KEY_BITS) - np.uint64(1))
+    bucket = (keys >> _KEY_BITS) % np.uint64(buckets)
+    order = np.lexsort((value, bucket))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)), value[order]
+
+
+def packed(x: np.ndarray, width: int) -> bytes:
+    """Whole numbers of so many bytes, the first bytes of all, then the second ones, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Rising values as their differences, which are smaller."""
+    return packed(np.diff(values, prepend=np.uint64(0)), 5)
+
+
+SENT_ROW = "bucket int, batch long, words binary, train binary, kept binary, pairs binary, times binary"
+
+
+def _sent(buckets: int):
+    """A batch's distinct words and pairs by bucket, with their numbers in training and in retained documents."""
+
+    def rows(rows: pd.DataFrame) -> pd.DataFrame:
+        b = Batch(rows["text"].tolist())
+        part = rows["part"].to_numpy()[b.doc]
+        train, kept = (np.bincount(b.word, weights=w, minlength=len(b.words)).astype(np.uint64) for w in (part > 0, part > 1))
+        times = np.bincount(b.pair, weights=part > 1, minlength=len(b.pairs)).astype(np.uint64)
+        (by_word, first, word), (by_pair, begin, pair) = (dealt(k, buckets) for k in (b.words, b.pairs))
+        out = []
+        for k in range(buckets):
+            w, p = slice(first[k], first[k + 1]), slice(begin[k], begin[k + 1])
+            if w.stop > w.start or p.stop > p.start:
+                out.append((k, rows["batch"].iloc[0], _steps(word[w]), packed(train[by_word[w]], 4), packed(kept[by_word[w]], 4), _steps(pair[p]), packed(times[by_pair[p]], 4)))
+        return pd.DataFrame(out, columns=["bucket", "batch", "words", "train", "kept", "pairs", "times"])
+
+    return rows
+
+
+ANSWER_ROW = "batch long, bucket int, train binary, kept binary, times binary, all_train long, all_kept long, all_words long"
+
+
+def _sums(keys: list[np.ndarray], numbers: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+    """For each list of numbers of these keys, the sums by key, and each batch's share of them."""
+    _, place = np.unique(np.concatenate(keys), return_inverse=True)
+    cut = np.cumsum([len(k) for k in keys])[:-1]
+    sums = [np.bincount(place, weights=np.concatenate(n)).astype(np.uint64) for n in numbers]
+    return sums, [np.split(s[place], cut) for s in sums]
+
+
+def _answers(rows: pd.DataFrame) -> pd.DataFrame:
+    """What a bucket tells each batch, and in a row of batch -1 its totals."""
+    words, pairs = ([np.cumsum(unpacked(x, 5), dtype=np.uint64) for x in rows[c]] for c in ("words", "pairs"))
+    train, kept, times = ([unpacked(x, 4) for x in rows[c]] for c in ("train", "kept", "times"))
+    (all_train, all_kept), (train, kept) = _sums(words, [train, kept])
+    _, (times,) = _sums(pairs, [times])
+    none = [0] * len(rows)
+    out = pd.DataFrame({"batch": rows["batch"], "bucket": rows["bucket"], "train": [packed(x, 4) for x in train], "kept": [packed(x, 4) for x in kept], "times": [packed(x, 4) for x in times], "all_train": none, "all_kept": none, "all_words": none})
+    total = (-1, rows["bucket"].iloc[0], None, None, None, int(all_train.sum()), int(all_kept.sum()), int((all_train > 0).sum()))
+    return pd.concat([out, pd.DataFrame([total], columns=out.columns)])
+
+
+def _put_back(keys: np.ndarray, buckets: int, answers: list[bytes]) -> np.ndarray:
+    order, _, _ = dealt(keys, buckets)
+    out = np.zeros(len(keys))
+    out[order] = np.concatenate([unpacked(x, 4) for x in answers]) if answers else 0
+    return out
+
+
+class Counted(Batch):
+    """A batch with the corpus counts of its words and pairs."""
+
+    def __init__(self, texts: pd.DataFrame, answers: pd.DataFrame, buckets: int, n_kept: int):
+        super().__init__(texts["text"].tolist())
+        answers = answers.sort_values("bucket")
+        self.train, self.kept = (_put_back(self.words, buckets, answers[c].tolist()) for c in ("train", "kept"))
+        times = _put_back(self.pairs, buckets, answers["times"].tolist())[self.pair]
+        seen = self.kept[self.context]
+        self.known = self.kept[self.word] > 0
+        self.bucket = np.where(seen > 0, np.minimum(BUCKETS - 1, 1 + np.log2(np.maximum(seen, 1)).astype(np.int64)), 0)
+        self.unigram = self.kept[self.word] / max(1, n_kept)
+        self.ratio = times / np.maximum(seen, 1) / np.where(self.known, self.unigram, 1)  # of the first estimate to the second
 
 
 def em_weights(high: np.ndarray, low: np.ndarray, count: np.ndarray, group: np.ndarray, groups: int, rounds: int = 60) -> np.ndarray:
@@ -166,91 +188,50 @@ def em_weights(high: np.ndarray, low: np.ndarray, count: np.ndarray, group: np.n
     return np.clip(weight, 1e-6, 1 - 1e-6)
 
 
-@dataclass
-class Model:
-    lexicon: Lexicon
-    table: np.ndarray
-    kept_tokens: int
-    other_tokens: float  # retained tokens that aren't in the table
-    unknown: np.ndarray  # weights by bucket
-    follows: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.seen = self.table.sum(axis=1, dtype=float)
-        self.bucket = np.minimum(BUCKETS - 1, np.log2(np.maximum(self.seen, 1)).astype(np.int64))
-
-    def after(self, context: np.ndarray, column: np.ndarray, kept: np.ndarray) -> np.ndarray:
-        """The first estimate over the second, of known words."""
-        share = np.where(column < TABLE_WORDS, np.maximum(kept, 1), max(1.0, self.other_tokens))
-        return self.table[context, column] / np.maximum(self.seen[context], 1) * self.kept_tokens / share
-
-    def known(self, context: np.ndarray, column: np.ndarray, kept: np.ndarray) -> np.ndarray:
-        """The probability of known words over their unigram estimate."""
-        b = self.bucket[context]
-        return (1 - self.unknown[b]) * (self.follows[b] * self.after(context, column, kept) + 1 - self.follows[b])
-
-
-def held_out_weights(docs: DataFrame, types: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
-    """By bucket: the weight of the unknown word, and that of the first estimate among the other two."""
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
-        for f in frames:
-            for _, h, first in tokens(f["text"].tolist()):
-                place = m.lexicon.places(h)
-                context = m.lexicon.contexts(place, first)
-                column = np.where(place >= 0, m.lexicon.column[place], TABLE_WORDS)
-                kept = np.where(place >= 0, m.lexicon.kept[place], 0) if len(m.lexicon.h) else np.zeros(len(h))
-                ratio = np.log10(np.maximum(m.after(context, column, kept), 1e-9))
-                out = pd.DataFrame({"h": np.where(place >= 0, 0, h.view(np.int64)), "rare": place < 0, "known": kept > 0, "bucket": m.bucket[context], "bin": np.round(ratio / BIN).astype(np.int64)})
-                yield out.groupby(["h", "rare", "known", "bucket", "bin"], as_index=False).size().rename(columns={"size": "n"})
-
-    found = written(docs.where("part = 1").select("text").mapInPandas(count, "h long, rare boolean, known boolean, bucket int, bin int, n long"), "held-out")
-    often = found.where("not rare").select("known", "bucket", "bin", "n")
-    kept = types.where("kept > 0").select("h", F.lit(True).alias("is_kept"))
-    seldom = found.where("rare").join(kept, "h", "left").select(F.coalesce("is_kept", F.lit(False)).alias("known"), "bucket", "bin", "n")
-    sums = pd.DataFrame(collected(often.union(seldom).groupBy("known", "bucket", "bin").agg(F.sum("n").alias("n"))))  # buckets times bins at most
-    known = sums[sums["known"]]
+def weights_of(sums: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """By bucket, from held-out counts (known, bucket, bin, n): the weight of the unknown word, and that of the first
+    estimate among the other two."""
+    known = sums[sums["known"].astype(bool)]
     total = np.bincount(sums["bucket"], weights=sums["n"], minlength=BUCKETS)
     new = total - np.bincount(known["bucket"], weights=known["n"], minlength=BUCKETS)
     unknown = (new + 0.5) / (total + 1)
     return unknown, em_weights(10.0 ** (known["bin"].to_numpy(float) * BIN), np.ones(len(known)), known["n"].to_numpy(float), known["bucket"].to_numpy(np.int64), BUCKETS)
 
 
-DOC_ROW = "id long, part int, tokens long, known long, base double, score double, rare array<long>, times array<int>, if_known array<float>, if_unknown array<float>"
-
-
-def _document_rows(held, base_of):
-    """Sums over each text's frequent tokens, and its other words: their number and what they add to the score."""
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m: Model = held.value
-        lex = m.lexicon
-        with np.errstate(divide="ignore"):
-            new, unigram = np.log10(m.unknown), np.log10(lex.kept / max(1, m.kept_tokens))
-        base = base_of(lex.train)
-        for f in frames:
-            ids, part = f["id"].astype("Int64"), f["part"].to_numpy()
-            for at, h, first in tokens(f["text"].tolist()):
-                n = len(first) - 1
-                doc = np.repeat(np.arange(n), np.diff(first))
-                place = lex.places(h)
-                context = lex.contexts(place, first)
-                b = m.bucket[context]
-                often = place >= 0
-                p = place[often]
-                kept = lex.kept[p]
-                value = np.where(kept > 0, unigram[p] + np.log10(m.known(context[often], lex.column[p], kept)), new[b[often]])
-                sums = [np.bincount(doc[often], weights=x, minlength=n) for x in (base[p], value, lex.train[p] > 0)]
-                rest = np.flatnonzero(~often)
-                none = np.full(len(rest), TABLE_WORDS)
-                u, word = np.unique(h[rest], return_inverse=True)
-                pair, inverse, times = np.unique(doc[rest].astype(np.int64) * max(1, len(u)) + word, return_inverse=True, return_counts=True)
-                known = np.bincount(inverse, weights=np.log10(m.known(context[rest], none, none)), minlength=len(pair)).astype(np.float32)
-                unknown = np.bincount(inverse, weights=new[b[rest]], minlength=len(pair)).astype(np.float32)
-                words, cut = u[pair % max(1, len(u))].view(np.int64), np.searchsorted(pair // max(1, len(u)), np.arange(n + 1))
-                lists = {k: [x[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)] for k, x in (("rare", words), ("times", times.astype(np.int32)), ("if_known", known), ("if_unknown", unknown))}
-                yield pd.DataFrame({"id": ids.iloc[at : at + n].array, "part": part[at : at + n], "tokens": np.diff(first), "known": sums[2].astype(np.int64), "base": sums[0], "score": sums[1], **lists})
+def _held_out(buckets: int, n_kept: int):
+    """How many tokens of a batch there are of each bucket and ratio of the first two estimates."""
+
+    def rows(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        c = Counted(texts, answers, buckets, n_kept)
+        ratio = np.log10(np.maximum(c.ratio, LEAST_RATIO))
+        found = pd.DataFrame({"known": c.known, "bucket": c.bucket, "bin": np.where(c.known, np.round(ratio / BIN), 0).astype(np.int64)})
+        return found.groupby(["known", "bucket", "bin"], as_index=False).size().rename(columns={"size": "n"})
+
+    return rows
+
+
+SCORE_ROW = "id long, part int, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(buckets: int, n: int, n_kept: int, v: int, unknown: np.ndarray, follows: np.ndarray):
+    def rows(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts):
+            return pd.DataFrame(columns=["id", "part", "n_tokens", "n_known", "base_score", "score"])
+        c = Counted(texts, answers, buckets, n_kept)
+        base = np.log10((c.train + ADD) / (n + ADD * (v + 1)))[c.word]
+        mixed = follows[c.bucket] * c.ratio + 1 - follows[c.bucket]
+        p = np.where(c.known, (1 - unknown[c.bucket]) * c.unigram * mixed, unknown[c.bucket])
+        by_doc = lambda x: np.bincount(c.doc, weights=x, minlength=len(texts))
+        return pd.DataFrame(
+            {
+                "id": texts["id"].astype("Int64"),
+                "part": texts["part"],
+                "n_tokens": c.tokens,
+                "n_known": by_doc((c.train > 0)[c.word]).astype(np.int64),
+                "base_score": by_doc(base),
+                "score": by_doc(np.log10(p)),
+            }
+        )
 
     return rows
 
@@ -260,52 +241,40 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Tokens are the words and one end.  base_score is the log10 probability under add-ADD unigrams of the documents
     whose crc32(id) mod 10 isn't 0; score is that of the mixed model, learned from the same documents; the others are
-    held_out.  A null or blank text has its end alone.  Repeated rows are each scored and each counted.  An empty
-    table gives an empty result.
+    held_out.  A null or blank text has its end alone.  Repeated rows are each scored and each counted; a null id counts
+    as a training document.  Other columns of ``docs`` are left alone, whatever their names.  An empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     parts = split(docs, id_col, text_col)
-    types = word_types(parts)
-    total = types.agg(F.sum("train"), F.sum("kept"), F.count("*")).first()
+    of_text = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+    sizes = parts.agg(F.sum(of_text).alias("all"), F.sum(F.when(F.col("part") == 1, of_text)).alias("weights")).first()
+    n_batches = [1 + (size or 0) // BATCH_BYTES for size in ((sizes["all"] or 0) - (sizes["weights"] or 0), sizes["weights"])]
+    buckets = 1 + (sizes["all"] or 0) // BUCKET_BYTES
+    key = F.xxhash64("id", "text")
+    # documents that set the weights have batches of their own, so that only they are read for it
+    batch = F.when(F.col("part") == 1, n_batches[0] + F.pmod(key, F.lit(n_batches[1]))).otherwise(F.pmod(key, F.lit(n_batches[0])))
+    texts = parts.withColumn("batch", batch.cast("long"))
+
+    sent = texts.select("batch", "text", "part").groupBy("batch").applyInPandas(_sent(buckets), SENT_ROW)
+    answers = written(sent.groupBy("bucket").applyInPandas(_answers, ANSWER_ROW), "lm-answers")
+    total = answers.where("batch = -1").agg(F.sum("all_train"), F.sum("all_kept"), F.sum("all_words")).first()
     n, n_kept, v = (int(x or 0) for x in total)
+    told = answers.where("batch >= 0").select("batch", "bucket", "train", "kept", "times")
 
-    # eight bins for each doubling of the count
-    of = F.floor(F.log2("train") * 8)
-    bins = types.groupBy(of.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect()
-    level, taken = None, 0
-    for b in bins:
-        taken += b.n
-        if taken > FREQUENT_WORDS:
-            break
-        level = b.bin
-    wanted = (F.col("h") == 0) | (of >= level if level is not None else F.lit(False))
-    frequent = collected(types.where(wanted))  # FREQUENT_WORDS rows and one
-    key = frequent["h"].view(np.uint64)
-    order = np.argsort(key)
-    lexicon = Lexicon(key[order], *(frequent[c][order].astype(float) for c in ("train", "kept")))
-
-    table = context_table(parts, spark.sparkContext.broadcast(lexicon))
-    draft = Model(lexicon, table, n_kept, float(table[:, TABLE_WORDS].sum(dtype=float)), np.full(BUCKETS, 0.5), np.full(BUCKETS, 0.5))
-    unknown, follows = held_out_weights(parts, types, spark.sparkContext.broadcast(draft))
-    held = spark.sparkContext.broadcast(Model(lexicon, table, n_kept, draft.other_tokens, unknown, follows))
-
-    scale = n + ADD * (v + 1)
-    scored = written(parts.mapInPandas(_document_rows(held, lambda c: np.log10((c + ADD) / scale)), DOC_ROW).withColumn("row", F.monotonically_increasing_id()), "lm-documents")
-    other = scored.select("row", F.explode(F.arrays_zip("rare", "times", "if_known", "if_unknown")).alias("w"))
-    other = other.select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"), F.col("w.if_known").alias("if_known"), F.col("w.if_unknown").alias("if_unknown"))
-    train, kept = F.coalesce("train", F.lit(0)), F.coalesce("kept", F.lit(0))
-    met = other.join(types, "h", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((train + ADD) / F.lit(scale))).alias("rare_base"),
-        F.sum(F.when(kept > 0, F.col("times") * F.log10(kept / F.lit(float(max(1, n_kept)))) + F.col("if_known")).otherwise(F.col("if_unknown"))).alias("rare_score"),
-        F.sum(F.when(train > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-    )
-    zero = F.lit(0.0)
-    return scored.drop("rare", "times", "if_known", "if_unknown").join(met, "row", "left").select(
+    held_out = texts.where("part = 1").select("batch", "text").groupBy("batch")
+    counts = held_out.cogroup(told.where(F.col("batch") >= n_batches[0]).groupBy("batch")).applyInPandas(_held_out(buckets, n_kept), "known boolean, bucket int, bin int, n long")
+    sums = counts.groupBy("known", "bucket", "bin").agg(F.sum("n").alias("n")).toPandas()  # buckets times bins at most
+    unknown, follows = weights_of(sums)
+
+    score = _scored(buckets, n, n_kept, v, unknown, follows)
+    scored = texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, SCORE_ROW)
+    return scored.select(
         F.col("id").alias(id_col),
         (F.col("part") == 0).alias("held_out"),
-        F.col("tokens").alias("n_tokens"),
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        "n_tokens",
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", zero)).alias("score"),
+        "base_score",
+        "score",
     )

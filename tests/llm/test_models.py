@@ -175,17 +175,67 @@ def test_base_score_and_improvement(spark):
     assert language_model.score_texts(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 
 
-def test_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    lexicon = language_model.Lexicon(np.sort(rng.integers(0, 2**63, 50, dtype=np.uint64)), np.ones(50), np.arange(1.0, 51.0))
-    table = np.zeros((language_model.CONTEXTS + 1, language_model.TABLE_WORDS + 1), np.float32)
-    table[3, lexicon.column] = rng.integers(0, 9, 50)
-    table[3, -1] = 4
-    model = language_model.Model(lexicon, table, int(lexicon.kept.sum()) + 30, 30.0, np.full(language_model.BUCKETS, 0.1), np.full(language_model.BUCKETS, 0.6))
-    context = np.full(50, 3)
-    known = (model.known(context, lexicon.column, lexicon.kept) * lexicon.kept / model.kept_tokens).sum()
-    other = model.known(context[:1], np.array([language_model.TABLE_WORDS]), np.zeros(1))[0] * 30 / model.kept_tokens  # thirty words seen once
-    assert known + other + 0.1 == pytest.approx(1)
+def brute_scores(rows):
+    """Scores by plain counts: a word after its context, the word alone, the unknown word."""
+    part = [2 if i is None else zlib.crc32(str(i).encode()) % 10 for i, _ in rows]
+    texts = [[w for w in re.split("[\x20\x09-\x0d]+", (t or "").lower()) if w] + [""] for _, t in rows]
+    pairs, kept = Counter(), Counter()
+    for t, p in zip(texts, part, strict=True):
+        if p > 1:
+            kept.update(t)
+            pairs.update(zip(["", *t], t, strict=False))
+    n = sum(kept.values())
+    assert all(sum(c for (v, _), c in pairs.items() if v == w) == kept[w] for w in kept)  # so estimates sum to one
+
+    def bucket(v):
+        return min(language_model.BUCKETS - 1, 1 + int(math.log2(kept[v]))) if kept[v] else 0
+
+    def ratio(v, w):
+        return pairs[v, w] / max(1, kept[v]) * n / kept[w]
+
+    seen = {}
+    for t, p in zip(texts, part, strict=True):
+        for v, w in zip(["", *t], t, strict=False) if p == 1 else ():
+            seen.setdefault(bucket(v), []).append(round(math.log10(max(ratio(v, w), 1e-9)) / 0.02) * 0.02 if kept[w] else None)
+    unknown, follows = {}, {}
+    for b in range(language_model.BUCKETS):
+        mine = seen.get(b, [])
+        high = [10.0**x for x in mine if x is not None]
+        unknown[b] = (len(mine) - len(high) + 0.5) / (len(mine) + 1)
+        weight = 0.5
+        for _ in range(60 if high else 0):
+            weight = sum(weight * h / (weight * h + 1 - weight) for h in high) / len(high)
+        follows[b] = min(max(weight, 1e-6), 1 - 1e-6)
+    out = []
+    for t in texts:
+        total = 0.0
+        for v, w in zip(["", *t], t, strict=False):
+            b = bucket(v)
+            p = (1 - unknown[b]) * kept[w] / n * (follows[b] * ratio(v, w) + 1 - follows[b]) if kept[w] else unknown[b]
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("batch_bytes", [language_model.BATCH_BYTES, 700])
+def test_score_is_that_of_plain_counts(spark, monkeypatch, batch_bytes):
+    monkeypatch.setattr(language_model, "BATCH_BYTES", batch_bytes)
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 5 * batch_bytes)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"W{int(k)}" for k in rng.zipf(1.4, int(rng.integers(0, 60))) % 300) for _ in range(200)]
+    rows = [*enumerate(texts), (None, "no id here"), (201, None), (202, " "), (3, texts[3]), (203, "once only")]
+    frame = spark.createDataFrame([(i, t, "x", 1.0, 4) for i, t in rows], "doc_id long, text string, batch string, score double, part int")
+    out = sorted((r.doc_id or -1, r.score) for r in language_model.score_texts(frame).collect())
+    want = sorted((i or -1, x) for (i, _), x in zip(rows, brute_scores(rows), strict=True))
+    assert [i for i, _ in out] == [i for i, _ in want]
+    assert [x for _, x in out] == pytest.approx([x for _, x in want], rel=1e-6)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**40 - 1), max_size=40))
+def test_packed_numbers_come_back(values):
+    x = np.array(sorted(values), np.uint64)
+    assert language_model.unpacked(language_model.packed(x, 5), 5).tolist() == x.tolist()
 
 
 def test_em_finds_the_mixture():
