@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.relational import ranked
+
 BINS = 10
 
 
@@ -74,9 +76,7 @@ def ece_probability(df: DataFrame, keys: list[str], prob: str = "prob", label: s
 
 def risk_curve(df: DataFrame, keys: list[str], order: list[Column], err: Column) -> DataFrame:
     """df with k, its rank in this order, and risk, the error rate of the first k."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({"k": F.row_number().over(w), "risk": F.avg(err.cast("double")).over(upto), "n": F.count("*").over(Window.partitionBy(*keys))})
+    return ranked(df, keys, order, "k", sums={"_errors": err.cast("double")}, total="n").withColumn("risk", F.col("_errors") / F.col("k")).drop("_errors")
 
 
 def aurc(df: DataFrame, keys: list[str], conf: Column, err: Column, tie: str = "id", name: str = "aurc") -> DataFrame:
@@ -84,13 +84,26 @@ def aurc(df: DataFrame, keys: list[str], conf: Column, err: Column, tie: str = "
     return risk_curve(df, keys, [conf.desc(), F.col(tie)], err).groupBy(*keys).agg(F.avg("risk").alias(name))
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n, by its series beyond 30; 0 of 0."""
+    few = F.aggregate(F.sequence(F.lit(0), F.least(n, F.lit(30)).cast("int")), F.lit(0.0), lambda t, k: t + F.when(k > 0, 1.0 / k).otherwise(0.0))
+    x = n.cast("double")
+    series = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
+    return F.when(n <= 30, few).otherwise(series)
+
+
 def aurc_expected(df: DataFrame, keys: list[str], conf: Column, err: Column, name: str = "aurc") -> DataFrame:
-    """aurc in expectation over random orders of ties: within a block of ties errors come at the block's rate."""
+    """aurc in expectation over random orders of ties: within a block of ties errors come at the block's rate.
+
+    The error rate at rank n0 + j is (e0 + r * j) / (n0 + j), that is r + (e0 - r * n0) / (n0 + j), so a block's sum needs
+    a difference of harmonic numbers and no row for each rank.
+    """
     blocks = df.groupBy(*keys, conf.alias("c")).agg(F.count("*").alias("n"), F.sum(err.cast("double")).alias("e"))
     down = _up(keys, F.col("c").desc())
     blocks = blocks.withColumns({"n0": F.sum("n").over(down) - F.col("n"), "e0": F.sum("e").over(down) - F.col("e")})
-    ranks = blocks.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return ranks.groupBy(*keys).agg(F.avg((F.col("e0") + F.col("e") * F.col("j") / F.col("n")) / (F.col("n0") + F.col("j"))).alias(name))
+    r = F.col("e") / F.col("n")
+    block = r * F.col("n") + (F.col("e0") - r * F.col("n0")) * (harmonic(F.col("n0") + F.col("n")) - harmonic(F.col("n0")))
+    return blocks.withColumn("sum", block).groupBy(*keys).agg((F.sum("sum") / F.sum("n")).alias(name))
 
 
 def selective_accuracy(df: DataFrame, keys: list[str], conf: Column, right: Column, coverage: float = 0.5, half_even: bool = False, tie: str = "id", name: str = "sel_acc") -> DataFrame:
@@ -112,10 +125,14 @@ def error_rates(df: DataFrame, keys: list[str], pred: str = "pred", label: str =
 
 
 def midrank(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """df with the tie-averaged rank of a column."""
-    w = Window.partitionBy(*keys).orderBy(column)
-    ties = Window.partitionBy(*keys, column)
-    return df.withColumn(name, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
+    """df with the tie-averaged rank of a column: values are counted, and the counts ranked."""
+    counts = df.groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = ranked(counts, keys, ["_v"], "_r", sums={"_upto": F.col("_c")})
+    places = upto.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+    same = F.col(column).eqNullSafe(F.col("_v"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(places, same).drop("_v", *[f"_k{i}" for i in range(len(keys))])
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, name: str = "rho") -> DataFrame:
@@ -124,8 +141,8 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, name: str = "rho")
 
 def spearman_ordinal(df: DataFrame, keys: list[str], a: str, b: str, tie: str = "id", name: str = "rho_ordinal") -> DataFrame:
     """Ranks without tie averaging; ties go by id."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c, tie))
-    return df.withColumns({"_ra": rank(a), "_rb": rank(b)}).groupBy(*keys).agg(F.corr("_ra", "_rb").alias(name))
+    rows = df.select(*keys, a, b, tie)
+    return ranked(ranked(rows, keys, [a, tie], "_ra"), keys, [b, tie], "_rb").groupBy(*keys).agg(F.corr("_ra", "_rb").alias(name))
 
 
 def temperature(df: DataFrame, keys: list[str], prob: str = "prob", label: str = "label", low: float = 0.2, high: float = 5.0, steps: int = 60) -> DataFrame:

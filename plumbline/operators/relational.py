@@ -7,10 +7,13 @@ run over a whole table, ranks are made by range partition (see ``ranked``).
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.staging import staged
+
 
 def classed(df: DataFrame, column: str, positive: list[str], negative: list[str], name: str = "label") -> DataFrame:
     """Rows of either class with ``name`` 1 or 0; others are left out."""
@@ -37,7 +40,8 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def median_binarized(df: DataFrame, keys: list[str], value: str, name: str = "label") -> DataFrame:
     """Above the group's median; if that gives one class, above its mean; groups that still have one are left out."""
-    cuts = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_median"), F.avg(value).alias("_mean"), F.max(value).alias("_max"), F.min(value).alias("_min"))
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.max(value).alias("_max"), F.min(value).alias("_min"))
+    cuts = percentiles(df, keys, value, [0.5], "_p").withColumn("_median", F.col("_p")[0]).join(means, keys)
     by_median = (F.col("_min") <= F.col("_median")) & (F.col("_max") > F.col("_median"))
     by_mean = (F.col("_min") <= F.col("_mean")) & (F.col("_max") > F.col("_mean"))
     cuts = cuts.select(*keys, F.when(by_median, F.col("_median")).when(by_mean, F.col("_mean")).alias("_cut")).where("_cut is not null")
@@ -46,7 +50,7 @@ def median_binarized(df: DataFrame, keys: list[str], value: str, name: str = "la
 
 def tercile_split(df: DataFrame, keys: list[str], value: str, name: str = "label") -> DataFrame:
     """Rows of the lowest and highest third of each group, labelled 0 and 1."""
-    cuts = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cut"))
+    cuts = percentiles(df, keys, value, [1 / 3, 2 / 3], "_cut")
     low, high = F.col("_cut")[0], F.col("_cut")[1]
     inside = df.join(F.broadcast(cuts), keys).where((F.col(value) <= low) | (F.col(value) >= high))
     return inside.withColumn(name, (F.col(value) >= high).cast("int")).drop("_cut")
@@ -144,19 +148,65 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -
     return df.withColumn("k", F.row_number().over(w).cast("long")).where(F.col("k") <= k)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
+def ranked(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str | Column],
+    name: str = "rank",
+    parts: int | None = None,
+    sums: Mapping[str, Column] | None = None,
+    total: str | None = None,
+) -> DataFrame:
     """df with the row number within keys, without sorting a whole group in one task.
 
-    Rows are range-partitioned by keys and order; numbers within a partition are raised by the rows of the group in
-    the partitions before it.
+    Rows are range-partitioned and sorted by keys and order, and staged with their place, so that counting and numbering
+    see the same partitions.  A row's number is its place in its partition, raised by the rows of the group in the
+    partitions before it.  Null keys are one group.  sums: running sums of these numbers up to and with each row.
+    total: a column for the number of rows of the group.
     """
+    sums = sums or {}
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_part", *keys).orderBy(*order)
-    return dealt.join(offsets, ["_part", *keys]).withColumn(name, F.col("_before") + F.row_number().over(own)).drop("_part", "_before")
+    dealt = df.withColumns(sums).repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    dealt = staged(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", 33))
+    held = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), *[F.sum(s).alias(s) for s in sums])
+    # a row for each partition that a group reaches into
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select(
+        F.col("_part").alias("_p"),
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}_before") for s in sums],
+        *([F.sum("_n").over(group).alias(total)] if total else []),
+    )
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    upto = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    raised = {s: F.sum(s).over(upto) + F.col(f"_{s}_before") for s in sums}
+    numbered = dealt.join(offsets, same).withColumns({name: F.col("_at") + F.col("_shift"), **raised})
+    return numbered.drop("_at", "_part", "_p", "_shift", *[f"_k{i}" for i in range(len(keys))], *[f"_{s}_before" for s in sums])
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], name: str = "percentiles") -> DataFrame:
+    """keys, and an array of these exact percentiles of each group, interpolated between neighbours; nulls are left out.
+
+    Values are counted first, and ranked by partition, so no task holds all values of a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    upto = ranked(counts, keys, ["_v"], "_r", sums={"_upto": F.col("_c")})
+    all_rows = counts.groupBy(*keys).agg(F.sum("_c").alias("_all"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True))
+    placed = upto.join(all_rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_all"), same)
+
+    def at(share: float) -> Column:
+        place = (F.col("_all") - 1) * F.lit(share)
+        low, high = F.floor(place), F.ceil(place)
+        holds = lambda k: (k >= F.col("_upto") - F.col("_c")) & (k < F.col("_upto"))
+        exact = F.when(holds(low) & (low == high), F.col("_v"))
+        return F.sum(F.coalesce(exact, F.when(holds(low), (high - place) * F.col("_v")).otherwise(0.0) + F.when(holds(high), (place - low) * F.col("_v")).otherwise(0.0)))
+
+    return placed.groupBy(*keys).agg(F.array(*[at(s) for s in shares]).alias(name))
 
 
 def systematic(df: DataFrame, order: list[str], n: int, ends: bool = False, name: str = "i") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.metrics import ratio
+from plumbline.operators.relational import ranked
 
 
 def _right(err: str) -> Column:
@@ -43,13 +44,10 @@ def threshold_policy(df: DataFrame, keys: list[str], err: str = "err", spec_err:
 def coverage_routing(df: DataFrame, keys: list[str], order: list[Column], err: str = "err", spec_err: str = "spec_err") -> DataFrame:
     """keys, coverage, routed: the model on the first k in this order and the specialist on the rest, at the best k of
     all from 0 to n; of equals the smallest."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    gain = F.sum(_right(err) - _right(spec_err)).over(upto)
-    cut = df.select(*keys, F.row_number().over(w).alias("k"), gain.alias("gain"), F.sum(_right(spec_err)).over(whole).alias("spec"), F.count("*").over(whole).alias("n"))
-    none = cut.groupBy(*keys).agg(F.lit(0).alias("k"), F.lit(0.0).alias("gain"), F.first("spec").alias("spec"), F.first("n").alias("n"))
-    best = cut.unionByName(none).groupBy(*keys).agg(F.max(F.struct(F.round("gain", 6).alias("gain"), (-F.col("k")).alias("k"))).alias("b"), F.first("spec").alias("spec"), F.first("n").alias("n"))
+    cut = ranked(df, keys, order, "k", sums={"gain": _right(err) - _right(spec_err)}).select(*keys, "k", "gain")
+    whole = df.groupBy(*keys).agg(F.sum(_right(spec_err)).alias("spec"), F.count("*").alias("n"))
+    none = whole.select(*keys, F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("gain"))
+    best = cut.unionByName(none).groupBy(*keys).agg(F.max(F.struct(F.round("gain", 6).alias("gain"), (-F.col("k")).alias("k"))).alias("b")).join(whole, keys)
     return best.select(*keys, (-F.col("b.k") / F.col("n")).alias("coverage"), ((F.col("spec") + F.col("b.gain")) / F.col("n")).alias("routed"))
 
 

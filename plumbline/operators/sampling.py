@@ -5,7 +5,7 @@ Quotas are ranks within a class, made by range partition, so no class is sorted
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import md5_number, shuffle_key
@@ -51,13 +51,10 @@ def group_folds(df: DataFrame, k: int, seed, group: str = "grp") -> DataFrame:
 
 def group_holdout(df: DataFrame, share: float, seed, group: str = "grp") -> DataFrame:
     """df with test: whole groups in hash order, as long as they start below the share of rows."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    order = sizes.withColumn("_h", shuffle_key(seed, F.col(group)))
-    parts = ranked(order, [], ["_h", group], "_rank")
-    before = Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a group
-    cut = parts.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy())})
-    return df.join(cut.select(group, (F.col("_before") < share * F.col("_all")).alias("test")), group)
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_h", shuffle_key(seed, F.col(group)))
+    upto = ranked(sizes, [], ["_h", group], "_rank", sums={"_upto": F.col("_n")})
+    cut = upto.join(F.broadcast(df.agg(F.count("*").alias("_all")))).select(group, (F.col("_upto") - F.col("_n") < share * F.col("_all")).alias("test"))
+    return df.join(cut, group)
 
 
 def greedy_folds(sizes: dict[str, int], k: int) -> dict[str, int]:
@@ -101,12 +98,12 @@ def reserved_examples(df: DataFrame, k: int, seed, key: str = "id", label: str =
 
 def multiplicities(units: DataFrame, keys: list[str], unit: str, reps: int, seed) -> DataFrame:
     """keys, rep, unit, m: how often each unit is drawn in each replicate of its group, with replacement."""
-    numbers = ranked(units, keys, [unit], "_rank")
-    sizes = units.groupBy(*keys).agg(F.count("*").alias("_n"))
-    drawn = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    numbers = ranked(units, keys, [unit], "_rank", total="_n")
+    # every unit makes one draw in each replicate
+    drawn = numbers.select(*keys, "_n", (F.col("_rank") - 1).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     at = F.pmod(md5_number(seed, F.col("rep"), F.col("_i")), F.col("_n")) + 1
     counts = drawn.withColumn("_rank", at).groupBy(*keys, "rep", "_rank").agg(F.count("*").alias("m"))
-    return counts.join(numbers, [*keys, "_rank"]).select(*keys, "rep", unit, "m")
+    return counts.join(numbers.drop("_n"), [*keys, "_rank"]).select(*keys, "rep", unit, "m")
 
 
 def interval(values: DataFrame, keys: list[str], column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -169,7 +169,7 @@ def x6(t):
 
 @query("q_x8_frozen_test_fold")
 def x8(t):
-    from plumbline.sources.readers import scratch
+    from plumbline.sources.staging import scratch
 
     sizes = {row["grp"]: row["n"] for row in t.items.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # one row a source
     frozen = [g for g, f in x.greedy_folds(sizes, 5).items() if f == 0]

@@ -12,6 +12,7 @@ from plumbline.operators import solver
 from plumbline.plans.metric_queries import AUROC, RANKS, rounded
 from plumbline.plans.registry import query
 from plumbline.sources import readers, sinks
+from plumbline.sources.staging import scratch
 from plumbline.streaming import scorecard
 
 KEYS = ["model", "task"]
@@ -19,7 +20,7 @@ KEYS = ["model", "task"]
 
 @query("q_s1_jsonl", "SELECT id::VARCHAR AS id, task AS property, 'matched' AS condition, label FROM items WHERE id % 3 <> 0", "items")
 def s1(t):
-    path = readers.scratch(t.spark, "items")
+    path = scratch(t.spark, "items")
     condition = F.when(F.col("id") % 3 == 0, "scrambled")
     out = t.items.select(F.col("id").cast("string").alias("id"), F.col("task").alias("property"), condition.alias("condition"), F.col("label").cast("double").cast("string").alias("label"))
     sinks.write_rows(out, path)
@@ -28,7 +29,7 @@ def s1(t):
 
 @query("q_s2_csv", "SELECT c_custkey::VARCHAR AS id, c_name AS name, c_acctbal AS balance FROM customer")
 def s2(t):
-    path = readers.scratch(t.spark, "customers")
+    path = scratch(t.spark, "customers")
     sinks.write_rows(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), path, "csv")
     return readers.csv_rows(t.spark, path).withColumn("balance", F.col("balance").cast("double"))
 
@@ -43,14 +44,14 @@ def _records(t, tail):
 
 @query("q_s4_fasta", FASTA)
 def s4(t):
-    path = readers.scratch(t.spark, "fasta")
+    path = scratch(t.spark, "fasta")
     _records(t, F.concat(F.lit("GN=G"), F.col("s_nationkey").cast("string"))).write.text(path)
     return readers.fasta_proteins(t.spark, path)
 
 
 @query("q_s5_fasta_target", "SELECT 'sp|P' || s_suppkey || '|X' AS id, s_acctbal AS target, upper(replace(s_name, '#', '')) || s_suppkey AS sequence FROM supplier")
 def s5(t):
-    path = readers.scratch(t.spark, "fasta")
+    path = scratch(t.spark, "fasta")
     _records(t, F.concat(F.lit("TARGET="), F.col("s_acctbal").cast("string"))).write.text(path)
     return readers.fasta_targets(t.spark, path)
 
@@ -63,7 +64,7 @@ def s6(t):
 
 @query("q_s7_tsv", "SELECT p_partkey::VARCHAR AS id, CASE WHEN p_size % 4 <> 0 THEN p_brand END AS brand FROM part")
 def s7(t):
-    path = readers.scratch(t.spark, "tsv")
+    path = scratch(t.spark, "tsv")
     rows = t.part.select(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name", F.when(F.col("p_size") % 4 != 0, F.col("p_brand"))).alias("value"))
     head = t.spark.createDataFrame([("#id\tname\tbrand",)], "value string")
     head.unionByName(rows).write.option("compression", "gzip").text(path)
@@ -77,7 +78,7 @@ def s8(t):
 
 @query("q_s11_json_results", "SELECT model, count(*) AS n FROM preds WHERE model <> 'gamma' GROUP BY ALL", "preds")
 def s11(t):
-    base = readers.scratch(t.spark, "results")
+    base = scratch(t.spark, "results")
     for name in ("alpha", "beta", "dry-run"):
         counts = t.preds.where(F.col("model") == name).agg(F.count("*").alias("n"))
         sinks.write_rows(counts, f"{base}/{name}")
@@ -86,7 +87,7 @@ def s11(t):
 
 @query("q_s14_layer_profiles", "SELECT 'region ' || n_regionkey AS series, n_nationkey::INT AS layer, (n_regionkey * 2)::DOUBLE AS value FROM nation")
 def s14(t):
-    path = readers.scratch(t.spark, "profiles")
+    path = scratch(t.spark, "profiles")
     lines = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("k")).select(
         F.concat(F.lit("### region "), F.col("n_regionkey").cast("string"), F.lit("\n"), F.array_join(F.transform("k", lambda k: F.concat(k.cast("string"), F.lit(" "), (F.col("n_regionkey") * 2).cast("string"))), "\n")).alias("value")
     )
@@ -96,7 +97,7 @@ def s14(t):
 
 @query("q_k2_export", "SELECT web, count(*) AS n FROM items GROUP BY ALL", "items")
 def k2(t):
-    return sinks.export_parquet(t.items.select("id", "label", "web"), readers.scratch(t.spark, "export"), "web")
+    return sinks.export_parquet(t.items.select("id", "label", "web"), scratch(t.spark, "export"), "web")
 
 
 @query("q_k3_upsert", "SELECT model, task, count(*) AS n, model = 'beta' AS fresh FROM preds WHERE model <> 'gamma' GROUP BY ALL", "preds")

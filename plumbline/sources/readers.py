@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ITEM = "id string, modality string, property string, condition string, representation string, label string, source string"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, else, in a local session, in a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def label(value: Column) -> Column:
     """1 or 0 from "1", "1.0" and the like; null from anything else."""
     return value.try_cast("double").try_cast("int")

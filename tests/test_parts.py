@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,30 @@ def test_median_binarized_needs_two_classes(spark):
 def test_systematic(spark, n):
     out = r.systematic(spark.range(100).withColumnRenamed("id", "v"), ["v"], n).collect()
     assert sorted(row.v for row in out) == [int(i * 100 / n) for i in range(n)]
+
+
+def test_ranks_of_a_wide_table_in_many_partitions(spark):
+    n = 1_000_000
+    df = spark.range(0, n, 1, 16).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"), F.sha2(F.col("id").cast("string"), 512).alias("payload"))
+    numbered = r.ranked(df, ["label"], [F.xxhash64("id"), "id"], total="n")
+    seen = numbered.groupBy("label").agg(F.count_distinct("rank").alias("d"), F.min("rank").alias("a"), F.max("rank").alias("z"), F.max("n").alias("n"), F.count("*").alias("c")).collect()
+    assert sum(row.c for row in seen) == n and all((row.a, row.z, row.d, row.n) == (1, row.c, row.c, row.c) for row in seen)
+    assert s.shuffled_labels(df, 3).count() == n
+
+
+def test_ranks_with_null_keys_and_running_sums(spark):
+    df = spark.createDataFrame([(k, i, float(i % 4)) for i, k in enumerate([None, "a", "a", None, "b"] * 20)], "k string, v int, x double")
+    out = r.ranked(df, ["k"], [F.desc("v")], sums={"upto": F.col("x")}, parts=5).collect()
+    for k in (None, "a", "b"):
+        rows = sorted((row for row in out if row.k == k), key=lambda row: -row.v)
+        assert [row["rank"] for row in rows] == list(range(1, len(rows) + 1))
+        assert [row.upto for row in rows] == [sum(q.x for q in rows[: i + 1]) for i in range(len(rows))]
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    data = {"a": rng.integers(0, 5, 40).tolist(), "b": rng.normal(size=31).tolist(), None: [2.5]}
+    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [("a", None)], "k string, v double")
+    shares = [0.0, 1 / 3, 0.5, 0.9, 1.0]
+    out = {row.k: row.p for row in r.percentiles(df, ["k"], "v", shares, "p").collect()}
+    assert set(out) == set(data) and all(out[k] == pytest.approx(np.quantile(x, shares).tolist()) for k, x in data.items())
