@@ -14,12 +14,15 @@ _own_folder: str | None = None
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, else one of our own.
 
-    The second case is for local sessions such as tests, where all tasks run on this machine.
+    The second case is for local sessions such as tests, where all tasks run on this machine; any other session must
+    name one.
     """
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
     return _own_folder

@@ -121,6 +121,14 @@ def test_components_of_a_chain(spark):
     assert {out[k] for k in range(61)} == {0} and out[101] == 100
 
 
+def test_components_of_a_long_chain_in_few_rounds(spark, monkeypatch):
+    tables, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name, tasks=None: tables.append(name) or write(df, name, tasks))
+    links = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    out = components.components(links).agg(F.count("*").alias("n"), F.max("component").alias("top")).first()
+    assert (out.n, out.top) == (10_001, 0) and tables.count("links-step") < 20
+
+
 # ---- decontamination --------------------------------------------------------------------------------------------
 
 
@@ -145,7 +153,7 @@ def brute_contamination(text, items):
 def test_contamination_is_that_of_brute_force(spark, monkeypatch, prefilter):
     if not prefilter:
         monkeypatch.setattr(decontamination, "FILTER_FINGERPRINTS", 0)
-        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
     rng = np.random.default_rng(3)
     items = [(k, sentence(rng, 30, 50)) for k in range(6)] + [(10, "Only-three. words"), (11, "lone"), (12, None), (13, "?!"), (14, "un deux trois quatre cinq six sept"), (15, "é à")]
     texts = []
@@ -293,6 +301,13 @@ def test_chunks_cover_and_resist_shifts():
     assert line_dedup.chunks([]) == []
 
 
+def test_documents_that_lose_all_words_go(spark):
+    passage = sentence(np.random.default_rng(9), 60)
+    texts = [(1, f"first\n{passage}"), (2, passage), (3, f"{passage}\n \n"), (4, ""), (5, None), (6, " \n"), (7, f"{passage}\nown")]
+    out = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(table(spark, texts)).collect()}
+    assert out == {1: texts[0][1], 4: "", 5: None, 6: " \n", 7: "own"}
+
+
 def test_line_dedup_keeps_columns(spark):
     docs = table(spark, [(1, "a")]).withColumn("n_lines", F.lit("mine"))
     assert line_dedup.drop_repeated_lines(docs).columns == docs.columns[:-1] + ["n_lines"]
