@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 # fixed values: names of HTML elements
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+RAW = frozenset("script style template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong "
@@ -24,10 +25,60 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _NAME_PART = re.compile(r"[a-z]+")
 
 
+class Path:
+    """An open block-level element: its parent, how deep it is, and those of its tokens that no element around it has.
+
+    Tokens are tags, and words of their classes, ids and roles.  Elements share the paths of those around them, so a page
+    takes memory in proportion to its length, however deep it is.
+    """
+
+    __slots__ = ("depth", "new", "parent", "vector")
+
+    def __init__(self, parent: Path | None, new: tuple[str, ...], depth: int):
+        self.parent, self.new, self.depth, self.vector = parent, new, depth, None
+
+    def tokens(self) -> list[str]:
+        out, node = [], self
+        while node is not None:
+            out.extend(node.new)
+            node = node.parent
+        return out
+
+
+class _Open:
+    """The elements that are open now, each with the path that text in it has."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.paths = [Path(None, (), 0)]  # of the block-level ones, behind that of the page
+        self.block_at: list[int] = []  # where those stand in the stack
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # and where each tag does
+        self.times: Counter[str] = Counter()  # of tokens
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.at[tag].append(len(self.stack))
+        if tag not in INLINE:
+            new = tuple(n for n in dict.fromkeys(names) if not self.times[n])
+            self.times.update(names)
+            self.block_at.append(len(self.stack))
+            self.paths.append(Path(self.paths[-1], new, self.paths[-1].depth + len(names)))
+        self.stack.append((tag, names))
+
+    def cut(self, k: int) -> None:
+        """Closes the element at ``k`` and all within it."""
+        while len(self.stack) > k:
+            tag, names = self.stack.pop()
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.times.subtract(names)
+                self.block_at.pop()
+                self.paths.pop()
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # of tokens: tags, and words of their classes, ids and roles
+    path: Path
     linked: int  # characters inside links
 
 
@@ -42,10 +93,12 @@ def blocks(page: str) -> list[Block]:
     """The page's runs of text between block-level tags, in order, blank ones left out.
 
     Character references are decoded and white space becomes single spaces.  Elements whose content isn't running
-    text are skipped whole.  A tag that is never closed ends with its parent.
+    text are skipped whole; of one that is never closed, only the tag is.  Another tag that is never closed ends with
+    its parent.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
+    unclosed: set[str] = set()
     held: list[str] = []
     linked, at = 0, 0
 
@@ -53,7 +106,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            out.append(Block(text, tuple(t for tag, names in stack if tag not in INLINE for t in names), min(linked, len(text))))
+            out.append(Block(text, open_.paths[-1], min(linked, len(text))))
         held.clear()
         linked = 0
 
@@ -63,20 +116,23 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             if found[0][:2] not in ("<!", "<?", "</"):
                 held.append(found[0])
-                if any(t == "a" for t, _ in stack):
+                if open_.at["a"]:
                     linked += len(found[0])
             continue
         tag, attributes = tag.lower(), found[3] or found[6] or ""
         if found[1] or found[4]:
             if tag not in INLINE:
                 flush()
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[k:])):
-                del stack[k:]
+            k = open_.at[tag][-1] if open_.at[tag] else None
+            if k is not None and (tag not in INLINE or not open_.block_at or open_.block_at[-1] < k):
+                open_.cut(k)
             continue
         if tag in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                unclosed.add(tag)
             continue
         if tag == "br":
             held.append(" ")
@@ -87,9 +143,8 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
             closes = {"p"} if tag in ENDS_PARAGRAPH else {tag} if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else set()
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
-            if open_at is not None and stack[open_at][0] in closes:
-                del stack[open_at:]
-        stack.append((tag, _names(tag, attributes)))
+            if open_.block_at and open_.stack[open_.block_at[-1]][0] in closes:
+                open_.cut(open_.block_at[-1])
+        open_.push(tag, _names(tag, attributes))
     flush()
     return out

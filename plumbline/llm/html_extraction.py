@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.html_blocks import Block, blocks
+from plumbline.llm.html_blocks import Block, Path, blocks
 
 PATH_DIM, WORD_DIM, SHAPE_DIM = 192, 32, 6
 INPUT = PATH_DIM + WORD_DIM + SHAPE_DIM
@@ -55,9 +55,21 @@ class Slots(dict):
 _of_word, _of_path = Slots(WORD_DIM), Slots(PATH_DIM)
 
 
-@lru_cache(maxsize=50_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    return _of_path.vector(sorted(set(path)))
+def _path_vector(path: Path) -> np.ndarray:
+    """Of the distinct tokens of a path: what those around it have, and its own; kept with each of them."""
+    way, node = [], path
+    while node is not None and node.vector is None:
+        way.append(node)
+        node = node.parent
+    v = node.vector if node is not None else np.zeros(PATH_DIM, np.int32)
+    for node in reversed(way):
+        if node.new:
+            v = v.copy()
+            for token in node.new:
+                slot = _of_path[token]
+                v[slot % PATH_DIM] += 1 if slot < PATH_DIM else -1
+        node.vector = v
+    return v
 
 
 def vector(block: Block, place: float) -> np.ndarray:
@@ -65,7 +77,7 @@ def vector(block: Block, place: float) -> np.ndarray:
     v[:PATH_DIM] = _path_vector(block.path)
     words, n = block.text.lower().split(), len(block.text)
     v[PATH_DIM : PATH_DIM + WORD_DIM] = _of_word.vector(words) / (8 * len(words) ** 0.5)
-    v[-SHAPE_DIM:] = (np.log1p(len(words)) / 4, block.linked / n, sum(map(block.text.count, ".,;:!?")) / len(words), place, 1.0, len(block.path) / 16)
+    v[-SHAPE_DIM:] = (np.log1p(len(words)) / 4, block.linked / n, sum(map(block.text.count, ".,;:!?")) / len(words), place, 1.0, block.path.depth / 16)
     return v
 
 
@@ -190,7 +202,7 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = SEED) -> Weigh
 
 # ---- pages to learn from ----------------------------------------------------------------------------------------
 
-# fixed values: what parts of pages are called
+# a choice of our own: names that sites often give to parts of pages
 CALLED = {
     "menu": "nav menu navbar navigation topnav main-menu links".split(),
     "head": "header site-header masthead top-bar banner branding".split(),
