@@ -31,6 +31,8 @@ WINDOW_WORDS = 50
 WINDOW_LINES = 10
 EXTEND = WINDOW_LINES - 2  # a window's chunk has no more lines beside it
 
+LEAST_SHARE, MOST_SHARES = 50_000, 2_000  # of a chunk's occurrences that meet in one task: a MOST_SHARES-th of all, or LEAST_SHARE
+
 FIRST = ("chunk", "before", "after")  # of a chunk's first occurrence
 CHUNK_ROW = "id long, line int, lines int, k1 long, k2 long"
 
@@ -182,9 +184,10 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """
     rows = written(docs.mapInPandas(_chunk_rows(False), CHUNK_ROW), "chunks")
     at = F.struct("id", "line")
-    repeated = written(
-        rows.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first"), "chunks-repeated"
-    )
+    repeated = written(rows.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1"), "chunks-repeated")
+    # occurrences of a chunk that has more than its share are dealt to several copies of the first one
+    share = max(LEAST_SHARE, rows.count() // MOST_SHARES)
+    hot = F.broadcast(repeated.where(F.col("n") > share).select("k1", "k2", F.ceil(F.col("n") / share).cast("int").alias("deals")))  # MOST_SHARES rows at most
     # the text of each first occurrence: the documents that have one are read again
     wanted = repeated.select(F.col("first.id").alias("id"), F.col("first.line").alias("line"), "k1", "k2")
     source = docs.join(wanted.select("id").distinct(), "id", "left_semi")
@@ -192,10 +195,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         _chunk_rows(True), f"{CHUNK_ROW}, chunk string, before array<string>, after array<string>"
     ).join(wanted, ["id", "line", "k1", "k2"], "left_semi")
     texts = texts.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in FIRST])
-    first = written(repeated.join(texts, ["k1", "k2"]), "chunks-first")
+    first = written(repeated.drop("n").join(texts, ["k1", "k2"]), "chunks-first")
+    deal = F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))
+    first = first.join(hot, ["k1", "k2"], "left").withColumn("deal", deal).drop("deals")
+    rows = rows.join(hot, ["k1", "k2"], "left").withColumn("deal", F.pmod(F.xxhash64("id", "line"), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals")
     # a run that begins within its own first occurrence, as among equal lines, isn't another one
     other = (F.col("id") != F.col("first.id")) | (F.col("line") >= F.col("first.line") + F.col("lines"))
-    return rows.join(first, ["k1", "k2"]).where(other).select("id", "line", "lines", *FIRST)
+    return rows.join(first, ["k1", "k2", "deal"]).where(other).select("id", "line", "lines", *FIRST)
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
