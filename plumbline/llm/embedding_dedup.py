@@ -1,7 +1,7 @@
 """Near-duplicate vectors by an exact metric range join.
 
 On unit vectors a cosine of at least t is a distance of at most sqrt(2 - 2t).  Pivots, a bounded sample of the
-vectors, cut the space into cells of their nearest vectors.  A vector is copied to another cell where the
+vectors of every label that has many, cut its vectors into cells by the nearest pivot.  A vector is copied to another cell where the
 distances allow it to have a neighbour there: the triangle inequality bounds how near that cell's vectors can be,
 from its radius and from the plane midway between the two pivots.  Cells, and vectors of different label or
 dimension, are then joined on their own, large cells as pairs of blocks.
@@ -18,16 +18,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from plumbline.llm.components import components
 from plumbline.llm.storage import collected, written
 
-VECTORS_A_PIVOT = 500
+VECTORS_A_PIVOT = 2048
 MOST_PIVOTS = 1024
 BLOCK_ROWS = 2048
 SLACK = 1e-9
 
-CELL_ROW = "label long, dim int, cell int, home boolean, rep long, mult long, vector array<float>"
+CELL_ROW = "label long, dim int, cell int, home boolean, rep long, mult long, vector array<{}>"
 LINK_ROW = "rep long, links long, root long"
 
 
@@ -40,18 +41,27 @@ def to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * x @ pivots.T))
 
 
-def _cells(vectors: DataFrame, pivots: dict[int, np.ndarray], radius: dict[tuple[int, int], float] | None, reach: float) -> DataFrame:
+def _component(vectors: DataFrame, column: str) -> str:
+    """Single precision is kept as it is; any other number becomes a double."""
+    return "float" if isinstance(vectors.schema[column].dataType.elementType, FloatType) else "double"
+
+
+Key = tuple[int, int]  # label and dimension
+
+
+def _cells(vectors: DataFrame, pivots: dict[Key, np.ndarray], radius: dict[tuple[int, int, int], float] | None, reach: float) -> DataFrame:
     """Each vector in its own cell and, if radius is given, in those of lower number where it may have a neighbour."""
     held = vectors.sparkSession.sparkContext.broadcast((pivots, radius))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres, radii = held.value
         for batch in batches:
-            for dim, part in batch.groupby("dim", sort=False):
-                p = centres.get(dim)
-                if p is None:
-                    yield part.assign(cell=0, home=True)
-                    continue
+            keys = pd.Series(list(zip(batch["label"], batch["dim"], strict=True)), index=batch.index, dtype=object)
+            many = keys.isin(centres.keys())
+            if not many.all():
+                yield batch[~many].assign(cell=0, home=True)
+            for key, part in batch[many].groupby(keys[many], sort=False):
+                p = centres[key]
                 d = to_pivots(unit(part["vector"]), p)
                 own = d.argmin(axis=1)
                 if radii is None:
@@ -62,7 +72,7 @@ def _cells(vectors: DataFrame, pivots: dict[int, np.ndarray], radius: dict[tuple
                 near = d[np.arange(len(d)), own]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = (d**2 - near[:, None] ** 2) / (2 * apart[own])
-                limit = np.array([radii.get((dim, j), -np.inf) for j in range(len(p))])
+                limit = np.array([radii.get((*key, j), -np.inf) for j in range(len(p))])
                 may = (d <= limit + reach + SLACK) & ~(plane > reach + SLACK) & (np.arange(len(p)) < own[:, None])
                 rows, cells = np.nonzero(may)
                 if len(rows):
@@ -72,7 +82,7 @@ def _cells(vectors: DataFrame, pivots: dict[int, np.ndarray], radius: dict[tuple
         for out in deal(batches):
             yield out[["label", "dim", "cell", "home", "rep", "mult", "vector"]]
 
-    return vectors.mapInPandas(ordered, CELL_ROW)
+    return vectors.mapInPandas(ordered, CELL_ROW.format(_component(vectors, "vector")))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,7 +138,7 @@ def near_vectors(
     """One row per vector: id, n_links, component_id, kept.
 
     Two vectors link if their labels are equal and not null, their dimensions are equal, and their cosine, in double
-    precision, is at least ``threshold``.  A vector that is null, empty, zero, or has a null or non-finite component
+    precision, is at least ``threshold``.  Labels may be of any type; they are compared by a 64-bit hash.  A vector that is null, empty, zero, or has a null or non-finite component
     links with nothing: its n_links is 0 and its component its own id.  component_id is the smallest id reachable,
     kept says that it is the row's own.  Ids should be unique; rows that share one count as separate vectors.
     """
@@ -139,8 +149,8 @@ def near_vectors(
     rows = written(
         vectors.select(
             F.col(id_col).alias("id"),
-            F.col(label_col).cast("long").alias("label"),
-            F.when(F.coalesce(sound & finite, F.lit(False)), vector.cast("array<float>")).alias("vector"),
+            F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col)).alias("label"),
+            F.when(F.coalesce(sound & finite, F.lit(False)), vector.cast(f"array<{_component(vectors, vector_col)}>")).alias("vector"),
         ).withColumns({"k1": F.xxhash64("vector"), "k2": F.xxhash64(F.lit(1), "vector")}),
         "vectors",
     )
@@ -153,14 +163,20 @@ def near_vectors(
     n = distinct.count()
     if not n:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    wanted = min(MOST_PIVOTS, -(-n // VECTORS_A_PIVOT))
-    drawn = pd.DataFrame(collected(distinct.orderBy("k2", "rep").limit(wanted).select("dim", "vector")))
-    pivots = {int(dim): unit(part["vector"]) for dim, part in drawn.groupby("dim")}
+    each = max(VECTORS_A_PIVOT, -(-n // MOST_PIVOTS))
+    large = distinct.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > each).withColumn("wanted", F.ceil(F.col("n") / each))
+    # a label has at most a pivot more than its share, so 2 * MOST_PIVOTS in all; twice as many are drawn, and the first taken
+    drawn = distinct.join(F.broadcast(large), ["label", "dim"]).where(F.pmod("k2", F.col("n")) < 2 * F.col("wanted"))
+    pivots = {}
+    for key, part in pd.DataFrame(collected(drawn.select("label", "dim", "k2", "wanted", "vector"))).groupby(["label", "dim"]):
+        pivots[tuple(map(int, key))] = unit(part.sort_values("k2")["vector"].iloc[: int(part["wanted"].iloc[0])])
 
     bare = distinct.select("label", "dim", "rep", "mult", "vector")
-    # at most MOST_PIVOTS rows
-    far = _cells(bare, pivots, None, reach).where(F.size("vector") == 1).groupBy("dim", "cell").agg(F.max(F.col("vector")[0]).alias("d")).collect()
-    radius = {(r.dim, r.cell): float(r.d) + 1e-6 for r in far}
+    radius: dict[tuple[int, int, int], float] = {}
+    if pivots:
+        known = F.broadcast(large.select("label", "dim"))
+        far = _cells(bare.join(known, ["label", "dim"], "left_semi"), pivots, None, reach).where(F.size("vector") == 1).groupBy("label", "dim", "cell").agg(F.max(F.col("vector")[0]).alias("d")).collect()  # a row a pivot
+        radius = {(r.label, r.dim, r.cell): float(r.d) + 1e-6 for r in far}
     dealt = written(_cells(bare, pivots, radius, reach), "vectors-cells")
     sizes = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     placed = (
