@@ -2,12 +2,14 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -137,6 +139,8 @@ def test_vector_links_are_those_of_brute_force(spark, monkeypatch, size):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("cell", F.lit(1))
     out = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
     assert out == brute_links(rows)
+    double = df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.concat(F.lit("l"), "label").alias("label"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(double).collect()} == brute_links(rows)
     none = embedding_dedup.near_vectors(df.where("vec_id >= 300 and vec_id < 303")).collect()
     assert all(r.kept and r.n_links == 0 for r in none) and len(none) == 3
     assert embedding_dedup.near_vectors(df.limit(0)).isEmpty()
@@ -277,6 +281,41 @@ def test_toxicity_separates(spark):
     assert len(none) == len(rows) and all(r.predicted == 0 for r in none)
 
 
+def test_scores_are_those_of_plain_compression():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(k)}" for k in rng.integers(0, 60, 80)) for _ in range(60)]
+    toxic = [int(k % 3 == 0) for k in range(60)]
+    texts = [f"{t[:90]} zhorvath quixxen {t[90:]}" if x else t for t, x in zip(texts, toxic, strict=True)]
+    model = toxicity.fit(texts, toxic)
+
+    def size(part, content):
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, **toxicity.SEARCH)
+        dictionary.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress(part))
+
+    for text in (*texts[:6], "", "unseen words here"):
+        parts = []
+        for word in text.lower().split():
+            if parts and len(parts[-1]) + 1 + len(word) < toxicity.WINDOW_CHARS:
+                parts[-1] += f" {word}"
+            else:
+                parts.append(word)
+        gain = sorted((size(p.encode(), model.ordinary) - size(p.encode(), model.ordinary + model.toxic) for p in parts), reverse=True)
+        x = [*gain[:4], *[0] * (4 - len(gain[:4])), *(math.log1p(sum(g >= m for g in gain)) for m in (3, 5, 7)), math.log1p(len(gain)), 1]
+        z = sum(a * b for a, b in zip(x, model.weights, strict=True))
+        assert toxicity.score_text(text, model) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
+def test_toxicity_of_odd_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, predicted string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity(none, labels).isEmpty() and toxicity.drop_toxic(none, labels).columns == none.columns
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "c", "y"), (None, "d", "z")], none.schema)
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == 3 and all(0 <= r.score <= 1 for r in out)
+
+
 def test_windows_hold_all_text():
     text = "ab " * 300 + "x" * 500 + " é" * 90
     assert b"".join(toxicity.windows(text)).replace(b" ", b"").decode() == text.replace(" ", "")
@@ -291,6 +330,28 @@ def test_blocks():
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<") [0].text == "<" and html_blocks.blocks("<p") [0].text.startswith("<")
 
 
+def test_deep_pages_take_linear_memory():
+    n = 64_000
+    tracemalloc.start()
+    found = html_blocks.blocks("<div class='a b'>x" * n)
+    assert len(found) == n and found[-1].path.depth == 3 * n and tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+    tokens = found[-1].path.tokens()
+    assert sorted(tokens) == [".a", ".b", "<div>"]
+    assert (html_extraction.vectors(found[-2:])[0][:5] == html_extraction.vectors(found[:1])[0][:5]).all()
+
+
+def test_elements_that_are_no_running_text():
+    page = "<body><p>a <math><mi>b</mi></math> c<svg><text>d</text></svg><noscript>e</noscript><script>f</script><title>g<p>h <script>i</body>"
+    assert " ".join(b.text for b in html_blocks.blocks(page)) == "a b c d e g h i"
+
+
+def test_pages_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars string")
+    out = html_extraction.main_text(none)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.isEmpty()
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     w = html_extraction.new_weights(rng)
