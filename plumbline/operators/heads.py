@@ -6,6 +6,7 @@ Folds and layers are independent fits, run from a few driver threads over one ca
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -18,7 +19,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.sequences import kmers
 from plumbline.operators.metrics import auroc
+from plumbline.sources.staging import staged
 
 FITS_AT_ONCE = 4
 
@@ -63,7 +66,9 @@ def out_of_fold(df: DataFrame, folds: int, head: Head = linear_head, fold: str =
     held = df.persist()
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
         parts = list(pool.map(lambda k: score(head(held.where(F.col(fold) != k)), held.where(F.col(fold) == k), name), range(folds)))
-    return reduce(DataFrame.unionByName, parts)
+    done = staged(reduce(DataFrame.unionByName, parts), "out-of-fold")
+    held.unpersist()
+    return done
 
 
 def gate(df: DataFrame, folds: int, random_fold: Column, cold_fold: Column, shuffled: str, forest: bool = True) -> DataFrame:
@@ -88,16 +93,29 @@ def layer_curve(df: DataFrame, layers: list[int], folds: int, layer: str = "laye
     return reduce(DataFrame.unionByName, parts)
 
 
+def layer_selectivity(df: DataFrame, layers: list[int], folds: int, shuffled: str) -> DataFrame:
+    """layer, auroc, control, selectivity: beside each layer's AUROC, that of the same head on shuffled labels."""
+    real = layer_curve(df.drop(shuffled), layers, folds)
+    control = layer_curve(df.drop("label").withColumnRenamed(shuffled, "label"), layers, folds).withColumnRenamed("auroc", "control")
+    return real.join(control, "layer").withColumn("selectivity", F.col("auroc") - F.col("control"))
+
+
 def nested_layer(df: DataFrame, layers: list[int], folds: int) -> DataFrame:
-    """fold, layer, auroc: the layer that does best out of fold on the other folds, and how it does on this one."""
-    out = []
+    """fold, layer, auroc, band, pooled: the layer that does best out of fold on the other folds, how it does on this one,
+    the layers within a standard error of it there, and the AUROC of all folds' predictions together."""
+    out, bands = [], []
     for k in range(folds):
         rest = df.where(F.col("fold") != k).withColumn("fold", F.when(F.col("fold") > k, F.col("fold") - 1).otherwise(F.col("fold")))
-        best = layer_curve(rest, layers, folds - 1).orderBy(F.desc("auroc"), "layer").first()["layer"]
+        inner = {row["layer"]: row["auroc"] for row in layer_curve(rest, layers, folds - 1).collect()}  # a row a layer
+        best = max(sorted(inner), key=lambda n: inner[n])
+        error = statistics.stdev(inner.values()) / math.sqrt(len(inner)) if len(inner) > 1 else 0.0
+        bands.append((k, sorted(n for n in inner if inner[n] >= inner[best] - error)))
         here = df.where(F.col("layer") == best)
         scored = score(linear_head(here.where(F.col("fold") != k)), here.where(F.col("fold") == k))
-        out.append(auroc(scored, ["fold", "layer"]))
-    return reduce(DataFrame.unionByName, out)
+        out.append(scored.select("fold", "layer", "label", "prob"))
+    every = staged(reduce(DataFrame.unionByName, out), "nested-layer")
+    band = df.sparkSession.createDataFrame(bands, "fold int, band array<int>")
+    return auroc(every, ["fold", "layer"]).join(F.broadcast(band), "fold").join(F.broadcast(auroc(every, [], name="pooled")))
 
 
 def hashed_ngrams(df: DataFrame, tokens: Column, size: int = 1024) -> DataFrame:
@@ -170,3 +188,18 @@ def ensemble(train: DataFrame, test: DataFrame, draws: Column, members: int, pes
     every = reduce(DataFrame.unionByName, parts)
     keys = [c for c in test.columns if c != "features"]
     return every.groupBy(*keys).agg((F.avg("prob") - pessimism * F.stddev_pop("prob")).alias("score"))
+
+
+# kind of representation -> frame with id, label, grp and rep, to one with features of the rows that have any
+Featurizer = Callable[[DataFrame], DataFrame]
+FEATURIZERS: dict[str, Featurizer] = {
+    "vector": lambda df: vectors(df.where(F.forall("rep", lambda x: x.isNotNull() & ~F.isnan(x))), "rep"),
+    "text": lambda df: hashed_ngrams(df.where(F.trim("rep") != ""), F.split(F.lower("rep"), r"\s+")),
+    "sequence": lambda df: hashed_ngrams(df.where(F.length("rep") >= 3), kmers(F.upper("rep"), 3)),
+    "number": lambda df: vectors(df.withColumn("rep", F.when(F.col("rep").isNotNull(), F.array("rep"))), "rep"),
+}
+
+
+def featurized(df: DataFrame, kind: str) -> DataFrame:
+    """id, label, grp and features, by the featurizer of this kind."""
+    return FEATURIZERS[kind](df).select("id", "label", "grp", "features")

@@ -56,9 +56,16 @@ def lower_bin(x: Column, bins: int = BINS) -> Column:
     return sum(((x >= float(i / bins)).cast("int") for i in range(1, bins)), F.lit(0))
 
 
-def _ece(df: DataFrame, keys: list[str], b: Column, said: Column, true: Column, name: str) -> DataFrame:
-    bins = df.withColumn("b", b).groupBy(*keys, "b").agg(F.count("*").alias("n"), F.avg(said).alias("said"), F.avg(true).alias("true"))
-    gap = F.when(F.col("b").isNotNull(), F.col("n") * F.abs(F.col("said") - F.col("true"))).otherwise(0.0)
+def accuracy(df: DataFrame, keys: list[str], pred: str = "pred", label: str = "label", weight: Column | None = None, name: str = "accuracy") -> DataFrame:
+    """The weighted share of rows whose prediction is the label."""
+    w = F.lit(1) if weight is None else weight
+    return df.groupBy(*keys).agg(ratio(F.sum(w * (F.col(pred) == F.col(label)).cast("int")), F.sum(w)).alias(name))
+
+
+def _ece(df: DataFrame, keys: list[str], b: Column, said: Column, true: Column, name: str, weight: Column | None = None) -> DataFrame:
+    w = F.lit(1) if weight is None else weight
+    bins = df.withColumn("b", b).groupBy(*keys, "b").agg(F.sum(w).alias("n"), F.sum(w * said).alias("said"), F.sum(w * true).alias("true"))
+    gap = F.when(F.col("b").isNotNull(), F.abs(F.col("said") - F.col("true"))).otherwise(0.0)
     return bins.groupBy(*keys).agg((F.sum(gap) / F.sum("n")).alias(name))
 
 
@@ -69,9 +76,9 @@ def ece_confidence(df: DataFrame, keys: list[str], prob: str = "prob", label: st
     return _ece(df, keys, upper_bin(conf), conf, right, name)
 
 
-def ece_probability(df: DataFrame, keys: list[str], prob: str = "prob", label: str = "label", bins: int = BINS, name: str = "ece_prob") -> DataFrame:
+def ece_probability(df: DataFrame, keys: list[str], prob: str = "prob", label: str = "label", bins: int = BINS, name: str = "ece_prob", weight: Column | None = None) -> DataFrame:
     """Expected gap between p and the rate of positives, over bins open above."""
-    return _ece(df, keys, lower_bin(F.col(prob), bins), F.col(prob), F.col(label).cast("double"), name)
+    return _ece(df, keys, lower_bin(F.col(prob), bins), F.col(prob), F.col(label).cast("double"), name, weight)
 
 
 def risk_curve(df: DataFrame, keys: list[str], order: list[Column], err: Column) -> DataFrame:

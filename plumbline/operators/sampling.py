@@ -5,6 +5,9 @@ Quotas are ranks within a class, made by range partition, so no class is sorted
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,28 +60,50 @@ def group_holdout(df: DataFrame, share: float, seed, group: str = "grp") -> Data
     return df.join(cut, group)
 
 
-def greedy_folds(sizes: dict[str, int], k: int) -> dict[str, int]:
-    """A fold for each group: the largest first, each to the lightest fold.  For as many groups as a driver holds."""
-    loads, out = [0] * k, {}
-    for group, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        fold = loads.index(min(loads))
-        loads[fold] += n
-        out[group] = fold
+GROUPS_ON_DRIVER = 1_000_000
+
+
+def group_sums(df: DataFrame, group: str, *sums: Column) -> dict[str, tuple]:
+    """The sums of each group, on the driver, for rules that place one group after the other.
+
+    More than GROUPS_ON_DRIVER groups are refused; ``group_folds`` places any number of them.
+    """
+    found = df.groupBy(group).agg(*sums).limit(GROUPS_ON_DRIVER + 1).collect()
+    if len(found) > GROUPS_ON_DRIVER:
+        raise ValueError(f"more than {GROUPS_ON_DRIVER} groups to place one by one; use group_folds")
+    return {row[0]: tuple(row)[1:] for row in found}
+
+
+def lightest_first(groups: list[tuple[str, tuple[int, ...]]], loads: list[tuple[int, ...]], by: tuple[int, ...]) -> dict[str, int]:
+    """A block for each group, in this order: the one with the least of the loads ``by``, then of lowest number.
+
+    A group's weights are added to its block's loads.
+    """
+    waiting = [(*(load[w] for w in by), block) for block, load in enumerate(loads)]
+    heapq.heapify(waiting)
+    out = {}
+    for name, weights in groups:
+        block = out[name] = waiting[0][-1]
+        loads[block] = tuple(map(sum, zip(loads[block], weights, strict=True)))
+        heapq.heapreplace(waiting, (*(loads[block][w] for w in by), block))
     return out
 
 
+def heaviest(groups: dict[str, tuple[int, ...]]) -> list[tuple[str, tuple[int, ...]]]:
+    """Groups by falling weights, then by name."""
+    return sorted(groups.items(), key=lambda x: (*(-w for w in x[1]), x[0]))
+
+
+def greedy_folds(sizes: dict[str, int], k: int) -> dict[str, int]:
+    """A fold for each group: the largest first, each to the lightest fold."""
+    return lightest_first(heaviest({g: (n,) for g, n in sizes.items()}), [(0,)] * k, (0,))
+
+
 def two_pass_partition(groups: dict[str, tuple[int, int]], k: int) -> dict[str, int]:
-    """Groups (positives, rows): those with positives balance positives, then the others balance rows."""
-    loads, out = [[0, 0] for _ in range(k)], {}
-    with_positives = sorted((g for g in groups if groups[g][0]), key=lambda g: (-groups[g][0], -groups[g][1], g))
-    others = sorted((g for g in groups if not groups[g][0]), key=lambda g: (-groups[g][1], g))
-    for some, weigh in ((with_positives, lambda b: (loads[b][0], loads[b][1], b)), (others, lambda b: (loads[b][1], b))):
-        for g in some:
-            block = min(range(k), key=weigh)
-            loads[block][0] += groups[g][0]
-            loads[block][1] += groups[g][1]
-            out[g] = block
-    return out
+    """Groups (positives, rows): those with positives balance positives and then rows; the others fill up rows."""
+    loads = [(0, 0)] * k
+    scarce, plain = ({g: w for g, w in groups.items() if bool(w[0]) == has} for has in (True, False))
+    return lightest_first(heaviest(scarce), loads, (0, 1)) | lightest_first(heaviest(plain), loads, (1,))
 
 
 def shuffled_labels(df: DataFrame, seed, key: str = "id", label: str = "label", name: str = "shuffled") -> DataFrame:
@@ -112,12 +137,20 @@ def interval(values: DataFrame, keys: list[str], column: str, low: float = 0.025
     return values.groupBy(*keys).agg(p.alias("_p")).select(*keys, F.col("_p")[0].alias("lo"), F.col("_p")[1].alias("hi"))
 
 
+Metric = Callable[[DataFrame, list[str], Column], DataFrame]  # (rows, keys, weight of a row) -> keys and value
+
+
+def bootstrap(df: DataFrame, keys: list[str], reps: int, seed, metric: Metric, unit: str = "id") -> DataFrame:
+    """keys, rep and what ``metric`` gives of each replicate.  ``unit`` is what is drawn: a row's id, or its group."""
+    drawn = multiplicities(df.select(*keys, unit).distinct(), keys, unit, reps, seed)
+    return metric(df.join(drawn, [*keys, unit]), [*keys, "rep"], F.col("m"))
+
+
 def bootstrap_auroc(df: DataFrame, keys: list[str], reps: int, seed, score: str = "prob", label: str = "label", unit: str = "id") -> DataFrame:
-    """keys, rep, auroc: of each replicate.  ``unit`` is what is drawn: a row's id, or its group."""
+    """keys, rep, auroc: of each replicate."""
     from plumbline.operators.metrics import auroc
 
-    drawn = multiplicities(df.select(*keys, unit).distinct(), keys, unit, reps, seed)
-    return auroc(df.join(drawn, [*keys, unit]), [*keys, "rep"], score, label, weight=F.col("m"))
+    return bootstrap(df, keys, reps, seed, lambda rows, by, w: auroc(rows, by, score, label, weight=w), unit)
 
 
 def pass_rate_difference(a: DataFrame, b: DataFrame, reps: int, seed, group: str, ok: Column) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Complete = Callable[[str, str], str]  # (model, prompt) -> answer
+# (model, prompt) -> answer, or answer and why it ended: "length" if it was cut short, "refusal" if it was refused
+Complete = Callable[[str, str], "str | tuple[str, str]"]
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,7 @@ class Providers:
 
 
 def answer(complete: Complete, model: str, prompt: str, tries: int = 3, pause: float = 0.5) -> tuple[str | None, str]:
-    """The answer and its status: ok, empty, refusal, or the error's name after the last try."""
+    """The answer and its status: ok, empty, refusal, truncated, or the error's name after the last try."""
     for k in range(tries):
         try:
             text = complete(model, prompt)
@@ -60,20 +62,29 @@ def answer(complete: Complete, model: str, prompt: str, tries: int = 3, pause: f
                 return None, f"err:{type(e).__name__}"
             time.sleep(pause * 2**k)
             continue
+        text, ended = text if isinstance(text, tuple) else (text, "stop")
+        if ended == "refusal":
+            return text, "refusal"
         if not text or not text.strip():
             return text, "empty"
+        if ended == "length":
+            return text, "truncated"
         refused = any(x in text.lower() for x in ("i cannot", "i can't", "unable to"))
         return text, "refusal" if refused else "ok"
     return None, "err"
 
 
-def solve(prompts: DataFrame, model: str, providers: Providers | None = None, at_once: int | None = None) -> DataFrame:
-    """prompts (with columns id and prompt) with answer and status.  ``at_once`` bounds the tasks that ask at a time."""
+def solve(prompts: DataFrame, model: str, providers: Providers | None = None, at_once: int | None = None, workers: int = 1, pause: float = 0.5) -> DataFrame:
+    """prompts (with columns id and prompt) with answer and status.
+
+    ``at_once`` bounds the tasks that ask at a time, ``workers`` the prompts that a task has out at a time.
+    """
     complete = (providers or Providers()).of(model)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [answer(complete, model, p) for p in batch["prompt"]]
+            with ThreadPoolExecutor(workers) as pool:
+                found = list(pool.map(lambda p: answer(complete, model, p, pause=pause), batch["prompt"]))
             yield batch.assign(answer=[a for a, _ in found], status=[s for _, s in found])
 
     dealt = prompts.repartition(at_once) if at_once else prompts

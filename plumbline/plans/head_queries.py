@@ -1,4 +1,4 @@
-"""Queries of learned heads, folds and gates.  Fits have no SQL; tests hold them against what they should find."""
+"""Queries of learned heads, folds and gates.  Fits have no SQL; tests/test_heads.py holds them against what they should find."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from plumbline.operators import sampling as x
 from plumbline.plans.metric_queries import rounded
 from plumbline.plans.registry import query
 
-FOLDS = 3
+FOLDS = 5
 
 
 def hashed(name, k=FOLDS):
@@ -48,7 +48,7 @@ def m3(t):
 
 @query("q_m4_tf_idf")
 def m4(t):
-    d = h.tf_idf(worded(t), F.split(F.lower("text"), r"\s+"), most=500).drop("text").withColumn("fold", hashed("m4"))
+    d = h.tf_idf(worded(t), F.split(F.lower("text"), r"\s+"), most=3000).drop("text").withColumn("fold", hashed("m4"))
     return m.auroc(h.out_of_fold(d, FOLDS), [])
 
 
@@ -73,25 +73,30 @@ def m9(t):
 def m10(t):
     d = worded(t).withColumn("fold", F.pmod(md5_number("g10", F.col("grp")), F.lit(FOLDS)).cast("int"))
     arms = {"named": F.split(F.lower("text"), r"\s+"), "anon": kmers(F.lower("text"), 2)}
-    one = lambda n: m.auroc(h.out_of_fold(h.hashed_ngrams(d, arms[n], 256).drop("text"), FOLDS), [], name=n)
+    one = lambda n: m.auroc(h.out_of_fold(h.hashed_ngrams(d, arms[n]).drop("text"), FOLDS), [], name=n)
     both = one("named").join(one("anon")).withColumn("delta", F.col("named") - F.col("anon"))
     return both.withColumn("verdict", F.when((F.col("named") >= 0.65) & (F.col("delta") >= 0.10), "name-driven").when(F.col("anon") >= 0.60, "intrinsic").otherwise("weak"))
 
 
+LAYERS = [0, 1, 2, 3]
+
+
 def layered(t):
     e = t.embeddings.select(F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("label"), "embedding")
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), F.slice("embedding", 16 * k + 1, 16).alias("v")) for k in range(3)]))
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), F.slice("embedding", 16 * k + 1, 16).alias("v")) for k in LAYERS]))
     return h.vectors(e.withColumn("p", parts).select("id", "label", "p.layer", "p.v"), "v").drop("v").withColumn("fold", hashed("m11"))
 
 
 @query("q_m11_layer_curve")
 def m11(t):
-    return h.layer_curve(layered(t), [0, 1, 2], FOLDS)
+    one = layered(t)
+    labels = x.shuffled_labels(one.select("id", "label").distinct(), 11).select("id", "shuffled")
+    return h.layer_selectivity(one.join(labels, "id"), LAYERS, FOLDS, "shuffled")
 
 
 @query("q_m12_nested_layer")
 def m12(t):
-    return h.nested_layer(layered(t), [0, 1], FOLDS)
+    return h.nested_layer(layered(t), LAYERS, FOLDS)
 
 
 @query("q_m14_residualize", """+ f AS (SELECT event_id AS id, event_id % 3 AS fold, value AS y, length(props)::DOUBLE AS x FROM events), s AS (SELECT a.fold, regr_slope(b.y, b.x) AS b, avg(b.y) - coalesce(regr_slope(b.y, b.x), 0) * avg(b.x) AS a FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY a.fold)
@@ -162,7 +167,7 @@ def x24(t):
 
 @query("q_x6_greedy_folds")
 def x6(t):
-    sizes = {row["grp"]: row["n"] for row in t.items.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # one row a source
+    sizes = {g: n for g, (n,) in x.group_sums(t.items, "grp", F.count("*")).items()}
     folds = t.spark.createDataFrame(sorted(x.greedy_folds(sizes, 5).items()), "grp string, fold int")
     return t.items.join(F.broadcast(folds), "grp").groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("n_groups"))
 
@@ -171,16 +176,15 @@ def x6(t):
 def x8(t):
     from plumbline.sources.staging import scratch
 
-    sizes = {row["grp"]: row["n"] for row in t.items.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # one row a source
-    frozen = [g for g, f in x.greedy_folds(sizes, 5).items() if f == 0]
+    sizes = {g: n for g, (n,) in x.group_sums(t.items, "grp", F.count("*")).items()}
+    frozen = t.spark.createDataFrame([(g,) for g, f in x.greedy_folds(sizes, 5).items() if f == 0], "grp string")
     path = scratch(t.spark, "test-ids")
-    t.items.where(F.col("grp").isin(frozen)).select("id").write.parquet(path)
+    t.items.join(frozen, "grp", "left_semi").select("id").write.parquet(path)
     return t.items.join(t.spark.read.parquet(path), "id", "left_semi").select("id", "grp", "label")
 
 
 @query("q_x9_two_pass_partition")
 def x9(t):
-    sums = t.items.groupBy("grp").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).collect()  # one row a source
-    parts = x.two_pass_partition({row["grp"]: (row["p"], row["n"]) for row in sums}, 3)
+    parts = x.two_pass_partition(x.group_sums(t.items, "grp", F.sum("toxic"), F.count("*")), 3)
     named = t.spark.createDataFrame(sorted(parts.items()), "grp string, block int")
     return t.items.join(F.broadcast(named), "grp").groupBy("block").agg(F.count("*").alias("n"), F.sum("toxic").alias("positives"))

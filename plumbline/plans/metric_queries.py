@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import metrics as m
+from plumbline.operators import relational as r
 from plumbline.plans.registry import query
 
 KEYS = ["model", "task"]
@@ -283,17 +283,16 @@ def a32(t):
     return out.orderBy(F.desc("density"), "p_brand").limit(4)
 
 
-@query("q_a33_mean_pool", "SELECT label, i - 1 AS pos, round(avg(embedding[i]::DOUBLE), 6) AS v FROM embeddings, range(1, 65) r(i) WHERE vec_id % 3 <> 0 GROUP BY ALL")
+@query("q_a33_mean_pool", "SELECT label, i - 1 AS pos, round(avg(embedding[i]::DOUBLE), 6) AS v FROM embeddings, range(1, 65) r(i) GROUP BY ALL")
 def a33(t):
-    cells = t.embeddings.where("vec_id % 3 <> 0").select("label", F.posexplode("embedding").alias("pos", "x"))
+    cells = t.embeddings.select("label", F.posexplode("embedding").alias("pos", "x"))
     return rounded(cells.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.avg(F.col("x").cast("double")).alias("v")), "v")
 
 
 @query("q_a35_enrichment", """+ k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY prob DESC, id) AS k, count(*) OVER (PARTITION BY model) AS n FROM preds)
 SELECTING SELECT model, round(avg(label::DOUBLE) FILTER (k <= greatest(10, n // 20)) / nullif(avg(label::DOUBLE), 0), 6) AS enrichment FROM k GROUP BY ALL""", "preds")
 def a35(t):
-    w = Window.partitionBy("model")
-    k = t.preds.withColumns({"k": F.row_number().over(w.orderBy(F.desc("prob"), "id")), "n": F.count("*").over(w)})
+    k = r.ranked(t.preds.select("model", "id", "prob", "label"), ["model"], [F.desc("prob"), "id"], "k", total="n")
     y = F.col("label").cast("double")
     top = F.avg(F.when(F.col("k") <= F.greatest(F.lit(10), F.floor(F.col("n") / 20)), y))
     return rounded(k.groupBy("model").agg(m.ratio(top, F.avg(y)).alias("enrichment")), "enrichment")

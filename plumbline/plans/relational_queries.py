@@ -28,10 +28,10 @@ def p3(t):
     return r.stars(t.orders, "o_orderpriority", {"1-URGENT": 4, "2-HIGH": 3}, {"3": 2, "4": 1}, least=2).select("o_orderkey", "stars")
 
 
-@query("q_p4_pattern_parse", """SELECT c_custkey, regexp_extract(c_name, '^Customer#0*([1-9][0-9]*)$', 1)::BIGINT AS number FROM customer WHERE regexp_matches(c_name, '^Customer#0*([1-9][0-9]*)$') AND c_custkey % 7 <> 0""")
+@query("q_p4_pattern_parse", """SELECT c_custkey, regexp_extract(c_name, '^Customer#0*([1-9][0-9]*)$', 1)::BIGINT AS number FROM customer WHERE regexp_matches(c_name, '^Customer#0*([1-9][0-9]*)$')""")
 def p4(t):
     pattern = r"^Customer#0*([1-9][0-9]*)$"
-    return t.customer.where(F.col("c_name").rlike(pattern) & (F.col("c_custkey") % 7 != 0)).select("c_custkey", F.regexp_extract("c_name", pattern, 1).cast("bigint").alias("number"))
+    return t.customer.where(F.col("c_name").rlike(pattern)).select("c_custkey", F.regexp_extract("c_name", pattern, 1).cast("bigint").alias("number"))
 
 
 @query("q_p5_single_value", "SELECT doc_id FROM documents WHERE text <> '' AND text <> '-' AND text NOT LIKE '%;%'")
@@ -392,9 +392,9 @@ def o7(t):
     return t.events.join(F.broadcast(bar), F.col("value") > F.col("bar")).select("event_id", "value")
 
 
-@query("q_a34_diversity", f"+ {TRI.split('),' + chr(10))[0]}), p AS (SELECT id, bits FROM g ORDER BY md5('d:' || id), id LIMIT 60) SELECTING SELECT round(1 - avg(len(list_intersect(a.bits, b.bits)) / len(list_distinct(list_concat(a.bits, b.bits)))::DOUBLE), 6) AS diversity FROM p a JOIN p b ON a.id < b.id")
+@query("q_a34_diversity", f"+ {TRI.split('),' + chr(10))[0]}), p AS (SELECT id, bits FROM g ORDER BY md5('d:' || id), id LIMIT 500) SELECTING SELECT round(1 - avg(len(list_intersect(a.bits, b.bits)) / len(list_distinct(list_concat(a.bits, b.bits)))::DOUBLE), 6) AS diversity FROM p a JOIN p b ON a.id < b.id")
 def a34(t):
-    return rounded(r.diversity(trigrams(t), shuffle_key("d", F.col("id")), 60), "diversity")
+    return rounded(r.diversity(trigrams(t), shuffle_key("d", F.col("id")), 500), "diversity")
 
 
 @query("q_a24_set_recall", "+ x AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS truth, list_distinct(list(o_orderpriority) FILTER (o_orderstatus = 'F')) AS said FROM orders GROUP BY ALL) SELECTING SELECT o_custkey, round(len(list_intersect(coalesce(said, []), truth)) / len(truth)::DOUBLE, 6) AS recall FROM x")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import md5_number
+from plumbline.operators import metrics as m
 from plumbline.operators import relational as r
 from plumbline.operators import sampling as x
 from plumbline.plans.metric_queries import rounded
@@ -98,6 +100,12 @@ def _arm(model: str, name: str) -> str:
 {name} AS (SELECT rep, sum(k) / sum(n)::DOUBLE AS v FROM (SELECT rep, {MD5.format(f"'23{name}:' || rep || ':' || i")} % (SELECT count(*) FROM {name}_g) + 1 AS rk FROM range({REPS}) r(rep), (SELECT unnest(range((SELECT count(*) FROM {name}_g))) AS i)) JOIN {name}_g USING (rk) GROUP BY rep)"""
 
 
+@query("q_e6_bootstrap_metric", f"+ {_drawn('grp', 'e6')}, a AS (SELECT p.model, p.task, rep, sum(m * (pred = label)::INT) / sum(m)::DOUBLE AS accuracy FROM preds p JOIN w ON p.model = w.model AND p.task = w.task AND p.grp = w.u GROUP BY ALL) SELECTING SELECT model, task, round(quantile_cont(accuracy, 0.025), 6) AS lo, round(quantile_cont(accuracy, 0.975), 6) AS hi FROM a GROUP BY ALL", "preds")
+def e6(t):
+    drawn = x.bootstrap(t.preds, KEYS, REPS, "e6", lambda rows, by, w: m.accuracy(rows, by, weight=w), unit="grp")
+    return rounded(x.interval(drawn, KEYS, "accuracy"), "lo", "hi")
+
+
 VERDICT = "CASE WHEN lo > 0.03 THEN 'a' WHEN hi < -0.03 THEN 'b' ELSE 'tie' END"
 
 
@@ -116,18 +124,18 @@ def j11(t):
     return both.agg(F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 4).alias("mean_abs_delta"), F.count("*").alias("n"))
 
 
-@query("q_j20_fold_knn", """+ g AS (SELECT p_partkey AS id, p_partkey % 5 AS fold, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3))) AS bits FROM part),
-k AS (SELECT q.id AS id, p.id AS neighbor, row_number() OVER (PARTITION BY q.id ORDER BY len(list_intersect(q.bits, p.bits)) / len(list_distinct(list_concat(q.bits, p.bits)))::DOUBLE DESC, p.id) AS k FROM g q JOIN g p ON q.fold <> p.fold AND len(list_intersect(q.bits, p.bits)) > 0 WHERE q.id % 20 = 0) SELECTING SELECT id, neighbor, k FROM k WHERE k <= 3""")
+@query("q_j20_fold_knn", """+ g AS (SELECT p_partkey AS id, {MD5} % 5 AS fold, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3))) AS bits FROM part),
+k AS (SELECT q.id AS id, p.id AS neighbor, row_number() OVER (PARTITION BY q.id ORDER BY len(list_intersect(q.bits, p.bits)) / len(list_distinct(list_concat(q.bits, p.bits)))::DOUBLE DESC, p.id) AS k FROM g q JOIN g p ON q.fold <> p.fold AND len(list_intersect(q.bits, p.bits)) > 0 WHERE q.id % 20 = 0) SELECTING SELECT id, neighbor, k FROM k WHERE k <= 3""".replace("{MD5}", MD5.format("'j20:' || p_partkey")))
 def j20(t):
     from plumbline.plans.relational_queries import trigrams
 
-    g = trigrams(t).select("id", (F.col("id") % 5).alias("fold"), "bits")
+    g = trigrams(t).select("id", F.pmod(md5_number("j20", F.col("id")), F.lit(5)).alias("fold"), "bits")
     return r.nearest(g.where("id % 20 = 0"), g, 3, apart="fold").select("id", "neighbor", "k")
 
 
-@query("q_j9_realign", "SELECT a.id, a.prob AS first, b.prob AS second FROM preds a JOIN preds b USING (id) WHERE a.model = 'alpha' AND b.model = 'gamma' AND id % 2 = 0", "preds")
+@query("q_j9_realign", "SELECT a.id, a.prob AS first, b.prob AS second FROM preds a JOIN preds b USING (id) WHERE a.model = 'alpha' AND b.model = 'gamma'", "preds")
 def j9(t):
-    arm = lambda m, n: t.preds.where((F.col("model") == m) & (F.col("id") % 2 == 0)).select("id", F.col("prob").alias(n))
+    arm = lambda m, n: t.preds.where(F.col("model") == m).select("id", F.col("prob").alias(n))
     return arm("alpha", "first").join(arm("gamma", "second"), "id")
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.evaluate import evaluate
 from plumbline.functions import parsing
+from plumbline.operators import heads
 from plumbline.operators import metrics as m
 from plumbline.operators import solver
 from plumbline.plans.metric_queries import AUROC, RANKS, rounded
@@ -67,13 +72,17 @@ def s7(t):
     path = scratch(t.spark, "tsv")
     rows = t.part.select(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name", F.when(F.col("p_size") % 4 != 0, F.col("p_brand"))).alias("value"))
     head = t.spark.createDataFrame([("#id\tname\tbrand",)], "value string")
-    head.unionByName(rows).write.option("compression", "gzip").text(path)
+    head.unionByName(rows).coalesce(1).write.option("compression", "gzip").text(path)
     return readers.tsv_rows(t.spark, path, ["id", "brand"])
 
 
-@query("q_s8_snapshot", "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F'")
+@query("q_s8_snapshot", "SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL")
 def s8(t):
-    return t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).distinct()
+    path = scratch(t.spark, "snapshot")
+    rows = t.orders.select(F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value"))
+    t.spark.createDataFrame([("#id\tassembly",)], "value string").unionByName(rows).coalesce(1).write.option("compression", "gzip").text(path)
+    members = readers.tsv_rows(t.spark, path, ["id", "assembly"]).where("assembly = 'F'").select(F.col("id").cast("long").alias("id")).distinct()
+    return t.lineitem.select(F.col("l_orderkey").alias("id")).join(members, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("q_s11_json_results", "SELECT model, count(*) AS n FROM preds WHERE model <> 'gamma' GROUP BY ALL", "preds")
@@ -143,6 +152,49 @@ def e1(t):
     return out.select("id", parsing.probability(F.col("answer")).alias("prob"), "status")
 
 
+def moody(model: str, prompt: str):
+    """An answer of every kind, by the prompt alone."""
+    kind = int(hashlib.md5(prompt.encode()).hexdigest()[:8], 16) % 6
+    if kind == 3:
+        raise TimeoutError
+    return ("Probability: 0.5", "", "I cannot say", None, ("Probability: 0.", "length"), ("", "refusal"))[kind]
+
+
+@query("q_e10_statuses", "SELECT CASE (('0x' || substr(md5('Is ' || id || ' good?'), 1, 8))::BIGINT % 6)::INT WHEN 0 THEN 'ok' WHEN 1 THEN 'empty' WHEN 3 THEN 'err:TimeoutError' WHEN 4 THEN 'truncated' ELSE 'refusal' END AS status, count(*) AS n FROM items GROUP BY ALL", "items")
+def e10(t):
+    prompts = t.items.select("id", F.concat(F.lit("Is "), "id", F.lit(" good?")).alias("prompt"))
+    providers = solver.Providers()
+    providers.insert(lambda name: name == "moody", moody)
+    return solver.solve(prompts, "moody", providers, at_once=4, workers=8, pause=0.0).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("q_e5_featurizers", """SELECT 'vector' AS kind, count(*) AS n, count(DISTINCT vec_id % 10) AS n_groups FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+UNION ALL SELECT 'text', count(*), count(DISTINCT grp) FROM items WHERE trim(text, ' ') <> '' UNION ALL SELECT 'sequence', count(*), count(DISTINCT grp) FROM items WHERE length(text) >= 3 UNION ALL SELECT 'number', count(*), count(DISTINCT grp) FROM items WHERE text IS NOT NULL""", "items")
+def e5(t):
+    text = t.items.select("id", "label", "grp", F.col("text").alias("rep"))
+    frames = {
+        "vector": t.embeddings.select(F.col("vec_id").alias("id"), "label", (F.col("vec_id") % 10).alias("grp"), F.col("embedding").alias("rep")),
+        "text": text,
+        "sequence": text,
+        "number": text.withColumn("rep", F.length("rep").cast("double")),
+    }
+    parts = [heads.featurized(df, kind).agg(F.lit(kind).alias("kind"), F.count("features").alias("n"), F.count_distinct("grp").alias("n_groups")) for kind, df in frames.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+E9 = """+ p AS (SELECT task, id, label, row_number() OVER (PARTITION BY task, label ORDER BY md5('9:' || id), id) AS rn, (('0x' || substr(md5('dry:Is ' || id || ' good?'), 1, 8))::BIGINT % 1000) / 1000::DOUBLE AS prob FROM items WHERE task IN ('en', 'de')),
+s AS (SELECT task, CASE task WHEN 'de' THEN 1 - label ELSE label END AS label, prob, CASE task WHEN 'de' THEN 'oppose' ELSE 'align' END AS orient FROM p WHERE rn <= 20),
+k AS (SELECT *, rank() OVER (PARTITION BY task ORDER BY prob) + (count(*) OVER (PARTITION BY task, prob) - 1) / 2.0::DOUBLE AS r FROM s)
+SELECTING SELECT 'dry' AS model, task, orient, count(*) AS n, round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / nullif(sum(label) * sum(1 - label), 0)::DOUBLE, 6) AS auroc FROM k GROUP BY ALL"""
+
+
+@query("q_e9_evaluate", E9, "items")
+def e9(t):
+    items = t.items.select("id", "task", F.concat(F.lit("Is "), "id", F.lit(" good?")).alias("representation"), "label", F.lit(None).cast("string").alias("condition"))
+    card = evaluate(items, [solver.TaskSpec("en"), solver.TaskSpec("de", orient="oppose")], n=40, seed=9, workers=4)
+    return rounded(card.select("model", "task", "orient", "n", "auroc"), "auroc")
+
+
 @query("q_e4_task_registry", "SELECT 'admet/a' AS task, 'pairs' AS kind, 'oppose' AS orient, 0.9::DOUBLE AS ceiling UNION ALL SELECT 'graph/b', 'twocol', 'align', NULL")
 def e4(t):
     tasks = [solver.TaskSpec("admet/a", orient="oppose", ceiling=0.9), solver.TaskSpec("graph/b", "twocol")]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,27 +24,32 @@ def jsonl_items(spark: SparkSession, path: str, condition: str | None = None, sc
     return rows.where(F.col("condition") == condition) if condition else rows
 
 
-def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV with a header; all columns are strings unless a schema is given.  Empty fields are null."""
-    reader = spark.read.option("header", True).option("emptyValue", None).option("escape", '"').option("multiLine", True)
+def csv_rows(spark: SparkSession, path: str, schema: str | None = None, line_feeds: bool = False) -> DataFrame:
+    """A CSV with a header; all columns are strings unless a schema is given.  Empty fields are null.
+
+    line_feeds: fields may hold line feeds; a file is then read by one task.
+    """
+    reader = spark.read.option("header", True).option("emptyValue", None).option("escape", '"').option("multiLine", line_feeds)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def tsv_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """These columns of a tab-separated file, gzipped or not, whose header may start with #; short rows give nulls.
+    """These columns of tab-separated files, gzipped or not, each with a header that starts with #; short rows give nulls.
 
     A gzipped file can't be split, so its rows are dealt out again after reading.
     """
-    lines = spark.read.text(path)
-    header = lines.where(F.startswith("value", F.lit("#"))).select(F.split(F.regexp_replace("value", "^#", ""), "\t").alias("h")).limit(1)
+    lines = spark.read.text(path).withColumn("file", F.input_file_name())
+    # one row a file
+    header = lines.where(F.startswith("value", F.lit("#"))).groupBy("file").agg(F.split(F.regexp_replace(F.first("value"), "^#", ""), "\t").alias("h"))
     rows = lines.where(~F.startswith("value", F.lit("#"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    split = rows.select(F.split("value", "\t").alias("f")).join(F.broadcast(header))
+    split = rows.select("file", F.split("value", "\t").alias("f")).join(header, "file")
     return split.select(*[F.nullif(F.get("f", F.array_position("h", c).cast("int") - 1), F.lit("")).alias(c) for c in columns])
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """header and sequence of each record; records may span any number of lines."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    # a record begins with > at the beginning of a line; only a file's first one keeps it
+    records = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", r"^\s*>", "")).where(F.trim("value") != "")
     parts = F.split("value", "\n", 2)
     return records.select(F.trim(F.get(parts, 0)).alias("header"), F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), r"\s", "").alias("sequence"))
 
@@ -88,3 +98,21 @@ def images(spark: SparkSession, pattern: str) -> DataFrame:
 def jdbc_rows(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
     """A table of a database whose driver is on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def npz_rows(spark: SparkSession, pattern: str, columns: str) -> DataFrame:
+    """path, i, and the i-th row of each named array of compressed array files: numbers, or lists of them.
+
+    columns: a schema of the arrays wanted, such as ``X array<float>, y int``; their first dimensions are equal.  A file is
+    read whole by one task.
+    """
+    names = [f.split()[0] for f in columns.split(", ")]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    arrays = {n: list(held[n]) for n in names}
+                yield pd.DataFrame({"path": path, "i": range(len(arrays[names[0]])), **arrays})
+
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(rows, f"path string, i long, {columns}")
