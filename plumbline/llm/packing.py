@@ -31,7 +31,7 @@ from plumbline.llm.pretokenize import PATTERN, SPECIAL
 from plumbline.llm.storage import written
 from plumbline.llm.token_counts import byte_symbols
 
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS, CACHED_IDS = 600_000, 8_000_000
 
 
 # A space before anything else but white space starts a piece, whatever stands around it.
@@ -82,7 +82,7 @@ class ChunkIds(dict):
 
     def of(self, text: str) -> np.ndarray:
         """The ids of a text, as the tokenizer gives them without added special tokens."""
-        if len(self) >= CACHED_CHUNKS:
+        if len(self) >= CACHED_CHUNKS or len(self.ids) >= CACHED_IDS:
             self.forget()
         out = []
         for k, part in enumerate(text.split(SPECIAL)):

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.pretokenize import SPECIAL, pieces
 
 CACHED_PIECES = 400_000
+CACHED_LENGTH = 64  # longer pieces are rarely met again
 
 
 def byte_symbols() -> list[str]:
@@ -43,9 +44,11 @@ class PieceCounter(dict):
             self.rank[number[left], number[right]] = (rank, merged)
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        n = self[piece] = self.count(piece.encode())
+        n = self.count(piece.encode())
+        if len(piece) <= CACHED_LENGTH:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = n
         return n
 
     def count(self, data: bytes) -> int:
