@@ -224,12 +224,13 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their own columns, and texts without repeated chunks.
+    """The rows of ``docs`` with their own columns, and texts without repeated chunks; n_chars, if there is one, follows.
 
     A document that loses all its words goes, since nothing of it is its own; one that had none stays.
     """
     done = line_dedup(docs, id_col=id_col, text_col=text_col)
     done = done.where((F.col("n_removed_words") == 0) | F.col(text_col).rlike(r"\S"))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+        own = F.length(text_col).cast(docs.schema["n_chars"].dataType)
+        done = done.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, own).otherwise(F.col("n_chars")))
     return done.select(docs.columns)
