@@ -8,6 +8,8 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES, ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 _own_folder: str | None = None
 
 
@@ -36,13 +38,18 @@ def tasks_for(rows: int, each: int = 50_000) -> int:
 def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """The rows of ``df``, computed once and read back from a table in the shared folder.
 
-    A lost executor costs at most a reread.  Files go when the session ends.  ``tasks``: for a table known to be
+    Python workers get ARROW_BATCH at a time meanwhile.  A lost executor costs at most a reread.  Files go when the session ends.  ``tasks``: for a table known to be
     small, how many tasks at most make it, so that what follows reads few files.
     """
     df = df.coalesce(tasks) if tasks else df
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    usual = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, ARROW_BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_BYTES, usual)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

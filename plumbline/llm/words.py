@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
