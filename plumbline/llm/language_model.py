@@ -32,6 +32,7 @@ from plumbline.llm.words import batches, mix
 
 BATCH_BYTES = 6_000_000
 BUCKET_BYTES = 20_000_000  # of text, whose words and pairs go to one key bucket
+TASK_BYTES = 100_000_000
 BUCKETS = 40  # of log2 context frequency
 BIN = 0.02  # of log10 ratios of the first two estimates
 LEAST_RATIO = 1e-9
@@ -236,6 +237,12 @@ def _scored(buckets: int, n: int, n_kept: int, v: int, unknown: np.ndarray, foll
     return rows
 
 
+def _spread(df: DataFrame, key: str, size: int) -> DataFrame:
+    """df dealt by this key to more tasks than the session's number, where that would give a task over TASK_BYTES of text."""
+    tasks = 1 + size // TASK_BYTES
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -249,26 +256,27 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     parts = split(docs, id_col, text_col)
     of_text = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
     sizes = parts.agg(F.sum(of_text).alias("all"), F.sum(F.when(F.col("part") == 1, of_text)).alias("weights")).first()
-    n_batches = [1 + (size or 0) // BATCH_BYTES for size in ((sizes["all"] or 0) - (sizes["weights"] or 0), sizes["weights"])]
-    buckets = 1 + (sizes["all"] or 0) // BUCKET_BYTES
+    size = sizes["all"] or 0
+    n_batches = [1 + (part or 0) // BATCH_BYTES for part in (size - (sizes["weights"] or 0), sizes["weights"])]
+    buckets = 1 + size // BUCKET_BYTES
     key = F.xxhash64("id", "text")
     # documents that set the weights have batches of their own, so that only they are read for it
     batch = F.when(F.col("part") == 1, n_batches[0] + F.pmod(key, F.lit(n_batches[1]))).otherwise(F.pmod(key, F.lit(n_batches[0])))
     texts = parts.withColumn("batch", batch.cast("long"))
 
-    sent = texts.select("batch", "text", "part").groupBy("batch").applyInPandas(_sent(buckets), SENT_ROW)
-    answers = written(sent.groupBy("bucket").applyInPandas(_answers, ANSWER_ROW), "lm-answers")
+    sent = _spread(texts.select("batch", "text", "part"), "batch", size).groupBy("batch").applyInPandas(_sent(buckets), SENT_ROW)
+    answers = written(_spread(sent, "bucket", size).groupBy("bucket").applyInPandas(_answers, ANSWER_ROW), "lm-answers")
     total = answers.where("batch = -1").agg(F.sum("all_train"), F.sum("all_kept"), F.sum("all_words")).first()
     n, n_kept, v = (int(x or 0) for x in total)
-    told = answers.where("batch >= 0").select("batch", "bucket", "train", "kept", "times")
+    told = _spread(answers.where("batch >= 0").select("batch", "bucket", "train", "kept", "times"), "batch", size)
 
-    held_out = texts.where("part = 1").select("batch", "text").groupBy("batch")
+    held_out = _spread(texts.where("part = 1").select("batch", "text"), "batch", size).groupBy("batch")
     counts = held_out.cogroup(told.where(F.col("batch") >= n_batches[0]).groupBy("batch")).applyInPandas(_held_out(buckets, n_kept), "known boolean, bucket int, bin int, n long")
     sums = counts.groupBy("known", "bucket", "bin").agg(F.sum("n").alias("n")).toPandas()  # buckets times bins at most
     unknown, follows = weights_of(sums)
 
     score = _scored(buckets, n, n_kept, v, unknown, follows)
-    scored = texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, SCORE_ROW)
+    scored = _spread(texts, "batch", size).groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, SCORE_ROW)
     return scored.select(
         F.col("id").alias(id_col),
         (F.col("part") == 0).alias("held_out"),

@@ -225,6 +225,7 @@ def brute_scores(rows):
 def test_score_is_that_of_plain_counts(spark, monkeypatch, batch_bytes):
     monkeypatch.setattr(language_model, "BATCH_BYTES", batch_bytes)
     monkeypatch.setattr(language_model, "BUCKET_BYTES", 5 * batch_bytes)
+    monkeypatch.setattr(language_model, "TASK_BYTES", 3 * batch_bytes)
     rng = np.random.default_rng(7)
     texts = [" ".join(f"W{int(k)}" for k in rng.zipf(1.4, int(rng.integers(0, 60))) % 300) for _ in range(200)]
     rows = [*enumerate(texts), (None, "no id here"), (201, None), (202, " "), (3, texts[3]), (203, "once only")]
