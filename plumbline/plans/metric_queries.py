@@ -38,12 +38,12 @@ SELECT a.model, a.task, a.n, a.auroc, e.ece_conf, c.aurc, c.sel_acc_50 FROM
  JOIN (SELECT model, task, round(sum(n * gap) / sum(n), 6) AS ece_conf FROM eb GROUP BY ALL) e USING (model, task)
  JOIN (SELECT model, task, round(avg(risk), 6) AS aurc, round(avg(1.0::DOUBLE - err) FILTER (k <= greatest(1, floor(n * 0.5))), 6) AS sel_acc_50 FROM c GROUP BY ALL) c USING (model, task)""", "preds")
 def scorecard(t):
-    p = t.preds
-    n = p.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    parts = [m.auroc(p, KEYS), m.ece_confidence(p, KEYS), m.aurc(p, KEYS, conf(), F.col("err")), m.selective_accuracy(p, KEYS, conf(), 1 - F.col("err"), name="sel_acc_50")]
-    for x in parts:
-        n = n.join(x, KEYS)
-    return rounded(n, "auroc", "ece_conf", "aurc", "sel_acc_50")
+    # the curve stages its rows, so predictions are made once for all metrics
+    p = m.risk_curve(t.preds.select(*KEYS, "id", "prob", "label", "err"), KEYS, [conf().desc(), F.col("id")], F.col("err"))
+    half = F.avg(F.when(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.5)), 1.0 - F.col("err")))
+    row = p.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg("risk").alias("aurc"), half.alias("sel_acc_50"))
+    row = row.join(m.auroc(p, KEYS), KEYS).join(m.ece_confidence(p, KEYS), KEYS)
+    return rounded(row.select(*KEYS, "n", "auroc", "ece_conf", "aurc", "sel_acc_50"), "auroc", "ece_conf", "aurc", "sel_acc_50")
 
 
 @query("q_a1_auroc", f"+ {RANKS} SELECTING SELECT model, task, {AUROC} AS auroc FROM r GROUP BY ALL", "preds")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import md5_number, shuffle_key
@@ -305,14 +304,14 @@ def u5(t):
 
 @query("q_w1_cumulative_mean", "SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9::DOUBLE, 6) AS running FROM events")
 def w1(t):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_type", "event_id", F.round(F.avg("value").over(w) + 1e-9, 6).alias("running"))
+    upto = r.ranked(t.events.select("event_type", "event_id", "ts", "value"), ["event_type"], ["ts", "event_id"], "k", sums={"_sum": F.col("value")})
+    return upto.select("event_type", "event_id", F.round(F.col("_sum") / F.col("k") + 1e-9, 6).alias("running"))
 
 
 @query("q_w2_tag_then_confidence", "SELECT model, id, row_number() OVER (PARTITION BY model ORDER BY (web = 'rich') DESC, conf DESC, id) AS k FROM preds", "preds")
 def w2(t):
-    w = Window.partitionBy("model").orderBy(F.desc(F.col("web") == "rich"), F.desc("conf"), "id")
-    return t.preds.select("model", "id", F.row_number().over(w).cast("long").alias("k"))
+    rows = t.preds.select("model", "id", "conf", (F.col("web") == "rich").alias("rich"))
+    return r.ranked(rows, ["model"], [F.desc("rich"), F.desc("conf"), "id"], "k").select("model", "id", "k")
 
 
 @query("q_w3_top_k", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY k) AS top FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3 GROUP BY ALL")
@@ -388,7 +387,7 @@ def o6(t):
 
 @query("q_o7_quantile_cut", "SELECT event_id, value FROM events WHERE value > (SELECT quantile_cont(value, 0.9) FROM events)")
 def o7(t):
-    bar = t.events.agg(F.percentile("value", F.lit(0.9)).alias("bar"))
+    bar = r.percentiles(t.events, [], "value", [0.9], "p").select(F.col("p")[0].alias("bar"))
     return t.events.join(F.broadcast(bar), F.col("value") > F.col("bar")).select("event_id", "value")
 
 
