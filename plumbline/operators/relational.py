@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.sequences import kmers
 from plumbline.sources.staging import staged
 
 
@@ -123,6 +124,24 @@ def novel(found: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return found.distinct().join(known.select(*keys), keys, "left_anti")
 
 
+def power_gate(designs: DataFrame, known: DataFrame, temperatures: list[int], order: Column, n: int) -> DataFrame:
+    """A row for each temperature that designs were drawn at: validity, novel_per_1k, diversity of n fresh ones in this order, pass,
+    and operating, the highest temperature that passes.  designs: temperature, design, valid."""
+    fresh = staged(novel(designs.where("valid").select("temperature", "design"), known, ["design"]), "fresh")
+    bits = F.array_distinct(kmers(F.col("design"), 2))
+    spread = reduce(
+        DataFrame.unionByName,
+        [diversity(fresh.where(F.col("temperature") == k).withColumn("bits", bits), order, n, key="design").withColumn("temperature", F.lit(k)) for k in temperatures],
+    )
+    sums = designs.groupBy("temperature").agg(F.avg(F.col("valid").cast("double")).alias("validity"), F.count("*").alias("_n"))
+    sums = sums.join(fresh.groupBy("temperature").agg(F.count("*").alias("_fresh")), "temperature", "left").join(spread, "temperature")
+    per = F.round(F.coalesce("_fresh", F.lit(0)) * 1000 / F.col("_n"), 4)
+    row = sums.select("temperature", F.round("validity", 6).alias("validity"), per.alias("novel_per_1k"), F.round("diversity", 6).alias("diversity"))
+    row = row.withColumn("pass", (F.col("validity") >= 0.7) & (F.col("novel_per_1k") >= 200) & (F.col("diversity") >= 0.7))
+    best = row.where("pass").agg(F.max("temperature").alias("_best"))
+    return row.join(F.broadcast(best)).withColumn("operating", F.col("pass") & F.coalesce(F.col("temperature") == F.col("_best"), F.lit(False))).drop("_best")
+
+
 def opposite_partner(df: DataFrame, key: str, label: str) -> DataFrame:
     """For each row one of the other class: its number modulo that class's size, both in order of key."""
     numbers = ranked(df, [label], [key])

@@ -133,15 +133,17 @@ def m18(t):
     return rounded(best.join(p, "id").groupBy("budget").agg(F.avg(F.col("label").cast("double")).alias("pass_rate")), "pass_rate")
 
 
-@query("q_m20_power_gate", """+ d AS (SELECT user_id AS id, substr(md5(props || user_id % 40), 1, 4) AS design, value > 10 AS valid FROM events), n AS (SELECT DISTINCT design FROM d WHERE valid AND substr(design, 1, 1) <> 'a')
-SELECTING SELECT round(avg(valid::INT::DOUBLE), 6) AS validity, round((SELECT count(*) FROM n) * 1000 / count(*)::DOUBLE, 4) AS novel_per_1k, avg(valid::INT::DOUBLE) >= 0.7 AND (SELECT count(*) FROM n) * 1000 / count(*)::DOUBLE >= 200 AS pass FROM d""")
+@query("q_m20_power_gate", """+ d AS (SELECT (user_id % 3)::INT AS temperature, substr(md5(props || user_id % 40), 1, 4) AS design, value > 10 AS valid FROM events),
+f AS (SELECT temperature, design, row_number() OVER (PARTITION BY temperature ORDER BY md5('m20:' || design), design) AS rn, list_distinct(list_transform(range(1, 4), lambda i: substr(design, i, 2))) AS bits FROM (SELECT DISTINCT temperature, design FROM d WHERE valid AND substr(design, 1, 1) <> 'a')),
+v AS (SELECT a.temperature, round(1 - avg(len(list_intersect(a.bits, b.bits)) / len(list_distinct(list_concat(a.bits, b.bits)))::DOUBLE), 6) AS diversity FROM f a JOIN f b ON a.temperature = b.temperature AND a.design < b.design WHERE a.rn <= 200 AND b.rn <= 200 GROUP BY ALL),
+c AS (SELECT temperature, count(*) AS fresh FROM f GROUP BY ALL), s AS (SELECT temperature, avg(valid::INT::DOUBLE) AS valid, count(*) AS n FROM d GROUP BY ALL),
+g AS (SELECT s.temperature, round(s.valid, 6) AS validity, round(c.fresh * 1000 / s.n::DOUBLE, 4) AS novel_per_1k, v.diversity FROM s JOIN c USING (temperature) JOIN v USING (temperature)),
+p AS (SELECT *, validity >= 0.7 AND novel_per_1k >= 200 AND diversity >= 0.7 AS pass FROM g) SELECTING SELECT *, pass AND temperature = (SELECT max(temperature) FROM p WHERE pass) AS operating FROM p""")
 def m20(t):
-    d = t.events.select(F.substring(F.md5(F.concat("props", F.col("user_id") % 40)), 1, 4).alias("design"), (F.col("value") > 10).alias("valid"))
+    design = F.substring(F.md5(F.concat("props", F.col("user_id") % 40)), 1, 4)
+    d = t.events.select((F.col("user_id") % 3).cast("int").alias("temperature"), design.alias("design"), (F.col("value") > 10).alias("valid"))
     known = d.where(F.startswith("design", F.lit("a"))).select("design").distinct()
-    fresh = r.novel(d.where("valid").select("design"), known, ["design"]).agg(F.count("*").alias("fresh"))
-    sums = d.agg(F.avg(F.col("valid").cast("double")).alias("validity"), F.count("*").alias("n")).join(fresh)
-    per = F.col("fresh") * 1000 / F.col("n")
-    return sums.select(F.round("validity", 6).alias("validity"), F.round(per, 4).alias("novel_per_1k"), ((F.col("validity") >= 0.7) & (per >= 200)).alias("pass"))
+    return r.power_gate(d, known, [0, 1, 2], shuffle_key("m20", F.col("design")), 200)
 
 
 @query("q_r5_learned_router")
