@@ -37,7 +37,8 @@ DEPTH = 6
 LEAST_DEPTH = 2
 REACH = 64
 ORDERED_SHINGLES = 1_000_000  # whose counts in crowds are broadcast; shingles beyond them count as rarer
-BLOCK = 4096  # rows of one shingle that are compared at once
+BLOCK = 4096  # rows of one shingle that are compared with one another
+AT_ONCE = 64  # of them, with all the others
 HASH_BYTES = 6  # of each shingle in a stored set; sets of a thousand differ by chance once in 10**8 pairs
 BROADCAST_IDS = 2_000_000
 # Of TREES * DEPTH two-bit values two documents at three quarters share 13 / 16 on average; this is 4.3 standard
@@ -225,7 +226,7 @@ def _prefix(percent: int, order):
 
     def rows(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, times, whole = order.value
-        for batch in batches_:
+        for batch in (b.iloc[k : k + 512] for b in batches_ for k in range(0, len(b), 512)):
             out = []
             for node, part, data in zip(batch["node"], batch["part"], batch["shingles"], strict=True):
                 h = _numbers(data)
@@ -270,12 +271,12 @@ def _meet(percent: int):
 
     def pairs(x: int, y: int, own, node, part, n, at, first) -> Iterator[np.ndarray]:
         left, right = (np.flatnonzero(own == x), np.flatnonzero(own == y))
-        for k in range(0, len(left), 512):
-            i, j = left[k : k + 512, None], right[None]
+        for k in range(0, len(left), AT_ONCE):
+            i, j = left[k : k + AT_ONCE, None], right[None]
             ok = part[i] != part[j]
             if x == y:
                 ok &= i < j
-            i, j = (v[s] for v, s in zip((left[k : k + 512], right), np.nonzero(ok), strict=True))
+            i, j = (v[s] for v, s in zip((left[k : k + AT_ONCE], right), np.nonzero(ok), strict=True))
             ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             ok &= np.where(n[i] <= n[j], first[i], first[j])
             most = np.minimum(n[i] - at[i], n[j] - at[j])  # shared, if these shingles are the first that are

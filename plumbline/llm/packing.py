@@ -31,7 +31,7 @@ from plumbline.llm.pretokenize import PATTERN, SPECIAL
 from plumbline.llm.storage import written
 from plumbline.llm.token_counts import byte_symbols
 
-CACHED_CHUNKS, CACHED_IDS = 600_000, 8_000_000
+CACHED_CHUNKS, CACHED_IDS = 300_000, 4_000_000
 
 
 # A space before anything else but white space starts a piece, whatever stands around it.
