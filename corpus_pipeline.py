@@ -9,13 +9,14 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontamination, line_dedup, minhash_forest, packing, toxicity
 from plumbline.llm.catalog import VOCABULARY, table
-from plumbline.llm.storage import written
+from plumbline.llm.storage import ARROW_BATCH, ARROW_BYTES, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,12 +46,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), 2048, 0)
 
 
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session that hands Python workers a few megabytes at a time, for whole texts differ much in size."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(ARROW_BYTES, ARROW_BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("line dedup", drop_repeated_lines),
-    ("near-duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("packing", pack),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("line dedup", in_small_batches(drop_repeated_lines)),
+    ("near-duplicates", in_small_batches(drop_near_duplicates)),
+    ("decontamination", in_small_batches(drop_contaminated)),
+    ("packing", in_small_batches(pack)),
 ]
 
 # no stage but decontamination can be expressed in SQL
