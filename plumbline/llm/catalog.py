@@ -4,8 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from plumbline.llm import decontamination, embedding_dedup, html_extraction, language_model, line_dedup, minhash_forest, packing, sharding, token_counts, toxicity
+from pyspark.sql import functions as F
+
+from plumbline.llm import (
+    decontamination,
+    divergence_audit,
+    embedding_dedup,
+    fill_in_middle,
+    html_extraction,
+    language_model,
+    license_scan,
+    line_dedup,
+    minhash_forest,
+    packing,
+    sharding,
+    token_counts,
+    toxicity,
+)
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -102,6 +117,82 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), cut AS (
+  SELECT doc_id, text, n, form, least(x, y) AS a, greatest(x, y) AS b FROM drawn
+), parts AS (
+  SELECT *, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    starts, spans = F.transform("places", lambda p: p.word), F.col("spans")
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p.label)))
+    every = F.array_sort(F.array_union(base, F.transform(spans, lambda s: s.label)))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        "score",
+    )
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.divergence_audit(table(spark, sf_dir, "documents"), 30, 50)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d
+), o AS (SELECT lang, source, i, unnest(w) AS term FROM d
+), kept AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT i) >= 30
+), c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN kept USING (lang, term) GROUP BY ALL
+), lc AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY ALL
+), v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM lc GROUP BY ALL
+), gn AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+), q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v) AS q FROM lc JOIN v USING (lang)
+), p AS (
+  SELECT gn.lang, gn.source, kept.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (gn.n + 5 * v.v) AS p
+  FROM gn JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT a.lang, a.source AS s, b.source AS r, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) x ON x.lang = a.lang AND x.s = a.source AND x.r = b.source
+), every AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM numbered WHERE part = 'pair' OR rank <= 50
+"""
+
+
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_decontamination": op2_decontamination,
@@ -113,5 +204,8 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_license_scan": op12_license_scan,
+    "op13_divergence_audit": op13_divergence_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_embedding_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_embedding_dedup": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op13_divergence_audit": OP13_SQL}

@@ -34,7 +34,7 @@ def test_pipeline_stages(spark):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def odd_corpus(spark, folder):
