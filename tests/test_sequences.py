@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
-from plumbline.functions import alignment
-from plumbline.operators import clustering
+from plumbline.functions import alignment, notation
+from plumbline.operators import clustering, graphs
+from plumbline.plans import sequence_queries
+from plumbline.plans.tables import Tables
+from tests.conftest import SF
 
 
 def edited(rng, text, changes):
@@ -126,3 +129,97 @@ def test_pairs_are_members_and_centres_only(spark):
 def test_chains_of_centres_are_decided_one_after_the_other(spark):
     links = spark.createDataFrame([(k + 1, k, 1.0) for k in range(9)] + [(20, 1, 1.0), (20, 3, 1.0)], "member long, centre long, identity double")
     assert sorted((r.member, r.centre) for r in clustering.longest_first(links).collect()) == [(k + 1, k) for k in range(0, 9, 2)]
+
+
+# ---- graphs -----------------------------------------------------------------------------------------------------
+
+
+def isomorphic(a, b):
+    """By search: a mapping of atoms that keeps what they are and all bonds."""
+    kind = lambda g, k: (g.atoms[k], g.hydrogens(k), sorted(g.near[k].values()))
+    if len(a.atoms) != len(b.atoms):
+        return False
+    order = [k for group in a.components() for k in group]
+
+    def place(at, of):
+        if at == len(order):
+            return True
+        k = order[at]
+        for c in range(len(b.atoms)):
+            if c not in of.values() and kind(a, k) == kind(b, c) and all(b.near[c].get(of[x]) == bond for x, bond in a.near[k].items() if x in of):
+                if sum(x in of for x in a.near[k]) == sum(x in of.values() for x in b.near[c]) and place(at + 1, of | {k: c}):
+                    return True
+        return False
+
+    return place(0, {})
+
+
+KNOWN = [  # notation, hydrogens, rings, ring sizes, scaffold
+    ("CCO", 6, 0, [], ""),
+    ("c1ccccc1", 6, 1, [6], "c1ccccc1"),
+    ("Cc1ccccc1C(=O)O", 8, 1, [6], "c1ccccc1"),
+    ("c1ccc2ccccc2c1", 8, 2, [6], "c1ccc2ccccc2c1"),
+    ("C1CC2CCC1C2", 12, 2, [5], "C1CC2CCC1C2"),
+    ("O=C1CCCCC1", 10, 1, [6], "O=C1CCCCC1"),
+    ("c1ccccc1CCc1ccccc1", 14, 2, [6], "c1ccccc1CCc1ccccc1"),
+    ("c1ccccc1c1ccccc1", 10, 2, [6], "c1ccccc1-c1ccccc1"),
+    ("Cn1cccc1", 7, 1, [5], "c1cc[nH]c1"),
+    ("C[N+](C)(C)C", 12, 0, [], ""),
+    ("[Na+].[Cl-]", 0, 0, [], ""),
+    ("CS(=O)(=O)N", 5, 0, [], ""),
+    ("C%12CC%12", 6, 1, [3], "C1CC1"),
+]
+
+
+def test_known_graphs(spark):
+    df = spark.createDataFrame([(k, x[0]) for k, x in enumerate(KNOWN)], "id int, notation string")
+    out = {r.id: r for r in graphs.fingerprinted(df, "notation").collect()}
+    for k, (text, hydrogens, n_rings, sizes, core) in enumerate(KNOWN):
+        g = notation.parse(text)
+        assert sum(map(g.hydrogens, range(len(g.atoms)))) == hydrogens, text
+        assert (out[k].n_rings, out[k].ring_sizes) == (n_rings, sizes), text
+        assert isomorphic(notation.parse(out[k].scaffold), notation.parse(core)) if core else out[k].scaffold == "", text
+        assert sum(out[k].masses) == pytest.approx(g.weight(list(range(len(g.atoms)))), abs=0.01)
+    assert out[1].masses == [78.114] and out[6].masses == [77.106, 77.106, 28.054]
+    assert out[1].bits == sorted(out[1].bits) and len(out[1].bits) == 3  # six like atoms have one neighbourhood at each radius
+
+
+def test_neighbourhoods_of_a_chain(spark):
+    """C-C-C-C-O at radius 1: atoms differ in their neighbours up to one bond away."""
+    df = spark.createDataFrame([(0, "CCCCO"), (1, "OCCCC"), (2, "CCCCN"), (3, "C(CO)CC")], "id int, notation string")
+    bits = {r.id: set(r.bits) for r in graphs.fingerprinted(df, "notation", 1, 1 << 20).collect()}
+    assert bits[0] == bits[1] == bits[3] and len(bits[0]) == 3 + 5  # CH3, CH2 and OH; then all five differ but for the middle two
+    assert len(bits[0] & bits[2]) == 2 + 3
+
+
+def test_what_is_no_notation(spark):
+    wrong = [None, "", "C(", "C)", "C1CC", "C=", "CX", "[C", "C1C1", "c1ccccc1 ", "1CC", "C11", "C..C("]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(wrong)], "id int, notation string, scaffold_of string")
+    assert all(r.bits is None and r.scaffold is None for r in graphs.fingerprinted(df, "notation").collect())
+    assert all(r.other is None for r in graphs.renotated(df, "notation").collect())
+    stereo = spark.createDataFrame([(0, "F/C=C/F"), (1, "C"), (2, "N[C@@H](C)O")], "id int, notation string")
+    assert all(r.other is None for r in graphs.renotated(stereo, "notation").collect())
+    assert graphs.renotated(stereo.limit(0), "notation").isEmpty() and graphs.fingerprinted(stereo.limit(0), "notation").isEmpty()
+
+
+def test_other_notations_are_of_the_same_graph(spark):
+    rows = sequence_queries.x15(Tables(spark, SF)).collect()
+    assert len({r.notation for r in rows}) > 150 and all(r.other and r.other != r.notation for r in rows if len(r.notation) > 3)
+    both = {(r.notation, r.other) for r in rows if r.other}
+    assert all(isomorphic(notation.parse(a), notation.parse(b)) for a, b in both)
+    df = spark.createDataFrame([(k, t) for k, p in enumerate(sorted(both)) for t in p], "id int, notation string")
+    seen = {}
+    for r in graphs.fingerprinted(df, "notation").collect():
+        seen.setdefault(r.id, set()).add((tuple(r.bits), r.n_rings, tuple(r.ring_sizes), r.scaffold, tuple(r.masses)))
+    assert all(len(s) == 1 for s in seen.values())
+
+
+def test_fingerprints_feed_the_neighbour_search(spark):
+    t = Tables(spark, SF)
+    rows = {r.id: r for r in graphs.fingerprinted(sequence_queries.molecules(t), "notation").collect()}
+    want = {}
+    for q in (r for r in rows.values() if r.id % 20 == 0):
+        sims = sorted((-len(set(q.bits) & set(p.bits)) / len(set(q.bits) | set(p.bits)), p.id) for p in rows.values() if p.scaffold != q.scaffold and set(q.bits) & set(p.bits))
+        y = [rows[i].label for _, i in sims[:5]]
+        want[q.id] = (pytest.approx(sum(y) / len(y), abs=1e-6), pytest.approx(max(sum(y), len(y) - sum(y)) / len(y), abs=1e-6))
+    assert {r.id: (r.mean_label, r.purity) for r in sequence_queries.m7_neighbors(t).collect()} == want
