@@ -79,30 +79,6 @@ def first_release(ids: DataFrame, releases: Mapping[str, DataFrame], otherwise:
     return ids.select(key, seen.alias(name))
 
 
-BROADCAST_BITS = 1_000_000  # of all queries together
-
-
-def nearest(queries: DataFrame, pool: DataFrame, k: int, bits: str = "bits", apart: str | None = None, key: str = "id") -> DataFrame:
-    """The k of the pool with the largest Tanimoto similarity over 0 to each query; ties go to the smaller id.
-
-    Pairs come from a join on shared bits, whose number is the intersection's size, so no pair without one is made.
-    ``apart``: a column in which the two must differ.
-    """
-    side = [key, bits, *([apart] if apart else [])]
-    extra = [c for c in pool.columns if c not in side]
-    q = queries.select(F.col(key), F.size(bits).alias("_n"), F.explode(bits).alias("_bit"), *([F.col(apart).alias("_a")] if apart else []))
-    few = (queries.agg(F.sum(F.size(bits))).first()[0] or 0) <= BROADCAST_BITS
-    # few queries come to the pool, whose rows stay together, so that shared bits are counted without moving a pair
-    held = pool.repartition(key) if few else pool
-    p = held.select(F.col(key).alias("neighbor"), F.size(bits).alias("_m"), F.explode(bits).alias("_bit"), *([F.col(apart).alias("_b")] if apart else []))
-    met = p.join(F.broadcast(q) if few else q, "_bit")
-    met = met.where(F.col("_a") != F.col("_b")) if apart else met.where(F.col(key) != F.col("neighbor"))
-    pairs = met.groupBy("neighbor", key).agg(F.count("*").alias("_both"), F.max("_n").alias("_n"), F.max("_m").alias("_m"))
-    pairs = pairs.withColumn("sim", F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both")))
-    best = top_per_group(pairs, [key], [F.desc("sim"), F.col("neighbor")], k)
-    return best.join(pool.select(F.col(key).alias("neighbor"), *extra), "neighbor").select(key, "neighbor", "sim", "k", *extra)
-
-
 def neighbor_votes(neighbors: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
     """Mean label of the neighbours, and the share of the larger class."""
     y = F.sum(label)

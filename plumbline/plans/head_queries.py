@@ -8,6 +8,7 @@ from plumbline.functions.hashing import md5_number, shuffle_key
 from plumbline.functions.sequences import kmers
 from plumbline.operators import heads as h
 from plumbline.operators import metrics as m
+from plumbline.operators import neighbors
 from plumbline.operators import relational as r
 from plumbline.operators import sampling as x
 from plumbline.plans.metric_queries import rounded
@@ -123,7 +124,7 @@ def m17(t):
     from plumbline.plans.relational_queries import trigrams
 
     g = trigrams(t).drop("grp")
-    return rounded(r.neighbor_votes(r.nearest(g.where("id % 20 = 0"), g, 10)).select("id", "mean_label"), "mean_label")
+    return rounded(r.neighbor_votes(neighbors.nearest(g.where("id % 20 = 0"), g, 10)).select("id", "mean_label"), "mean_label")
 
 
 @query("q_m18_best_of_n", "+ o AS (SELECT id, label, spec_prob, row_number() OVER (ORDER BY md5('n:' || id), id) AS rn FROM preds WHERE model = 'alpha'), b AS (SELECT n, label, row_number() OVER (PARTITION BY n ORDER BY spec_prob DESC, id) AS k FROM o, (VALUES (40), (160)) v(n) WHERE rn <= n) SELECTING SELECT n AS budget, round(avg(label::DOUBLE), 6) AS pass_rate FROM b WHERE k <= 10 GROUP BY ALL", "preds")

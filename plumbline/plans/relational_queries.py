@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import md5_number, shuffle_key
+from plumbline.operators import neighbors
 from plumbline.operators import relational as r
 from plumbline.plans.metric_queries import rounded
 from plumbline.plans.registry import query
@@ -212,7 +213,7 @@ k AS (SELECT q.id AS q, q.grp, p.id AS p, p.label, len(list_intersect(q.bits, p.
 @query("q_j13_knn", f"+ {TRI} SELECTING SELECT q AS id, p AS neighbor, round(sim, 6) AS sim, k FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS k FROM k) WHERE k <= 5")
 def j13(t):
     g = trigrams(t)
-    return rounded(r.nearest(g.where("id % 20 = 0"), g, 5, apart="grp").select("id", "neighbor", "sim", "k"), "sim")
+    return rounded(neighbors.nearest(g.where("id % 20 = 0"), g, 5, apart="grp").select("id", "neighbor", "sim", "k"), "sim")
 
 
 def trigrams(t):
@@ -223,7 +224,7 @@ def trigrams(t):
 @query("q_a27_neighbor_label", f"+ {TRI} SELECTING SELECT q AS id, round(avg(label::DOUBLE), 6) AS mean_label, round(greatest(sum(label), count(*) - sum(label)) / count(*)::DOUBLE, 6) AS purity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS k FROM k) WHERE k <= 5 GROUP BY q")
 def a27(t):
     g = trigrams(t)
-    return rounded(r.neighbor_votes(r.nearest(g.where("id % 20 = 0"), g, 5, apart="grp")), "mean_label", "purity")
+    return rounded(r.neighbor_votes(neighbors.nearest(g.where("id % 20 = 0"), g, 5, apart="grp")), "mean_label", "purity")
 
 
 @query("q_j14_novel", "SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_shipdate >= DATE '1998-06-01' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < DATE '1993-01-01')")

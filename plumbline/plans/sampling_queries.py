@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import md5_number
 from plumbline.operators import metrics as m
+from plumbline.operators import neighbors
 from plumbline.operators import relational as r
 from plumbline.operators import sampling as x
 from plumbline.plans.metric_queries import rounded
@@ -130,7 +131,7 @@ def j20(t):
     from plumbline.plans.relational_queries import trigrams
 
     g = trigrams(t).select("id", F.pmod(md5_number("j20", F.col("id")), F.lit(5)).alias("fold"), "bits")
-    return r.nearest(g.where("id % 20 = 0"), g, 3, apart="fold").select("id", "neighbor", "k")
+    return neighbors.nearest(g.where("id % 20 = 0"), g, 3, apart="fold").select("id", "neighbor", "k")
 
 
 @query("q_j9_realign", "SELECT a.id, a.prob AS first, b.prob AS second FROM preds a JOIN preds b USING (id) WHERE a.model = 'alpha' AND b.model = 'gamma'", "preds")

@@ -71,17 +71,6 @@ def test_oracle_beats_policies(spark):
     assert all(row.oracle >= row[c] - 1e-9 for c in ("always_model", "always_spec", "own_defer", "conf_route"))
 
 
-def test_nearest_is_brute_force(spark):
-    sets = {i: {(i * k) % 13 for k in range(1, 5)} for i in range(12)}
-    df = spark.createDataFrame([(i, sorted(v)) for i, v in sets.items()], "id int, bits array<int>")
-    got = {(row.id, row.neighbor) for row in r.nearest(df, df, 2).collect()}
-    want = set()
-    for i, a in sets.items():
-        sims = sorted((-len(a & b) / len(a | b), j) for j, b in sets.items() if j != i and a & b)
-        want |= {(i, j) for _, j in sims[:2]}
-    assert got == want
-
-
 def test_provider_failures_are_rows(spark):
     def broken(model, prompt):
         raise ValueError("no")
