@@ -1,6 +1,7 @@
-"""Cheap learned heads, fitted fold by fold, and the gates and placements built on them.
+"""Cheap learned heads, and the gates and placements built on them.
 
-Folds and layers are independent fits, run from a few driver threads over one cached frame of vectors.
+Logistic heads of all folds, layers, controls and members are fitted in one pass a step (``operators.linear``).  Forests, and
+heads of more features than it takes, are independent fits, run from a few driver threads over one frame of vectors.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.sequences import kmers
+from plumbline.operators.linear import MOST_FEATURES, Arm, fit, scored
 from plumbline.operators.metrics import auroc
 from plumbline.sources.staging import staged
 
@@ -63,6 +65,10 @@ def score(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:
 
 def out_of_fold(df: DataFrame, folds: int, head: Head = linear_head, fold: str = "fold", name: str = "prob") -> DataFrame:
     """df with each row's probability under a head that hasn't seen its fold."""
+    first = df.select(F.size(vector_to_array("features")).alias("n")).first()
+    if head is linear_head and first and first.n <= MOST_FEATURES:
+        heads = fit(df, [Arm(F.col(fold) != k, F.col("label")) for k in range(folds)])
+        return staged(scored(df, heads).withColumn(name, F.get("probs", F.col(fold))).drop("probs"), "out-of-fold")
     held = df.persist()
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
         parts = list(pool.map(lambda k: score(head(held.where(F.col(fold) != k)), held.where(F.col(fold) == k), name), range(folds)))
@@ -73,49 +79,71 @@ def out_of_fold(df: DataFrame, folds: int, head: Head = linear_head, fold: str =
 
 def gate(df: DataFrame, folds: int, random_fold: Column, cold_fold: Column, shuffled: str, forest: bool = True) -> DataFrame:
     """One row: AUROC at random, across groups, of a forest across groups, and of shuffled labels; selectivity,
-    leakage_drop and the verdict: PASS from 0.65 across groups and 0.10 over shuffled labels."""
-    rand = df.withColumn("fold", random_fold)
-    cold = df.withColumn("fold", cold_fold)
-    control = rand.drop("label").withColumnRenamed(shuffled, "label")
-    runs = {"random": (rand, linear_head), "cold": (cold, linear_head), "control": (control, linear_head)}
+    leakage_drop and the verdict: PASS from 0.65 across groups and 0.10 over shuffled labels.
+
+    The logistic heads of all three arms and all folds are fitted together.
+    """
+    rows = df.withColumns({"_random": random_fold, "_cold": cold_fold})
+    runs = {"random": ("_random", "label"), "cold": ("_cold", "label"), "control": ("_random", shuffled)}
+    heads = fit(rows, [Arm(F.col(fold) != k, F.col(label)) for fold, label in runs.values() for k in range(folds)])
+    probs = {name: F.get("probs", F.col(fold) + k * folds) for k, (name, (fold, _)) in enumerate(runs.items())}
+    held = staged(scored(rows, heads).select("label", shuffled, *[p.alias(name) for name, p in probs.items()]), "gate")
+    parts = [auroc(held, [], name, label, name=name) for name, (_, label) in runs.items()]
     if forest:
-        runs["forest_cold"] = (cold, forest_head)
-    parts = [auroc(out_of_fold(d.drop(shuffled) if n != "control" else d, folds, h), [], name=n) for n, (d, h) in runs.items()]
+        parts.append(auroc(out_of_fold(df.drop(shuffled).withColumn("fold", cold_fold), folds, forest_head), [], name="forest_cold"))
     row = reduce(lambda a, b: a.join(b), parts)
     best = F.greatest("cold", "forest_cold") if forest else F.col("cold")
     row = row.withColumns({"selectivity": best - F.col("control"), "leakage_drop": F.col("random") - F.col("cold")})
     return row.withColumn("verdict", F.when((best >= 0.65) & (F.col("selectivity") >= 0.10), "PASS").otherwise("FAIL"))
 
 
-def layer_curve(df: DataFrame, layers: list[int], folds: int, layer: str = "layer") -> DataFrame:
-    """layer, auroc: out of fold, of each layer's vectors."""
-    parts = [auroc(out_of_fold(df.where(F.col(layer) == k), folds), [layer]) for k in layers]
-    return reduce(DataFrame.unionByName, parts)
+def _layer_place(layer: str, layers: list[int]) -> Column:
+    return F.array_position(F.array(*map(F.lit, layers)), F.col(layer)) - 1
+
+
+def layer_curve(df: DataFrame, layers: list[int], folds: int, layer: str = "layer", label: str = "label") -> DataFrame:
+    """layer, auroc: out of fold, of each layer's vectors, which are equally long; all are fitted together."""
+    heads = fit(df, [Arm((F.col(layer) == n) & (F.col("fold") != k), F.col(label)) for n in layers for k in range(folds)])
+    prob = F.get("probs", (_layer_place(layer, layers) * folds + F.col("fold")).cast("int"))
+    return auroc(scored(df, heads).select(layer, F.col(label).alias("label"), prob.alias("prob")), [layer])
 
 
 def layer_selectivity(df: DataFrame, layers: list[int], folds: int, shuffled: str) -> DataFrame:
     """layer, auroc, control, selectivity: beside each layer's AUROC, that of the same head on shuffled labels."""
-    real = layer_curve(df.drop(shuffled), layers, folds)
-    control = layer_curve(df.drop("label").withColumnRenamed(shuffled, "label"), layers, folds).withColumnRenamed("auroc", "control")
-    return real.join(control, "layer").withColumn("selectivity", F.col("auroc") - F.col("control"))
+    arms = [Arm((F.col("layer") == n) & (F.col("fold") != k), F.col(label)) for n in layers for k in range(folds) for label in ("label", shuffled)]
+    at = 2 * (_layer_place("layer", layers) * folds + F.col("fold"))
+    probs = [F.get("probs", (at + k).cast("int")).alias(name) for k, name in enumerate(("prob", "prob_control"))]
+    held = staged(scored(df, fit(df, arms)).select("layer", "label", shuffled, *probs), "selectivity")
+    both = auroc(held, ["layer"]).join(auroc(held, ["layer"], "prob_control", shuffled, name="control"), "layer")
+    return both.withColumn("selectivity", F.col("auroc") - F.col("control"))
 
 
 def nested_layer(df: DataFrame, layers: list[int], folds: int) -> DataFrame:
     """fold, layer, auroc, band, pooled: the layer that does best out of fold on the other folds, how it does on this one,
-    the layers within a standard error of it there, and the AUROC of all folds' predictions together."""
-    out, bands = [], []
-    for k in range(folds):
-        rest = df.where(F.col("fold") != k).withColumn("fold", F.when(F.col("fold") > k, F.col("fold") - 1).otherwise(F.col("fold")))
-        inner = {row["layer"]: row["auroc"] for row in layer_curve(rest, layers, folds - 1).collect()}  # a row a layer
-        best = max(sorted(inner), key=lambda n: inner[n])
-        error = statistics.stdev(inner.values()) / math.sqrt(len(inner)) if len(inner) > 1 else 0.0
-        bands.append((k, sorted(n for n in inner if inner[n] >= inner[best] - error)))
-        here = df.where(F.col("layer") == best)
-        scored = score(linear_head(here.where(F.col("fold") != k)), here.where(F.col("fold") == k))
-        out.append(scored.select("fold", "layer", "label", "prob"))
-    every = staged(reduce(DataFrame.unionByName, out), "nested-layer")
-    band = df.sparkSession.createDataFrame(bands, "fold int, band array<int>")
-    return auroc(every, ["fold", "layer"]).join(F.broadcast(band), "fold").join(F.broadcast(auroc(every, [], name="pooled")))
+    the layers within a standard error of it there, and the AUROC of all folds' predictions together.
+
+    The heads that leave out one fold or two, of all layers, are fitted together: a pair serves both of its folds.
+    """
+    left_out = [(k,) for k in range(folds)] + [(k, j) for k in range(folds) for j in range(k + 1, folds)]
+    heads = fit(df, [Arm((F.col("layer") == n) & ~F.col("fold").isin(*out), F.col("label")) for n in layers for out in left_out])
+    base = _layer_place("layer", layers) * len(left_out)
+    places = {out: k for k, out in enumerate(left_out)}
+    # by the row's fold, then by the other one that is left out
+    table = F.array(*[F.array(*[F.lit(places[tuple(sorted({f, k}))]) for k in range(folds)]) for f in range(folds)])
+    held = staged(scored(df, heads).select("layer", "label", "fold", F.slice("probs", (base + 1).cast("int"), len(left_out)).alias("probs")), "nested-heads")
+    outer = held.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("outer") != F.col("fold"))
+    inner = outer.select("outer", "layer", "label", F.get("probs", F.get(F.get(table, F.col("fold")), F.col("outer"))).alias("prob"))
+    curves: dict[int, dict[int, float]] = {}
+    for row in auroc(inner, ["outer", "layer"]).collect():  # a row for each fold and layer
+        curves.setdefault(row["outer"], {})[row["layer"]] = row["auroc"]
+    bands, best = [], {}
+    for k, curve in sorted(curves.items()):
+        best[k] = max(sorted(curve), key=lambda n: curve[n])
+        error = statistics.stdev(curve.values()) / math.sqrt(len(curve)) if len(curve) > 1 else 0.0
+        bands.append((k, best[k], sorted(n for n in curve if curve[n] >= curve[best[k]] - error)))
+    band = df.sparkSession.createDataFrame(bands, "fold int, layer int, band array<int>")
+    every = held.join(F.broadcast(band.drop("band")), ["fold", "layer"]).select("fold", "layer", "label", F.get("probs", F.col("fold")).alias("prob"))
+    return auroc(every, ["fold", "layer"]).join(F.broadcast(band.drop("layer")), "fold").join(F.broadcast(auroc(every, [], name="pooled")))
 
 
 def hashed_ngrams(df: DataFrame, tokens: Column, size: int = 1024) -> DataFrame:
@@ -172,22 +200,22 @@ def _moments(y: str, x: str) -> dict[str, Column]:
 def transfer(source: DataFrame, target: DataFrame, floor: float = 0.5) -> DataFrame:
     """One row: AUROC of the source's head on the target, of the target's own in fold, the share of it that carries
     over, and its band."""
-    across = auroc(score(linear_head(source), target), [], name="transfer")
-    own = auroc(score(linear_head(target), target), [], name="in_domain")
+    both = source.select("label", "features", F.lit(0).alias("_side")).unionByName(target.select("label", "features", F.lit(1).alias("_side")))
+    heads = fit(both, [Arm(F.col("_side") == k, F.col("label")) for k in range(2)])
+    held = staged(scored(target.select("label", "features"), heads).select("label", "probs"), "transfer")
+    across, own = (auroc(held.withColumn("prob", F.get("probs", k)), [], name=name) for k, name in enumerate(("transfer", "in_domain")))
     nt = F.try_divide(F.col("transfer") - floor, F.col("in_domain") - floor)
     row = across.join(own).withColumn("nt", nt)
     return row.withColumn("band", F.when(F.col("nt") >= 0.9, "transfers").when(F.col("nt") >= 0.6, "partly").otherwise("fails"))
 
 
 def ensemble(train: DataFrame, test: DataFrame, draws: Column, members: int, pessimism: float = 1.0) -> DataFrame:
-    """test with the mean of bootstrap heads' probabilities less ``pessimism`` of their deviation."""
-    parts = []
-    for k in range(members):
-        drawn = train.withColumn("_d", draws).where(F.get("_d", k) > 0).drop("_d")
-        parts.append(score(linear_head(drawn), test, "prob").withColumn("member", F.lit(k)))
-    every = reduce(DataFrame.unionByName, parts)
-    keys = [c for c in test.columns if c != "features"]
-    return every.groupBy(*keys).agg((F.avg("prob") - pessimism * F.stddev_pop("prob")).alias("score"))
+    """test with the mean of bootstrap heads' probabilities less ``pessimism`` of their deviation; all members are fitted together."""
+    heads = fit(train, [Arm(F.get(draws, F.lit(k)) > 0, F.col("label")) for k in range(members)])
+    mean = F.aggregate("probs", F.lit(0.0), lambda s, p: s + p) / members
+    spread = F.sqrt(F.aggregate(F.transform("probs", lambda p: (p - F.col("_mean")) * (p - F.col("_mean"))), F.lit(0.0), lambda s, p: s + p) / members)
+    rows = scored(test, heads).withColumn("_mean", mean)
+    return rows.withColumn("score", F.col("_mean") - pessimism * spread).drop("features", "probs", "_mean")
 
 
 # kind of representation -> frame with id, label, grp and rep, to one with features of the rows that have any

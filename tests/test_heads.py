@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from plumbline.operators import heads as h
+from plumbline.operators import linear
 from plumbline.operators import metrics as m
 from plumbline.operators import sampling as s
 from plumbline.plans import catalog
@@ -154,3 +155,84 @@ def test_dataset_card_digest_is_of_rows_in_any_order(spark):
     assert card == json.loads(sinks.dataset_card(df.orderBy(F.desc("id")), "n", "d")) and card["rows"] == 20
     assert card["digest"] != json.loads(sinks.dataset_card(df.where("id < 19"), "n", "d"))["digest"]
     assert [f["name"] for f in card["field"]] == ["id", "text"]
+
+
+# ---- many heads at once -----------------------------------------------------------------------------------------
+
+
+def plain_head(x, y, c=1.0):
+    """Newton on all rows in memory: mean, deviation, coefficients, intercept."""
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale == 0] = 1
+    z = np.column_stack(((x - mean) / scale, np.ones(len(y))))
+    s = len(y) / (2 * np.bincount(y, minlength=2))[y]
+    w = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-z @ w))
+        step = np.linalg.solve(c * (z.T * (s * p * (1 - p))) @ z + np.diag([*np.ones(len(w) - 1), 0]), c * z.T @ (s * (p - y)) + np.append(w[:-1], 0))
+        w = w - step
+    return mean, scale, w[:-1], w[-1]
+
+
+def test_arms_are_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack((rng.normal(size=(500, 5)) * [1, 100, 1e-3, 1, 1] + [0, 1e4, 0, 0, 0], np.full(500, 0.1)))
+    y = (x[:, 0] + 0.5 * rng.normal(size=500) > 0.7).astype(int)
+    other = rng.integers(0, 2, 500)
+    df = spark.createDataFrame([(k, int(y[k]), int(other[k]), k % 4, x[k].tolist()) for k in range(500)], "id int, label int, other int, fold int, features array<double>").repartition(7)
+    arms = [linear.Arm(F.col("fold") != k, F.col(c)) for k in range(4) for c in ("label", "other")]
+    arms += [linear.Arm(F.lit(True), F.lit(1)), linear.Arm(F.lit(False), F.col("label")), linear.Arm(F.col("label") == 0, F.col("label"))]
+    heads = linear.fit(df, arms)
+    for a, head in enumerate(heads[:8]):
+        own = np.arange(500) % 4 != a // 2
+        want = plain_head(x[own], (other if a % 2 else y)[own])
+        assert np.allclose(head.coef, want[2], atol=1e-6) and head.intercept == pytest.approx(want[3], abs=1e-6)
+        assert np.allclose(head.mean, want[0]) and np.allclose(head.scale[:5], want[1][:5])
+    out = linear.scored(df, heads).orderBy("id").select("probs").toPandas()["probs"]
+    probs = np.stack(out.to_list())
+    assert (probs[:, 8] > 0.999).all() and (probs[:, 9] == 0.5).all() and (probs[:, 10] < 0.001).all()
+    assert np.allclose(probs[:, 0], 1 / (1 + np.exp(-heads[0].log_odds(x))))
+
+
+def test_separable_rows_are_fitted(spark):
+    rows = [(k, int(k >= 20), [float(k) ** 3, 1.0]) for k in range(40)]
+    head = linear.fit(spark.createDataFrame(rows, "id int, label int, features array<double>"), [linear.Arm(F.lit(True), F.col("label"))])[0]
+    x = np.array([r[2] for r in rows])
+    want = plain_head(x.copy(), np.array([r[1] for r in rows]))
+    assert np.allclose(head.coef, want[2], atol=1e-6) and head.intercept == pytest.approx(want[3], abs=1e-6)
+
+
+def test_nested_layer_is_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 6))
+    y = (x[:, 2] + 0.8 * rng.normal(size=240) > 0).astype(int)
+    fold = rng.integers(0, 4, 240)
+    rows = [(k, int(y[k]), int(fold[k]), n, x[k, 2 * n : 2 * n + 2].tolist()) for k in range(240) for n in range(3)]
+    df = spark.createDataFrame(rows, "id int, label int, fold int, layer int, features array<double>")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("nested"))
+    spark.sparkContext.setJobGroup("nested", "nested")
+    found = {r.fold: r for r in h.nested_layer(df, [0, 1, 2], 4).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs() <= 40  # not one for each of the 30 heads and their steps
+
+    def area(s, y):
+        return np.mean([(a > b) + (a == b) / 2 for a in s[y == 1] for b in s[y == 0]])
+
+    def prob(train, n):
+        mean, scale, w, b = plain_head(x[train, 2 * n : 2 * n + 2], y[train])
+        return 1 / (1 + np.exp(-(((x[:, 2 * n : 2 * n + 2] - mean) / scale) @ w + b)))
+
+    pooled = np.zeros(240)
+    for k in range(4):
+        curve = []
+        for n in range(3):
+            s = np.zeros(240)
+            for j in range(4):
+                s[fold == j] = prob((fold != k) & (fold != j), n)[fold == j]
+            curve.append(area(s[fold != k], y[fold != k]))
+        best = int(np.argmax(curve))
+        pooled[fold == k] = prob(fold != k, best)[fold == k]
+        error = np.std(curve, ddof=1) / np.sqrt(3)
+        assert found[k].layer == best and found[k].band == [n for n in range(3) if curve[n] >= curve[best] - error]
+        assert found[k].auroc == pytest.approx(area(pooled[fold == k], y[fold == k]), abs=1e-6)
+    assert found[0].pooled == pytest.approx(area(pooled, y), abs=1e-6)
