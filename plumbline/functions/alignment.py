@@ -1,20 +1,16 @@
-"""Smallest k-mer hashes of sequences, and local alignment within a band of diagonals, on numpy arrays.
+"""Smallest k-mer hashes of sequences, and alignment of two from a common place on, on numpy arrays.
 
-Many pairs are aligned at once: arrays run over pairs and over the band, steps over antidiagonals, each of which depends on
-the two before it.
+Alignment follows errors, not cells: its steps are as many as the errors of the best alignment, each over a band of
+diagonals, so two long sequences that differ little take little time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import NamedTuple
-
 import numpy as np
 
 PIECE = 1 << 20  # code points of a sequence that are hashed at once
-CELLS = 1 << 21  # code points of all pairs that are aligned at once
-_FAR = np.int64(-(1 << 60))
-_POINT = 24  # bits for gaps, below the score
+DROP = 100  # points below the best at which an extension ends
+GROUP = 200_000  # characters of pairs that are aligned at once
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,100 +49,110 @@ def smallest_kmers(text: str, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     return best.view(np.int64), where
 
 
-class Aligned(NamedTuple):
-    """Of each pair: columns that match over all columns, and the aligned parts of both sequences."""
+def gram_counts(points: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of q consecutive characters, rising, and how often each occurs."""
+    n = max(0, len(points) - q + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(q):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[j : j + n].astype(np.uint64)
+    return np.unique(h, return_counts=True)
+
 
-    identity: np.ndarray
-    cover_a: np.ndarray
-    cover_b: np.ndarray
+def may_match(a: np.ndarray, b: np.ndarray, identity: float, cover: float) -> bool:
+    """False only where no alignment of such an identity covers so much of both.
+
+    One over n characters has at most r * n errors, r being (1 - identity) / (1 + identity) * 2, and each spoils q grams at
+    most; so the two must share the other grams of the part it covers.
+    """
+    r = 2 * (1 - identity) / (1 + identity)
+    if r >= 0.5:
+        return True
+    q = max(1, min(12, int(2 / (3 * r)) if r else 12))
+    (x, n), (y, m) = gram_counts(a, q), gram_counts(b, q)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    least = (1 - q * r) * cover * max(len(a), len(b)) - q + 1
+    return np.minimum(n[i], m[j]).sum() >= least - 1e-6
+
+
+def next_mismatches(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """For each diagonal and place of a, the place where the diagonal next differs or ends."""
+    n = len(a)
+    left, right = np.full(n + 1, -2, np.int64), np.full(n + 1 + 2 * band, -1, np.int64)
+    left[:n] = a
+    reach = b[: n + 1 + band]
+    right[band : band + len(reach)] = reach
+    differs = np.lib.stride_tricks.sliding_window_view(right, n + 1)[::-1] != left
+    out = np.where(differs, np.arange(n + 1, dtype=np.int32), np.int32(n))
+    return np.minimum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
+
+
+_NOWHERE = np.int64(-(1 << 40))
+
+
+def reached(a: list[np.ndarray], b: list[np.ndarray], band: int, most: np.ndarray) -> np.ndarray:
+    """Errors, and the characters of a and b, of the best alignments of a start of each a with a start of its b.
+
+    One scores half a point for each character less two for each error: a character changed, or one without a partner.  Of
+    equal scores the one with fewest errors counts, of these the one with least of a.  Both ends stay within ``band``
+    diagonals of each other, and errors within ``most``.  For every number of errors the furthest place on each diagonal
+    is found from those with one error less, for all pairs at once; from there matches are free, up to the diagonal's next
+    mismatch.  A place that scores DROP points less than the best so far isn't followed further.  No more errors are tried
+    once even a match of all that is left couldn't score better.
+    """
+    lanes = np.arange(-band, band + 1)
+    n, m = (np.array([len(x) for x in side], np.int64)[:, None] for side in (a, b))
+    limit = np.minimum(n, m + lanes)
+    limit[(limit < 0) | (lanes > n)] = _NOWHERE
+    tables = [next_mismatches(x, y, band).ravel() for x, y in zip(a, b, strict=True)]
+    base = np.cumsum([0, *(len(t) for t in tables)])[:-1, None] + np.arange(len(lanes)) * (n + 1)
+    table = np.concatenate(tables)
+    out = np.zeros((3, len(a)), np.int64)
+    score = np.zeros(len(a), np.int64)  # in half points
+    at = np.full(limit.shape, _NOWHERE)
+    at[:, band] = 0
+    pair = np.arange(len(a))  # those still going on
+    for errors in range(int(most.max()) + 1):
+        if errors:
+            step = at.copy()
+            np.maximum(step[:, 1:], at[:, :-1], out=step[:, 1:])  # a character of a changed, or alone
+            step += 1
+            np.maximum(step[:, :-1], at[:, 1:], out=step[:, :-1])  # one of b alone
+            at = np.minimum(step, limit[pair])
+        alive = at >= 0
+        at = np.where(alive, table[np.where(alive, at, 0) + base[pair]], _NOWHERE)
+        found = 2 * at - lanes - 4 * errors
+        k = found.argmax(axis=1)
+        top = found[np.arange(len(pair)), k]
+        up = np.flatnonzero(top > score[pair])
+        if len(up):
+            ends = at[up, k[up]]
+            score[pair[up]] = top[up]
+            out[:, pair[up]] = np.full(len(up), errors), ends, ends - lanes[k[up]]
+        at[found < score[pair][:, None] - 2 * DROP] = _NOWHERE
+        going = ((n + m)[pair, 0] - 4 * (errors + 1) > score[pair]) & (at >= 0).any(axis=1) & (most[pair] > errors)
+        if not going.all():
+            pair, at = pair[going], at[going]
+            if not len(pair):
+                break
+    return out
 
 
-def banded(a: list[np.ndarray], b: list[np.ndarray], diagonal: np.ndarray, band: int) -> Aligned:
-    """Best local alignment of each a with its b within ``band`` of a diagonal (place in a less place in b).
+def extended(a: list[np.ndarray], b: list[np.ndarray], i: list[int], j: list[int], band: int, identity: float) -> np.ndarray:
+    """A row for each pair: its identity, errors over mean aligned length taken from 1, and the aligned shares of a and b.
 
-    A match scores 1; a mismatch, or a character without a partner, -1.  Of alignments with the best score, those with
-    fewest gaps count, of these the one that ends first.
+    The alignment is the best one through place i of a and j of b, both ways, with no more errors a way than ``identity``
+    allows.
     """
-    out = Aligned(*(np.zeros(len(a)) for _ in range(3)))
+    out = np.zeros((len(a), 3))
     total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
     order = np.argsort(total, kind="stable")
-    for rows in _groups(order, total):
-        found = _aligned([a[r] for r in rows], [b[r] for r in rows], diagonal[rows], band + band % 2)
-        for whole, part in zip(out, found, strict=True):
-            whole[rows] = part
+    for rows in np.split(order, np.flatnonzero(np.diff(np.cumsum(total[order]) // GROUP)) + 1):
+        if not len(rows):
+            continue
+        most = ((1 - identity) * total[rows] / 2).astype(np.int64)
+        right = reached([a[r][i[r] :] for r in rows], [b[r][j[r] :] for r in rows], band, most)
+        left = reached([a[r][: i[r]][::-1] for r in rows], [b[r][: j[r]][::-1] for r in rows], band, most)
+        errors, x, y = right + left
+        sizes = [np.array([len(side[r]) for r in rows]) for side in (a, b)]
+        out[rows] = np.column_stack((1 - 2 * errors / np.maximum(1, x + y), x / sizes[0], y / sizes[1]))
     return out
-
-
-def _groups(order: np.ndarray, total: np.ndarray) -> Iterator[np.ndarray]:
-    at = 0
-    while at < len(order):
-        end = at + 1
-        while end < len(order) and (end + 1 - at) * total[order[end]] <= CELLS and total[order[end]] <= 2 * total[order[at]] + 64:
-            end += 1
-        yield order[at:end]
-        at = end
-
-
-def _aligned(a: list[np.ndarray], b: list[np.ndarray], diagonal: np.ndarray, band: int) -> Aligned:
-    n, m = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-    half = np.floor_divide(diagonal, 2)
-    # a has place i at u = i - half, b place j at v = j + half, so every pair's band is around u = v
-    longest = int((n + m).max())
-    low = int(min((-half).min(), half.min(), 0)) - band - 2
-    high = int(max((n - half).max(), (m + half).max(), longest // 2)) + band + 4
-    size, rows = high - low, range(len(a))
-    at_a, at_b = np.full((len(a), size), -1, np.int64), np.full((len(a), size), -2, np.int64)
-    # 0 outside, 1 at the empty prefix, 2 at a character
-    in_a, in_b = np.zeros((len(a), size), np.int8), np.zeros((len(a), size), np.int8)
-    for r in rows:
-        for chars, inside, side, first in ((at_a, in_a, a[r], -half[r] - low), (at_b, in_b, b[r], half[r] - low)):
-            inside[r, first] = 1
-            inside[r, first + 1 : first + 1 + len(side)] = 2
-            chars[r, first + 1 : first + 1 + len(side)] = side
-    at_b, in_b = at_b[:, ::-1], in_b[:, ::-1]  # v falls as u rises along an antidiagonal
-    point, gap = np.int64(1 << _POINT), np.int64(-(1 << _POINT) - 1)
-    none = np.full((len(a), band + 1), _FAR)
-    one = two = none, np.zeros_like(none)  # value and start of the last antidiagonal, and of the one before
-    best = np.zeros(len(a), np.int64)
-    start, end = np.zeros((2, len(a)), np.int64), np.zeros((2, len(a)), np.int64)
-    for s in range(longest + 1):
-        even = s % 2 == 0
-        width = band + 1 if even else band
-        u = (s - band + (not even)) // 2  # of the first cell; each next one has u + 1 and v - 1
-        v = s - u
-        x, y = slice(u - low, u - low + width), slice(size - 1 - (v - low), size - 1 - (v - low) + width)
-        kind = np.minimum(in_a[:, x], in_b[:, y])
-        value = two[0][:, :width] + np.where(at_a[:, x] == at_b[:, y], point, -point)
-        begun = two[1][:, :width]
-        past, past_start = one
-        if even:  # neighbours in the odd antidiagonal: the one before and the one at the same index
-            edge = none[:, :1]
-            from_up, from_left = np.concatenate((edge, past[:, :band]), 1), np.concatenate((past[:, :band], edge), 1)
-            up_start, left_start = np.concatenate((edge, past_start[:, :band]), 1), np.concatenate((past_start[:, :band], edge), 1)
-        else:
-            from_up, from_left = past[:, :band], past[:, 1 : band + 1]
-            up_start, left_start = past_start[:, :band], past_start[:, 1 : band + 1]
-        for other, other_start in ((from_up, up_start), (from_left, left_start)):
-            better = other + gap > value
-            value = np.where(better, other + gap, value)
-            begun = np.where(better, other_start, begun)
-        here = (np.int64(s) << np.int64(32)) + np.arange(u - low, u - low + width)
-        fresh = (value <= 0) | (kind < 2)
-        value = np.where(kind == 0, _FAR, np.where(fresh, 0, value))
-        begun = np.where(fresh, here, begun)
-        most = value.max(axis=1)
-        if (better := most > best).any():
-            up = np.flatnonzero(better)
-            cell = value[up].argmax(axis=1)
-            best[up] = most[up]
-            for k, place in enumerate((begun[up, cell], here[cell])):
-                sums, us = place >> 32, (place & 0xFFFFFFFF) + low
-                (start, end)[k][:, up] = us + half[up], sums - us - half[up]
-        two, one = one, (value, begun)
-    length_a, length_b = end - start
-    score = (best + (1 << _POINT) - 1) >> _POINT  # gaps were taken off below the score
-    gaps = (score << _POINT) - best
-    columns = (length_a + length_b + gaps) // 2
-    matches = (score + columns) // 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return Aligned(*(np.nan_to_num(p / q) for p, q in ((matches, columns), (length_a, n), (length_b, m))))

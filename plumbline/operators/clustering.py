@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.alignment import banded, code_points, smallest_kmers
+from plumbline.functions.alignment import code_points, extended, may_match, smallest_kmers
 from plumbline.sources.staging import staged
 
-HOT_KMERS = 50_000  # at most so many k-mers are broadcast
+HOT_KEYS = 50_000  # at most so many k-mers, or digests, are broadcast
 COPIES = 32  # of a centre's sequence, at most, for its members to meet in as many tasks
 
 
@@ -33,51 +33,61 @@ def kmer_members(sequences: DataFrame, k: int, m: int) -> DataFrame:
     return rows.mapInArrow(found, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, kmer bigint, at bigint")
 
 
-def candidates(kmers: DataFrame) -> DataFrame:
-    """member, centre, diagonal: each k-mer's longest sequence is centre to the others that have it.
+def _met(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with a table of one row a key, whose column ``times`` says how many rows have it.
 
-    Pairs are (member, centre) only, so there are at most m for a sequence.  The diagonal is the one most shared k-mers lie
-    on.  K-mers of very many sequences are few, since each sequence has m; they are joined by broadcast, so no task gets
-    all their members.
+    Keys of very many rows are at most HOT_KEYS; they are joined by broadcast, so no task gets all rows of one.
     """
-    first = F.min_by(F.struct("id", "at"), F.struct(-F.col("n"), F.col("id")))
-    centres = staged(kmers.groupBy("kmer").agg(first.alias("c"), F.count("*").alias("n_members")).where("n_members > 1"), "centres")
-    members = centres.agg(F.sum("n_members")).first()[0] or 0
-    hot = F.col("n_members") > max(10_000, members // HOT_KMERS)
-    sides = [(kmers, F.broadcast(centres.where(hot))), (kmers, centres.where(~hot))]
-    met = None
-    for rows, centre in sides:
-        part = rows.join(centre, "kmer").where(F.col("id") != F.col("c.id"))
-        part = part.select(F.col("id").alias("member"), F.col("c.id").alias("centre"), (F.col("at") - F.col("c.at")).alias("diagonal"))
-        met = part if met is None else met.unionByName(part)
-    lines = met.groupBy("member", "centre", "diagonal").agg(F.count("*").alias("n"))
-    return lines.groupBy("member", "centre").agg(F.min_by("diagonal", F.struct(-F.col("n"), F.abs("diagonal"), F.col("diagonal"))).alias("diagonal"))
+    every = table.agg(F.sum("times")).first()[0] or 0
+    hot = F.col("times") > max(10_000, every // HOT_KEYS)
+    return rows.join(F.broadcast(table.where(hot)), key).unionByName(rows.join(table.where(~hot), key))
+
+
+def copies_of(sequences: DataFrame) -> DataFrame:
+    """id, first: the smallest id that has the same sequence; none for null and empty ones."""
+    own = staged(sequences.where(F.length("seq") > 0).select("id", F.sha2("seq", 256).alias("digest")), "digests")
+    firsts = staged(own.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("times")), "firsts")
+    return _met(own, firsts, "digest").select("id", "first")
+
+
+def candidates(kmers: DataFrame, cover: float = 0.0) -> DataFrame:
+    """member, centre, n_centre, at, at_centre: each k-mer's longest sequence is centre to the others that have it.
+
+    Pairs are (member, centre) only, so there are at most m for a sequence; those whose lengths alone keep one from covering
+    the other are left out.  The place is of the first k-mer on the diagonal that most shared k-mers lie on.
+    """
+    first = F.min_by(F.struct("id", "at", "n"), F.struct(-F.col("n"), F.col("id")))
+    centres = staged(kmers.groupBy("kmer").agg(first.alias("c"), F.count("*").alias("times")).where("times > 1"), "centres")
+    met = _met(kmers, centres, "kmer").where((F.col("id") != F.col("c.id")) & (F.col("n") >= cover * F.col("c.n")))
+    met = met.select(F.col("id").alias("member"), F.col("c.id").alias("centre"), F.col("c.n").alias("n_centre"), "at", F.col("c.at").alias("at_centre"))
+    pair, diagonal = ["member", "centre", "n_centre"], F.col("at") - F.col("at_centre")
+    lines = met.groupBy(*pair, diagonal.alias("diagonal")).agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    best = lines.groupBy(*pair).agg(F.min_by(F.struct("at", "diagonal"), F.struct(-F.col("n"), F.abs("diagonal"), F.col("diagonal"))).alias("p"))
+    return best.select(*pair, F.col("p.at").alias("at"), (F.col("p.at") - F.col("p.diagonal")).alias("at_centre"))
 
 
 def confirmed(pairs: DataFrame, sequences: DataFrame, identity: float, cover: float, band: int) -> DataFrame:
-    """member, centre, identity, cover_member, cover_centre of the pairs whose alignment reaches both bounds.
+    """member, centre, n_centre, identity, cover_member, cover_centre of the pairs whose alignment reaches both bounds.
 
     A centre of many members has its sequence in up to COPIES rows, so its pairs are aligned in as many tasks.
     """
     dealt = pairs.withColumn("copy", F.pmod(F.xxhash64("member"), F.lit(COPIES)))
     copies = dealt.select("centre", "copy").distinct().join(sequences.select(F.col("id").alias("centre"), F.col("seq").alias("b")), "centre")
     both = dealt.join(sequences.select(F.col("id").alias("member"), F.col("seq").alias("a")), "member")
-    # lengths alone rule out pairs that can't cover each other
-    fits = F.least(F.char_length("a"), F.char_length("b")) >= cover * F.greatest(F.char_length("a"), F.char_length("b"))
-    both = both.join(copies, ["centre", "copy"]).where(fits).select("member", "centre", "diagonal", "a", "b")
+    both = both.join(copies, ["centre", "copy"]).select("member", "centre", "n_centre", "at", "at_centre", "a", "b")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            unlike = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y]
-            found = np.ones((3, len(a)))
-            if unlike:
-                at = batch.column("diagonal").to_numpy()
-                found[:, unlike] = banded([code_points(a[k]) for k in unlike], [code_points(b[k]) for k in unlike], at[unlike], band)
-            yield pa.RecordBatch.from_arrays([batch.column("member"), batch.column("centre"), *map(pa.array, found)], ["member", "centre", "identity", "cover_member", "cover_centre"])
+            a, b = ([code_points(t) for t in batch.column(c).to_pylist()] for c in "ab")
+            rows = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if may_match(x, y, identity, cover)]
+            places = (batch.column(c).to_numpy()[rows] for c in ("at", "at_centre"))
+            found = extended([a[k] for k in rows], [b[k] for k in rows], *places, band, identity)
+            kept = batch.select(["member", "centre", "n_centre"]).take(pa.array(rows, pa.int64()))
+            scores = [pa.array(c) for c in np.ascontiguousarray(found.T)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *scores], ["member", "centre", "n_centre", "identity", "cover_member", "cover_centre"])
 
     kind = pairs.schema["member"].dataType.simpleString()
-    out = both.mapInArrow(aligned, f"member {kind}, centre {kind}, identity double, cover_member double, cover_centre double")
+    out = both.mapInArrow(aligned, f"member {kind}, centre {kind}, n_centre bigint, identity double, cover_member double, cover_centre double")
     return out.where((F.col("identity") >= identity) & (F.col("cover_member") >= cover) & (F.col("cover_centre") >= cover))
 
 
@@ -105,15 +115,17 @@ def clustered(sequences: DataFrame, *, k: int = 12, m: int = 20, identity: float
     """Every id with its cluster's representative and the identity of the alignment with it (1 for itself).
 
     sequences: id, seq; ids differ.  Each gives the m smallest hashes of its k-mers; the longest sequence with a k-mer, of
-    equally long ones that of the smallest id, is the only one compared with the others.  A member must match its centre in
-    a share ``identity`` of the columns of their best local alignment within ``band`` diagonals, which must cover the share
-    ``cover`` of both.  Going from the longest sequence down, one becomes a representative unless a confirmed centre of it
-    is one; it joins the longest such.  Null and empty sequences are clusters of their own.
+    equally long ones that of the smallest id, is the only one compared with the others.  Their best alignment from a common
+    k-mer on, within ``band`` diagonals of it, must have at most 1 - ``identity`` errors per aligned character and cover the
+    share ``cover`` of both.  Equal sequences are compared once.  Going from the longest sequence down, one becomes a
+    representative unless a confirmed centre of it is one; it joins the longest such.  Null and empty sequences are clusters
+    of their own.
     """
-    kmers = staged(kmer_members(sequences, k, m), "kmers")
-    links = confirmed(candidates(kmers), sequences, identity, cover, band)
-    sizes = kmers.groupBy("id").agg(F.first("n").alias("n"))
-    links = staged(links.join(sizes.withColumnsRenamed({"id": "centre", "n": "n_centre"}), "centre"), "links")
+    copies = staged(copies_of(sequences), "copies")
+    kmers = kmer_members(sequences, k, m).join(copies.where("id = first").select("id"), "id", "left_semi")
+    links = staged(confirmed(candidates(staged(kmers, "kmers"), cover), sequences, identity, cover, band), "links")
     own = longest_first(links).groupBy("member").agg(F.min_by(F.struct("centre", "identity"), F.struct(-F.col("n_centre"), F.col("centre"))).alias("to"))
-    joined = sequences.select("id").join(own, F.col("id") == F.col("member"), "left")
-    return joined.select("id", F.coalesce("to.centre", "id").alias("representative"), F.coalesce("to.identity", F.lit(1.0)).alias("identity"))
+    first = copies.join(own, F.col("first") == F.col("member"), "left")
+    first = first.select("id", F.coalesce("to.centre", "first").alias("representative"), F.coalesce("to.identity", F.lit(1.0)).alias("identity"))
+    rest = sequences.where(F.coalesce(F.length("seq"), F.lit(0)) == 0).select("id", F.col("id").alias("representative"), F.lit(1.0).alias("identity"))
+    return first.unionByName(rest)

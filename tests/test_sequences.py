@@ -24,45 +24,65 @@ def edited(rng, text, changes):
     return "".join(out)
 
 
-def plain_align(a, b, diagonal, band):
-    """Cell by cell: (score, -gaps), place of the start; of equal ones the first of match, gap in b, gap in a."""
-    half, band = diagonal // 2, band + band % 2
-    cells, best = {}, ((0, 0), (0, 0), (0, 0))
-    for s in range(len(a) + len(b) + 1):
-        for i in range(max(0, s - len(b)), min(s, len(a)) + 1):
-            j = s - i
-            if abs((i - half) - (j + half)) > band:
-                continue
-            options = []
-            if i and j:
-                if (i - 1, j - 1) in cells:
-                    (score, gaps), start = cells[i - 1, j - 1]
-                    options.append(((score + (1 if a[i - 1] == b[j - 1] else -1), gaps), start))
-                for p in ((i - 1, j), (i, j - 1)):
-                    if p in cells:
-                        (score, gaps), start = cells[p]
-                        options.append(((score - 1, gaps - 1), start))
-            value, start = max(options, key=lambda x: x[0]) if options else ((0, 0), (i, j))
-            if value <= (0, 0):
-                value, start = (0, 0), (i, j)
-            cells[i, j] = value, start
-            if value > best[0]:
-                best = value, start, (i, j)
-    (score, gaps), (i0, j0), (i1, j1) = best
-    columns = (i1 - i0 + j1 - j0 - gaps) // 2
-    return ((score + columns) // 2 / columns, (i1 - i0) / len(a), (j1 - j0) / len(b)) if columns else (0.0, 0.0, 0.0)
-
-
-def test_banded_alignment_is_brute_force():
+def plain_reached(a, b, band, most):
+    """The cells that each number of errors reaches first, and the cell that scores best."""
+    score = lambda c, e: sum(c) - 4 * e
+    seen, layer, best = set(), {(0, 0)}, (0, 0, (0, 0))
+    for e in range(most + 1):
+        todo = list(layer)
+        while todo:
+            i, j = todo.pop()
+            if i < len(a) and j < len(b) and a[i] == b[j] and (i + 1, j + 1) not in layer | seen:
+                layer.add((i + 1, j + 1))
+                todo.append((i + 1, j + 1))
+        seen |= layer
+        best = max([best, *((score(c, e), -e, c) for c in layer)], key=lambda x: (x[0], x[1], x[2][1] - x[2][0]))
+        live = [c for c in layer if score(c, e) >= best[0] - 2 * alignment.DROP]
+        layer = {(i + p, j + q) for i, j in live for p, q in ((1, 0), (0, 1), (1, 1)) if i + p <= len(a) and j + q <= len(b) and abs(i + p - j - q) <= band} - seen
+    return -best[1], *best[2]
+
+
+def plain_align(a, b, i, j, band, identity):
+    most = int((1 - identity) * (len(a) + len(b)) / 2)
+    e, x, y = (p + q for p, q in zip(plain_reached(a[i:], b[j:], band, most), plain_reached(a[:i][::-1], b[:j][::-1], band, most), strict=True))
+    return 1 - 2 * e / max(1, x + y), x / len(a), y / len(b)
+
+
+@pytest.mark.parametrize("drop", [3, 100])
+def test_alignment_is_brute_force(monkeypatch, drop):
+    monkeypatch.setattr(alignment, "DROP", drop)
     rng = np.random.default_rng(1)
+    monkeypatch.setattr(alignment, "GROUP", 400)
     pairs = []
-    for k in range(120):
-        a = "".join(rng.choice(list("ACGT"), int(rng.integers(9, 60))))
-        b = edited(rng, a, int(rng.integers(0, 8))) if k % 3 else "".join(rng.choice(list("ACGT"), int(rng.integers(1, 60))))
-        if b:
-            pairs.append((a, b, int(rng.integers(-9, 10))))
-    found = alignment.banded([alignment.code_points(a) for a, _, _ in pairs], [alignment.code_points(b) for _, b, _ in pairs], np.array([d for *_, d in pairs]), 6)
-    assert [tuple(map(float, x)) for x in zip(*found, strict=True)] == [pytest.approx(plain_align(a, b, d, 6)) for a, b, d in pairs]
+    for k in range(200):
+        a = "".join(rng.choice(list("ACGT"), int(rng.integers(9, 50))))
+        b = edited(rng, a, int(rng.integers(0, 9))) if k % 3 else "".join(rng.choice(list("ACGT"), int(rng.integers(1, 50))))
+        i, j = int(rng.integers(0, len(a) + 1)), int(rng.integers(0, len(b) + 1))
+        pairs.append((a, b, i, min(i, len(b)) if k % 3 else j))
+    found = alignment.extended([alignment.code_points(a) for a, *_ in pairs], [alignment.code_points(b) for _, b, *_ in pairs], [p[2] for p in pairs], [p[3] for p in pairs], 5, 0.6)
+    for row, pair in zip(found, pairs, strict=True):
+        assert tuple(row) == pytest.approx(plain_align(*pair, 5, 0.6)), pair
+
+
+def test_pairs_that_may_match():
+    rng = np.random.default_rng(7)
+    for k in range(300):
+        a = "".join(rng.choice(list("ACDEFGHIKL"), int(rng.integers(20, 80))))
+        b = edited(rng, a, k % 12)
+        i = next((p for p in range(len(a) - 3) if b[p : p + 4] == a[p : p + 4]), 0)
+        found = plain_align(a, b, i, i, 8, 0.85)
+        if found[0] >= 0.85 and min(found[1:]) >= 0.8:
+            assert alignment.may_match(alignment.code_points(a), alignment.code_points(b), 0.85, 0.8)
+    assert not alignment.may_match(alignment.code_points("ACDE" * 30), alignment.code_points("FGHI" * 30), 0.85, 0.8)
+
+
+def test_long_sequences_take_steps_by_errors():
+    rng = np.random.default_rng(3)
+    a = rng.integers(97, 122, 300_000).astype(np.uint32)
+    b = np.delete(a, [1000, 200_000])
+    b[5000] = 1
+    found = alignment.extended([a], [b], [100_000], [99_999], 16, 0.9)
+    assert tuple(found[0]) == pytest.approx((1 - 6 / 599_998, 1.0, 1.0))
 
 
 def test_smallest_kmers(monkeypatch):
@@ -89,11 +109,13 @@ def brute_clusters(rows, k, m, identity, cover, band):
         for h, at in kmers[i].items():
             c, there = centres[h]
             if c != i:
-                lines.setdefault(c, []).append(at - there)
-        for c, ds in lines.items():
+                lines.setdefault(c, []).append((at - there, at))
+        for c, found in lines.items():
+            ds = [d for d, _ in found]
             d = min(set(ds), key=lambda d: (-ds.count(d), abs(d), d))
-            found = (1.0, 1.0, 1.0) if text[i] == text[c] else plain_align(text[i], text[c], d, band)
-            if min(size[i], size[c]) >= cover * max(size[i], size[c]) and found[0] >= identity and min(found[1:]) >= cover:
+            at = min(p for e, p in found if e == d)
+            found = plain_align(text[i], text[c], at, at - d, band, identity)
+            if size[i] >= cover * size[c] and found[0] >= identity and min(found[1:]) >= cover:
                 links.setdefault(i, {})[c] = found[0]
     reps, out = set(), {}
     for i in sorted(size, key=lambda i: (-size[i], i)):
