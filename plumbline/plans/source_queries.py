@@ -16,7 +16,7 @@ from plumbline.operators import metrics as m
 from plumbline.operators import solver
 from plumbline.plans.metric_queries import AUROC, RANKS, rounded
 from plumbline.plans.registry import query
-from plumbline.sources import readers, sinks
+from plumbline.sources import databases, readers, sinks
 from plumbline.sources.staging import scratch
 from plumbline.streaming import scorecard
 
@@ -207,3 +207,19 @@ def stream(t):
     events = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     table = scorecard.drain(scorecard.windowed_rates(events, "ts", "event_type", "value"), f"windows_{uuid.uuid4().hex}")
     return table.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("q_s3_database", """SELECT c_custkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+WHERE o_orderstatus = 'F' AND l_returnflag IN ('A', 'R') AND c_mktsegment <> 'BUILDING' GROUP BY ALL""")
+def s3(t):
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    # a file has the customers of its orders, so that the three-way join is within it
+    buyers = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey").select("o_orderkey", "c_custkey", "c_mktsegment")
+    tables = {"orders": orders, "lineitem": t.lineitem.select("l_orderkey", "l_quantity", "l_returnflag"), "customer": buyers}
+    folder = scratch(t.spark, "database")
+    databases.write_databases(tables, {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "o_orderkey"}, folder, 8)
+    three = "SELECT o.o_orderkey, o_orderstatus, l_quantity, l_returnflag, c_custkey, c_mktsegment FROM lineitem l JOIN orders o ON l_orderkey = o.o_orderkey JOIN customer c ON c.o_orderkey = o.o_orderkey"
+    where = [("o_orderstatus", "=", "F"), ("l_returnflag", "in", ["A", "R"]), ("c_mktsegment", "<>", "BUILDING")]
+    columns = "o_orderkey long, o_orderstatus string, l_quantity double, l_returnflag string, c_custkey long, c_mktsegment string"
+    rows = databases.database_rows(t.spark, folder, three, "o_orderkey", columns, where)
+    return rows.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
