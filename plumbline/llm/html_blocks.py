@@ -6,6 +6,7 @@ import html
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from typing import NamedTuple
 
 # fixed values: names of HTML elements
 RAW = frozenset("script style template textarea title".split())
@@ -18,9 +19,9 @@ ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 
-_PART = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^\"'>]*")
+_LONG_NUMBER = re.compile(r"&#[0-9]{1000,};?")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
 
@@ -75,6 +76,67 @@ class _Open:
                 self.paths.pop()
 
 
+class Part(NamedTuple):
+    """A piece of a page: text, a tag, or, with neither, other markup."""
+
+    end: int
+    text: str | None = None
+    closes: bool = False
+    tag: str | None = None
+    attributes: str = ""
+
+
+class Scanner:
+    """Cuts a page into its parts, in time proportional to its length whatever it holds.
+
+    A tag ends at the first > outside quotes; if its quotes don't close, at the first > of all.  A < that nothing closes
+    is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.failed: set[int] = set()  # quotes from which no tag's end is reached
+
+    def part(self, at: int) -> Part:
+        page = self.page
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            return Part(end, page[at:end])
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return Part(len(page) if end < 0 else end + 3)
+        if at < self.last:
+            if named := _NAME.match(page, at):
+                end = self._balanced(named.end())
+                if end < 0 and not named[1]:
+                    end = page.find(">", named.end()) + 1
+                if end > 0:
+                    return Part(end, None, bool(named[1]), named[2], page[named.end() : end - 1])
+            if page[at + 1] in "!?/":
+                return Part(page.find(">", at) + 1)
+        return Part(at + 1, "<")
+
+    def _balanced(self, at: int) -> int:
+        """Behind the first > outside quotes, or -1.  Where one search has failed, no later one looks again."""
+        seen = []
+        while True:
+            i = _PLAIN.match(self.page, at).end()
+            if i < len(self.page) and self.page[i] == ">":
+                return i + 1
+            close = -1 if i == len(self.page) or i in self.failed else self.page.find(self.page[i], i + 1)
+            seen.append(i)
+            if close < 0:
+                self.failed.update(seen)
+                return -1
+            at = close + 1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the closing tag of an element whose content isn't read, or -1."""
+        found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(self.page, at, max(at, self.last + 1))
+        return found.end() if found else -1
+
+
 @dataclass
 class Block:
     text: str
@@ -104,23 +166,25 @@ def blocks(page: str) -> list[Block]:
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(held)).split())
+        text = _LONG_NUMBER.sub("\ufffd", "".join(held))  # no character has such a number
+        text = " ".join(html.unescape(text).split())
         if text:
             out.append(Block(text, open_.paths[-1], min(linked, len(text))))
         held.clear()
         linked = 0
 
-    while found := _PART.match(page, at):
-        at = found.end()
-        tag = found[2] or found[5]
-        if tag is None:
-            if found[0][:2] not in ("<!", "<?", "</"):
-                held.append(found[0])
+    scanner = Scanner(page)
+    while at < len(page):
+        part = scanner.part(at)
+        at = part.end
+        if part.tag is None:
+            if part.text:
+                held.append(part.text)
                 if open_.at["a"]:
-                    linked += len(found[0])
+                    linked += len(part.text)
             continue
-        tag, attributes = tag.lower(), found[3] or found[6] or ""
-        if found[1] or found[4]:
+        tag, attributes = part.tag.lower(), part.attributes
+        if part.closes:
             if tag not in INLINE:
                 flush()
             k = open_.at[tag][-1] if open_.at[tag] else None
@@ -128,11 +192,11 @@ def blocks(page: str) -> list[Block]:
                 open_.cut(k)
             continue
         if tag in RAW and not attributes.endswith("/"):
-            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            if end:
-                at = end.end()
-            else:
+            end = -1 if tag in unclosed else scanner.raw_end(tag, at)
+            if end < 0:
                 unclosed.add(tag)
+            else:
+                at = end
             continue
         if tag == "br":
             held.append(" ")
