@@ -90,8 +90,13 @@ def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)), value[order]
 
 
+COUNT_BYTES = 6  # of corpus counts: some 10^14; those that are zero for all compress to nothing
+
+
 def packed(x: np.ndarray, width: int) -> bytes:
-    """Whole numbers of so many bytes, the first bytes of all, then the second ones, compressed."""
+    """Whole numbers of so many bytes, the first bytes of all, then the second ones, compressed; larger ones are refused."""
+    if len(x) and int(x.max()) >> 8 * width:
+        raise OverflowError(f"{int(x.max())} doesn't fit into {width} bytes")
     planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
@@ -124,7 +129,7 @@ def _sent(buckets: int):
         for k in range(buckets):
             w, p = slice(first[k], first[k + 1]), slice(begin[k], begin[k + 1])
             if w.stop > w.start or p.stop > p.start:
-                out.append((k, rows["batch"].iloc[0], _steps(word[w]), packed(train[by_word[w]], 4), packed(kept[by_word[w]], 4), _steps(pair[p]), packed(times[by_pair[p]], 4)))
+                out.append((k, rows["batch"].iloc[0], _steps(word[w]), packed(train[by_word[w]], COUNT_BYTES), packed(kept[by_word[w]], COUNT_BYTES), _steps(pair[p]), packed(times[by_pair[p]], COUNT_BYTES)))
         return pd.DataFrame(out, columns=["bucket", "batch", "words", "train", "kept", "pairs", "times"])
 
     return rows
@@ -144,11 +149,11 @@ def _sums(keys: list[np.ndarray], numbers: list[list[np.ndarray]]) -> tuple[list
 def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     """What a bucket tells each batch, and in a row of batch -1 its totals."""
     words, pairs = ([np.cumsum(unpacked(x, 5), dtype=np.uint64) for x in rows[c]] for c in ("words", "pairs"))
-    train, kept, times = ([unpacked(x, 4) for x in rows[c]] for c in ("train", "kept", "times"))
+    train, kept, times = ([unpacked(x, COUNT_BYTES) for x in rows[c]] for c in ("train", "kept", "times"))
     (all_train, all_kept), (train, kept) = _sums(words, [train, kept])
     _, (times,) = _sums(pairs, [times])
     none = [0] * len(rows)
-    out = pd.DataFrame({"batch": rows["batch"], "bucket": rows["bucket"], "train": [packed(x, 4) for x in train], "kept": [packed(x, 4) for x in kept], "times": [packed(x, 4) for x in times], "all_train": none, "all_kept": none, "all_words": none})
+    out = pd.DataFrame({"batch": rows["batch"], "bucket": rows["bucket"], "train": [packed(x, COUNT_BYTES) for x in train], "kept": [packed(x, COUNT_BYTES) for x in kept], "times": [packed(x, COUNT_BYTES) for x in times], "all_train": none, "all_kept": none, "all_words": none})
     total = (-1, rows["bucket"].iloc[0], None, None, None, int(all_train.sum()), int(all_kept.sum()), int((all_train > 0).sum()))
     return pd.concat([out, pd.DataFrame([total], columns=out.columns)])
 
@@ -156,7 +161,7 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
 def _put_back(keys: np.ndarray, buckets: int, answers: list[bytes]) -> np.ndarray:
     order, _, _ = dealt(keys, buckets)
     out = np.zeros(len(keys))
-    out[order] = np.concatenate([unpacked(x, 4) for x in answers]) if answers else 0
+    out[order] = np.concatenate([unpacked(x, COUNT_BYTES) for x in answers]) if answers else 0
     return out
 
 
