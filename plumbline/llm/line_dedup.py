@@ -3,7 +3,7 @@
 A text's lines are hashed, and a rolling hash over the last ROLL line hashes ends a chunk where it is divisible by
 DIVISOR and the chunk is worth removing.  A line of LONG_LINE words or more is a passage of its own, with a boundary
 on either side.  These chunks cover a text, but a short passage may hold none of them whole.  So a second set is
-chosen: from every line there is a shortest run worth removing, and of those within the next WINDOW_WORDS words, or
+chosen: from every line with words there is a shortest run worth removing, and of those within the next WINDOW_WORDS words, or
 WINDOW_LINES lines, the one of least hash is a chunk too.  A shared run of lines with as many words or lines therefore
 holds the same whole chunk wherever it stands.  Of every chunk that occurs more than once, and has several lines or a
 long one, all but the first occurrence are removed, after their bytes have been compared with the first one's.  Up to
@@ -13,6 +13,7 @@ where a passage does.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +32,8 @@ WINDOW_WORDS = 50
 WINDOW_LINES = 10
 EXTEND = WINDOW_LINES - 2  # a window's chunk has no more lines beside it
 
+_STEP, _ALL = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
+
 LEAST_SHARE, MOST_SHARES = 50_000, 2_000  # of a chunk's occurrences that meet in one task: a MOST_SHARES-th of all, or LEAST_SHARE
 
 FIRST = ("chunk", "before", "after")  # of a chunk's first occurrence
@@ -69,13 +72,19 @@ def _worth(lines: int, words: int) -> bool:
 def chosen(lines: list[str]) -> set[tuple[int, int]]:
     """(first line, lines) of the shortest worthy runs that have the least hash of a window of lines.
 
-    A window goes from a line to where it has WINDOW_WORDS words, or WINDOW_LINES lines and a worthy run, and no
-    further; a text with less is one window.  A run's hash is of its lines alone.
+    Runs and windows begin at lines with words.  A window goes on to where it has WINDOW_WORDS words, or WINDOW_LINES lines
+    and a worthy run, and no further; a text with less is one window.  A run's hash is of its lines alone, taken from sums
+    over the lines before its ends, and a queue keeps a window's least, so time is in proportion to the lines.
     """
     words = [len(line.split(None, LONG_LINE)) for line in lines]
-    hashes = [xxhash.xxh64_intdigest(line.encode("utf-8", "replace")) for line in lines]
-    ends, at, total = [], 0, 0  # of the run from each line; the last lines have none
-    for i, own in enumerate(words):
+    sums = [0]  # of hashes, each line's multiplied once more for every line behind it
+    powers = [1]
+    for line in lines:
+        sums.append((sums[-1] * _STEP + xxhash.xxh64_intdigest(line.encode("utf-8", "replace"))) & _ALL)
+        powers.append(powers[-1] * _STEP & _ALL)
+    starts = [i for i, n in enumerate(words) if n]
+    ends, rank, at, total = [], [], 0, 0  # of the run from each start; the last ones have none
+    for i in starts:
         at, total = (i, 0) if at < i else (at, total)
         while at < len(lines) and not _worth(at - i, total):
             total += words[at]
@@ -83,27 +92,27 @@ def chosen(lines: list[str]) -> set[tuple[int, int]]:
         if not _worth(at - i, total):
             break
         ends.append(at)
-        total -= own
-    rank = []
-    for i, end in enumerate(ends):
-        mixed = 0
-        for h in hashes[i:end]:
-            mixed = ((mixed ^ h) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        total -= words[i]
+        mixed = (sums[at] - sums[i] * powers[at - i]) * _STEP & _ALL
         rank.append(mixed ^ mixed >> 29)
-    out, at, total = set(), 0, 0
-    for i, end in enumerate(ends):
+    out, at, total, behind, waiting = set(), 0, 0, 0, deque()
+    for k, (i, end) in enumerate(zip(starts, ends, strict=False)):
+        at, total = (i, 0) if at < i else (at, total)
         while at < len(lines) and (at < end or total < WINDOW_WORDS and at - i < WINDOW_LINES):
             total += words[at]
             at += 1
-        if i and total < WINDOW_WORDS and at - i < WINDOW_LINES:
+        if k and total < WINDOW_WORDS and at - i < WINDOW_LINES:
             break  # the text ends in this window and all later ones
-        best = i
-        for k in range(i + 1, min(at, len(ends))):
-            if ends[k] > at:
-                break
-            if rank[k] < rank[best]:
-                best = k
-        out.add((best, ends[best] - best))
+        behind = max(behind, k)
+        while behind < len(ends) and ends[behind] <= at:
+            while waiting and rank[waiting[-1]] > rank[behind]:
+                waiting.pop()
+            waiting.append(behind)
+            behind += 1
+        while waiting[0] < k:
+            waiting.popleft()
+        best = waiting[0]
+        out.add((starts[best], ends[best] - starts[best]))
         total -= words[i]
     return out
 

@@ -1,6 +1,7 @@
 """Near-duplicates, decontamination, sharding and line dedup against brute force, on small and odd tables."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -290,6 +291,49 @@ def test_equal_lines_keep_their_first_passage(spark):
     assert line_dedup.line_dedup(table(spark, [(1, "\n".join([line] * 9))])).first().text == f"{line}\n{line}"
 
 
+def plain_chosen(lines):
+    """Window by window, run by run."""
+    step, cover = line_dedup._STEP, (1 << 64) - 1
+    words = [min(len(x.split()), line_dedup.LONG_LINE + 1) for x in lines]
+    starts = [i for i, n in enumerate(words) if n]
+    run, rank, out = {}, {}, set()
+    for i in starts:
+        end = next((e for e in range(i + 1, len(lines) + 1) if line_dedup._worth(e - i, sum(words[i:e]))), None)
+        if end:
+            h = 0
+            for line in lines[i:end]:
+                h = (h * step + line_dedup.xxhash.xxh64_intdigest(line.encode())) & cover
+            run[i], rank[i] = end, (h * step & cover) ^ ((h * step & cover) >> 29)
+    for k, i in enumerate(x for x in starts if x in run):
+        at, total = i, 0
+        while at < len(lines) and (at < run[i] or total < line_dedup.WINDOW_WORDS and at - i < line_dedup.WINDOW_LINES):
+            total += words[at]
+            at += 1
+        if k and total < line_dedup.WINDOW_WORDS and at - i < line_dedup.WINDOW_LINES:
+            break
+        best = min((j for j in run if i <= j and run[j] <= at), key=lambda j: (rank[j], j))
+        out.add((best, run[best] - best))
+    return out
+
+
+def test_chosen_runs_are_brute_force():
+    rng = np.random.default_rng(9)
+    for k in range(150):
+        lines = [sentence(rng, int(rng.choice([0, 0, 1, 2, 3, 5, 8, 13, 25])), 5 + k) for _ in range(int(rng.integers(1, 60)))]
+        assert line_dedup.chosen(lines) == plain_chosen(lines)
+
+
+@pytest.mark.parametrize("blank", ["", " "])
+def test_very_long_texts_take_linear_time(spark, blank):
+    passage = [" ".join(f"w{k}x{j}" for j in range(6)) for k in range(12)]
+    text = "\n".join(["one two three four five six", *[blank] * 1_000_000, *passage])
+    began = time.process_time()
+    found = list(line_dedup.removable(text.split("\n")))
+    assert time.process_time() - began < 20 and found
+    out = line_dedup.line_dedup(table(spark, [(1, text), (2, "\n".join(passage))])).orderBy("doc_id").collect()
+    assert out[0].text == text and out[0].n_lines == 1_000_013 and out[1].text == "" and out[1].n_removed_words == 72
+
+
 def test_chunks_cover_and_resist_shifts():
     rng = np.random.default_rng(4)
     lines = [sentence(rng, int(rng.integers(1, 12))) for _ in range(200)]
