@@ -28,8 +28,8 @@ MOST_PIVOTS = 1024
 BLOCK_ROWS = 2048
 SLACK = 1e-9
 
-CELL_ROW = "label long, dim int, cell int, home boolean, rep long, mult long, vector array<{}>"
-LINK_ROW = "rep long, links long, root long"
+CELL_ROW = "label long, dim int, cell int, home boolean, node long, mult long, vector array<{}>"
+LINK_ROW = "node long, links long, root long"
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -80,7 +80,7 @@ def _cells(vectors: DataFrame, pivots: dict[Key, np.ndarray], radius: dict[tuple
 
     def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in deal(batches):
-            yield out[["label", "dim", "cell", "home", "rep", "mult", "vector"]]
+            yield out[["label", "dim", "cell", "home", "node", "mult", "vector"]]
 
     return vectors.mapInPandas(ordered, CELL_ROW.format(_component(vectors, "vector")))
 
@@ -101,8 +101,8 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _block_links(threshold: float):
     def links(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["rep", "home"], kind="stable").reset_index(drop=True)
-        x, rep, mult = unit(block["vector"]), block["rep"].to_numpy(), block["mult"].to_numpy()
+        block = block.sort_values(["node", "home"], kind="stable").reset_index(drop=True)
+        x, node, mult = unit(block["vector"]), block["node"].to_numpy(), block["mult"].to_numpy()
         left = np.flatnonzero((block["part"] == block["left"]) & block["home"])
         right = np.flatnonzero(block["part"] == block["right"])
         home = block["home"].to_numpy()
@@ -113,7 +113,7 @@ def _block_links(threshold: float):
             i, j = np.nonzero(x[rows] @ x[right].T >= threshold)
             i, j = rows[i], right[j]
             # of two vectors at home here each meets the other once; a guest meets those at home
-            ok = (rep[i] < rep[j]) | ~home[j]
+            ok = (node[i] < node[j]) | ~home[j]
             i, j = i[ok], j[ok]
             np.add.at(count, i, mult[j])
             np.add.at(count, j, mult[i])
@@ -121,7 +121,7 @@ def _block_links(threshold: float):
             pairs_a.append(np.arange(len(block)))
             pairs_b.append(root)
         root = _roots(len(block), np.concatenate(pairs_a), np.concatenate(pairs_b)) if pairs_a else np.arange(len(block))
-        out = pd.DataFrame({"rep": rep, "links": count, "root": rep[root]})
+        out = pd.DataFrame({"node": node, "links": count, "root": node[root]})
         return out[out["links"] > 0]
 
     return links
@@ -157,7 +157,7 @@ def near_vectors(
     usable = rows.where("vector is not null")
     # equal vectors have equal keys, of 128 bits
     distinct = written(
-        usable.groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("vector").alias("vector")).withColumn("dim", F.size("vector")),
+        usable.groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("vector").alias("vector")).withColumns({"dim": F.size("vector"), "node": F.monotonically_increasing_id()}),
         "vectors-distinct",
     )
     n = distinct.count()
@@ -171,7 +171,7 @@ def near_vectors(
     for key, part in pd.DataFrame(collected(drawn.select("label", "dim", "k2", "wanted", "vector"))).groupby(["label", "dim"]):
         pivots[tuple(map(int, key))] = unit(part.sort_values("k2")["vector"].iloc[: int(part["wanted"].iloc[0])])
 
-    bare = distinct.select("label", "dim", "rep", "mult", "vector")
+    bare = distinct.select("label", "dim", "node", "mult", "vector")
     radius: dict[tuple[int, int, int], float] = {}
     if pivots:
         known = F.broadcast(large.select("label", "dim"))
@@ -181,7 +181,7 @@ def near_vectors(
     sizes = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     placed = (
         dealt.join(sizes, ["label", "dim", "cell"])
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
     # a block pair (left, right) has the left part's vectors at home and all of the right part
@@ -189,23 +189,26 @@ def near_vectors(
         placed.where("part <> other or not home").select("*", F.col("other").alias("left"), F.col("part").alias("right"))
     )
     found = written(
-        block.select("label", "dim", "cell", "left", "right", "part", "home", "rep", "mult", "vector")
+        block.select("label", "dim", "cell", "left", "right", "part", "home", "node", "mult", "vector")
         .groupBy("label", "dim", "cell", "left", "right")
         .applyInPandas(_block_links(threshold), LINK_ROW),
         "vectors-links",
     )
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    linked = found.groupBy("node").agg(F.sum("links").alias("links"))
+    # links are between vectors, not ids, which rows may share; a group's id is the smallest of its vectors
+    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    named = groups.join(distinct.select("node", "rep"), "node")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
     by_class = (
-        distinct.select("label", "k1", "k2", "rep", "mult")
-        .join(linked, "rep", "left")
-        .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+        distinct.select("label", "k1", "k2", "node", "rep", "mult")
+        .join(linked, "node", "left")
+        .join(groups.join(least, "component").select("node", "least"), "node", "left")
         .select(
             "label",
             "k1",
             "k2",
             (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component"),
+            F.coalesce("least", "rep").alias("component"),
         )
     )
     one = F.when(F.col("vector").isNotNull(), F.col("label"))

@@ -2,11 +2,13 @@
 
 import math
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import zstandard
@@ -100,7 +102,7 @@ def test_plan_places_every_item_once(count):
 # ---- vectors ----------------------------------------------------------------------------------------------------
 
 
-def brute_links(rows, t=0.98):
+def brute_links(rows, t=0.98, all_rows=False):
     def sound(v):
         return v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
@@ -116,6 +118,7 @@ def brute_links(rows, t=0.98):
                 near[a].append(b)
                 near[b].append(a)
     out = {}
+    every = []
     for a in range(n):
         seen, todo = {a}, [a]
         while todo:
@@ -124,7 +127,8 @@ def brute_links(rows, t=0.98):
                     seen.add(b)
                     todo.append(b)
         out[rows[a][0]] = (len(near[a]), min(rows[b][0] for b in seen))
-    return out
+        every.append((rows[a][0], *out[rows[a][0]]))
+    return sorted(every) if all_rows else out
 
 
 @pytest.mark.parametrize("size", [(500, 2048), (15, 8)])
@@ -141,6 +145,10 @@ def test_vector_links_are_those_of_brute_force(spark, monkeypatch, size):
     assert out == brute_links(rows)
     double = df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.concat(F.lit("l"), "label").alias("label"))
     assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(double).collect()} == brute_links(rows)
+    # rows that share an id are vectors of their own
+    shared = [(k % 40, v, label) for k, v, label in rows[:180]] + [(1, [1.0, 0.0], 5), (1, [0.0, 1.0], 5), (2, [1.0, 0.001], 5), (2, [1.0, 0.002], 5)]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(shared, "vec_id long, embedding array<float>, label int"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found.collect()) == brute_links(shared, all_rows=True)
     none = embedding_dedup.near_vectors(df.where("vec_id >= 300 and vec_id < 303")).collect()
     assert all(r.kept and r.n_links == 0 for r in none) and len(none) == 3
     assert embedding_dedup.near_vectors(df.limit(0)).isEmpty()
@@ -243,6 +251,19 @@ def test_packed_numbers_come_back(values):
     assert language_model.unpacked(language_model.packed(x, 5), 5).tolist() == x.tolist()
 
 
+def test_counts_above_32_bits():
+    """Two batches' counts of a word sum to more than 2^32; no count is cut short in silence."""
+    key = language_model._steps(np.array([7], np.uint64))
+    many = language_model.packed(np.array([2**32 + 7], np.uint64), language_model.COUNT_BYTES)
+    rows = pd.DataFrame({"bucket": [0, 0], "batch": [1, 2], "words": [key] * 2, "train": [many] * 2, "kept": [many] * 2, "pairs": [key] * 2, "times": [many] * 2})
+    out = language_model._answers(rows)
+    for name in ("train", "kept", "times"):
+        assert [language_model.unpacked(x, language_model.COUNT_BYTES).tolist() for x in out[name][:2]] == [[2**33 + 14]] * 2
+    assert out["all_train"].iloc[-1] == 2**33 + 14
+    with pytest.raises(OverflowError):
+        language_model.packed(np.array([2**48], np.uint64), language_model.COUNT_BYTES)
+
+
 def test_em_finds_the_mixture():
     rng = np.random.default_rng(1)
     high, low = np.array([0.8, 0.2]), np.array([0.3, 0.7])
@@ -331,6 +352,35 @@ def test_blocks():
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<") [0].text == "<" and html_blocks.blocks("<p") [0].text.startswith("<")
 
 
+@pytest.mark.parametrize("tail", ["", ">", '">', "'>"])
+@pytest.mark.parametrize("unit", ["<a", '<a "', "<a ", "<!-", "<p x='", "<a \"'>'", "</a ", "</script ", "<script>", "<title>x", "&#9"])
+def test_malformed_pages_take_linear_time(unit, tail):
+    times = []
+    for n in (125_000, 500_000):
+        page = unit * (n // len(unit)) + tail
+        began = time.process_time()
+        html_blocks.blocks(page)
+        times.append(time.process_time() - began)
+    assert times[1] < 5 and times[1] < 12 * times[0] + 0.2
+
+
+def test_scanner_on_quotes_and_brackets():
+    def cut(page):
+        scanner, at, out = html_blocks.Scanner(page), 0, []
+        while at < len(page):
+            part = scanner.part(at)
+            out.append((page[at : part.end], part.text, part.tag, part.closes))
+            at = part.end
+        return out
+
+    assert cut("<p title='x>y'>a</p>") == [("<p title='x>y'>", None, "p", False), ("a", "a", None, False), ("</p>", None, "p", True)]
+    assert cut("<p 'x>y") == [("<p 'x>", None, "p", False), ("y", "y", None, False)]
+    assert cut("</p 'x>y") == [("</p 'x>", None, None, False), ("y", "y", None, False)]
+    assert cut("<a <b") == [("<", "<", None, False), ("a ", "a ", None, False), ("<", "<", None, False), ("b", "b", None, False)]
+    assert cut("<!-- a > b -->c<!-- d") == [("<!-- a > b -->", None, None, False), ("c", "c", None, False), ("<!-- d", None, None, False)]
+    assert html_blocks.blocks("a&#" + "9" * 5000 + ";b")[0].text == "a\ufffdb"
+
+
 def test_deep_pages_take_linear_memory():
     n = 64_000
     tracemalloc.start()
