@@ -123,7 +123,8 @@ def clustered(sequences: DataFrame, *, k: int = 12, m: int = 20, identity: float
     """
     copies = staged(copies_of(sequences), "copies")
     kmers = kmer_members(sequences, k, m).join(copies.where("id = first").select("id"), "id", "left_semi")
-    links = staged(confirmed(candidates(staged(kmers, "kmers"), cover), sequences, identity, cover, band), "links")
+    pairs = staged(candidates(staged(kmers, "kmers"), cover), "pairs")  # few, then texts come to them without a shuffle
+    links = staged(confirmed(pairs, sequences, identity, cover, band), "links")
     own = longest_first(links).groupBy("member").agg(F.min_by(F.struct("centre", "identity"), F.struct(-F.col("n_centre"), F.col("centre"))).alias("to"))
     first = copies.join(own, F.col("first") == F.col("member"), "left")
     first = first.select("id", F.coalesce("to.centre", "first").alias("representative"), F.coalesce("to.identity", F.lit(1.0)).alias("identity"))
