@@ -9,15 +9,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.evaluate import evaluate
+from plumbline.evaluate import asked, evaluate
 from plumbline.functions import parsing
 from plumbline.operators import heads
 from plumbline.operators import metrics as m
-from plumbline.operators import solver
+from plumbline.operators import pictures, solver
 from plumbline.plans.metric_queries import AUROC, RANKS, rounded
 from plumbline.plans.registry import query
 from plumbline.sources import databases, readers, sinks
-from plumbline.sources.staging import scratch
+from plumbline.sources.staging import scratch, staged
 from plumbline.streaming import scorecard
 
 KEYS = ["model", "task"]
@@ -195,10 +195,39 @@ def e9(t):
     return rounded(card.select("model", "task", "orient", "n", "auroc"), "auroc")
 
 
-@query("q_e4_task_registry", "SELECT 'admet/a' AS task, 'pairs' AS kind, 'oppose' AS orient, 0.9::DOUBLE AS ceiling UNION ALL SELECT 'graph/b', 'twocol', 'align', NULL")
+@query("q_e4_task_registry", """SELECT id, k.task, kind, orient, CASE orient WHEN 'oppose' THEN 1 - label ELSE label END AS label, replace(prompt, '{rep}', 'item ' || id) AS prompt
+FROM items JOIN (VALUES ('en', 'pairs', 'oppose', 'Is {rep} good?'), ('fr', 'twocol', 'align', '{rep}: yes or no?')) k(task, kind, orient, prompt) ON items.task = k.task WHERE label IS NOT NULL""", "items")
 def e4(t):
-    tasks = [solver.TaskSpec("admet/a", orient="oppose", ceiling=0.9), solver.TaskSpec("graph/b", "twocol")]
-    return solver.task_table(t.spark, tasks).select("task", "kind", "orient", "ceiling")
+    tasks = [solver.TaskSpec("en", orient="oppose", prompt="Is {rep} good?"), solver.TaskSpec("fr", "twocol", prompt="{rep}: yes or no?")]
+    items = t.items.select("id", "task", F.concat(F.lit("item "), "id").alias("representation"), "label", F.lit(None).cast("string").alias("condition"))
+    kinds = F.broadcast(solver.task_table(t.spark, tasks).select("task", "kind"))
+    return asked(items, tasks, 2 * 10**9, 0).join(kinds, "task").select("id", "task", "kind", "orient", "label", "prompt")
+
+
+@query("q_s9_arrays", "SELECT vec_id AS id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total, len(embedding) AS size FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0")
+def s9(t):
+    known = t.embeddings.where(F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", lambda x: x.isNotNull()))
+    files = staged(sinks.npz_files(known.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), "embedding"), {"id": "int64", "label": "int64", "embedding": "float32"}), "arrays")
+    rows = readers.npz_contents(files, "id long, label long, embedding array<float>")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("id", "label", F.round(total, 4).alias("total"), F.size("embedding").alias("size"))
+
+
+@query("q_m8_pixels", """WITH p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, 128 + 64 * x::DOUBLE)))::INT) AS s FROM embeddings
+  WHERE len(embedding) > 0 AND len(embedding) % 8 = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT id, 0 AS channel, s FROM p UNION ALL SELECT id, 1, list_transform(s, lambda x: 255 - x) FROM p UNION ALL SELECT id, 2, list_transform(s, lambda x: x * 7 % 256) FROM p)
+SELECT id, channel, 8 AS width, len(s) // 8 AS height, round(list_avg(s) / 255, 6) AS mean, round(list_aggregate(s, 'stddev_pop') / 255, 6) AS deviation,
+  round(list_median(s) / 255, 6) AS median, len(list_filter(s, lambda x: x < 128)) AS dark FROM c""")
+def m8(t):
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("embedding") > 0) & (F.size("embedding") % 8 == 0)
+    sample = F.transform("embedding", lambda x: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), 128 + 64 * x.cast("double")))).cast("int"))
+    grey = t.embeddings.where(sound).select(F.col("vec_id").alias("id"), sample.alias("s"))
+    colours = grey.select("id", F.flatten(F.transform("s", lambda x: F.array(x, 255 - x, x * 7 % 256))).alias("samples"))
+    found = pictures.pixel_statistics(staged(pictures.drawn(colours, "samples", 8).select("id", "content"), "pictures"), bins=2)
+    each = found.where("status = 'ok'").withColumn("channel", F.explode(F.array(*map(F.lit, range(3)))))
+    at = lambda name, k: F.get(name, k)
+    values = {"mean": at("mean", F.col("channel")), "deviation": at("deviation", F.col("channel")), "median": at("quartiles", 3 * F.col("channel") + 1)}
+    return each.select("id", "channel", "width", "height", *[F.round(v, 6).alias(n) for n, v in values.items()], at("histogram", 2 * F.col("channel")).alias("dark"))
 
 
 @query("q_stream_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

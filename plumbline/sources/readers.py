@@ -101,7 +101,12 @@ def jdbc_rows(spark: SparkSession, url: str, table: str, **options) -> DataFrame
 
 
 def npz_rows(spark: SparkSession, pattern: str, columns: str) -> DataFrame:
-    """path, i, and the i-th row of each named array of compressed array files: numbers, or lists of them.
+    """path, i, and the i-th row of each named array of compressed array files; see ``npz_contents``."""
+    return npz_contents(spark.read.format("binaryFile").load(pattern), columns)
+
+
+def npz_contents(files: DataFrame, columns: str) -> DataFrame:
+    """path, i, and the i-th row of each named array, numbers or lists of them, of files given as path and content.
 
     columns: a schema of the arrays wanted, such as ``X array<float>, y int``; their first dimensions are equal.  A file is
     read whole by one task.
@@ -115,4 +120,4 @@ def npz_rows(spark: SparkSession, pattern: str, columns: str) -> DataFrame:
                     arrays = {n: list(held[n]) for n in names}
                 yield pd.DataFrame({"path": path, "i": range(len(arrays[names[0]])), **arrays})
 
-    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(rows, f"path string, i long, {columns}")
+    return files.select("path", "content").mapInPandas(rows, f"path string, i long, {columns}")

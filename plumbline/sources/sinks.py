@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +61,20 @@ def dataset_card(df: DataFrame, name: str, description: str) -> str:
     n, total = df.agg(F.count("*"), F.sum(part)).first()
     fields = [{"name": f.name, "dataType": f.dataType.simpleString()} for f in df.schema.fields]
     return json.dumps({"@type": "Dataset", "name": name, "description": description, "rows": n, "digest": str(total or 0), "field": fields}, sort_keys=True)
+
+
+def npz_files(df: DataFrame, arrays: dict[str, str], rows: int = 10_000) -> DataFrame:
+    """path and content of compressed array files: each holds the columns of up to so many rows, as arrays of these types.
+
+    The frame is what a sink writes, or a reader of contents takes; no column of it may be null.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at : at + rows]
+                held = io.BytesIO()
+                np.savez_compressed(held, **{c: np.array(part[c].tolist(), kind) for c, kind in arrays.items()})
+                yield pd.DataFrame({"path": [f"{uuid.uuid4().hex}.npz"], "content": [held.getvalue()]})
+
+    return df.select(*arrays).mapInPandas(pack, "path string, content binary")

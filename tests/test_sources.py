@@ -6,10 +6,13 @@ import urllib.parse
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from plumbline.functions import pixels
+from plumbline.operators import pictures
 from plumbline.plans import source_queries
 from plumbline.plans.tables import Tables
 from plumbline.sources import counts, databases
@@ -102,3 +105,36 @@ def test_conditions_are_the_databases():
 def test_three_way_join_is_the_databases(spark):
     found = source_queries.s3(Tables(spark, SF))
     assert "databases" in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
+
+
+# ---- pictures ---------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("samples", [1, 2, 3, 4])
+def test_pictures_come_back_under_every_filter(samples):
+    rng = np.random.default_rng(samples)
+    for shape in ((1, 1), (7, 5), (16, 16)):
+        picture = rng.integers(0, 256, (*shape, samples)).astype(np.uint8)
+        found = pixels.decoded(pixels.encoded(picture, (0, 1, 2, 3, 4)))
+        want = picture if samples > 2 else np.concatenate((np.repeat(picture[:, :, :1], 3, axis=2), picture[:, :, 1:]), axis=2)
+        assert (found == want).all()
+
+
+def test_statistics_of_files(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    pictures_ = {f"{k}.png": rng.integers(0, 256, (6 + k, 9, 3)).astype(np.uint8) for k in range(4)}
+    for name, p in pictures_.items():
+        (tmp_path / name).write_bytes(pixels.encoded(p, (4, 3, 1)))
+    (tmp_path / "bad.png").write_bytes(b"\x89PNG\r\n\x1a\nxx")
+    (tmp_path / "text.png").write_bytes(b"hello")
+    (tmp_path / "cut.png").write_bytes(pixels.encoded(pictures_["0.png"])[:-30])
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/*.png").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    out = {r.name: r for r in pictures.pixel_statistics(files, bins=4, grid=2).drop("content").collect()}
+    assert {n: r.status for n, r in out.items() if r.status != "ok"}.keys() == {"bad.png", "text.png", "cut.png"} and out["text.png"].mean is None and out["cut.png"].width is None
+    for name, p in pictures_.items():
+        flat = p.reshape(-1, 3) / 255
+        r = out[name]
+        assert (r.height, r.width) == p.shape[:2] and r.mean == pytest.approx(flat.mean(0)) and r.deviation == pytest.approx(flat.std(0))
+        assert r.quartiles == pytest.approx([np.percentile(flat[:, c], q) for c in range(3) for q in (25, 50, 75)])
+        assert r.histogram == [int(((p[:, :, c] // 64) == k).sum()) for c in range(3) for k in range(4)]
+        assert r.patches[:3] == pytest.approx(p[: -(-p.shape[0] // 2), :5].reshape(-1, 3).mean(0) / 255) and len(r.patches) == 12
