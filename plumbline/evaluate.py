@@ -14,6 +14,7 @@ from plumbline.functions.hashing import shuffle_key
 from plumbline.functions.parsing import probability
 from plumbline.operators import metrics as m
 from plumbline.operators.relational import ranked, upsert
+from plumbline.operators.sampling import bootstrap_auroc, interval
 from plumbline.operators.solver import Providers, TaskSpec, solve, task_table
 from plumbline.sources.staging import staged
 
@@ -28,15 +29,26 @@ def asked(items: DataFrame, tasks: list[TaskSpec], n: int, seed: int) -> DataFra
     return drawn.drop("_rn", "_h").withColumns({"label": turned, "prompt": F.replace("prompt", F.lit("{rep}"), F.col("representation").cast("string"))})
 
 
-def scored(answers: DataFrame) -> DataFrame:
-    """A row for each task: n, auroc, ece, orient, web, of_ceiling, and memo_delta, by how much AUROC is higher on matched
-    items than on the others.  answers: task, condition, label, prob, orient, web, ceiling."""
+def scored(answers: DataFrame, reps: int = 200, seed: int = 0) -> DataFrame:
+    """A row for each task: n, auroc and its bootstrap interval auroc_lo to auroc_hi, ece, aurc, sel_acc_50 (accuracy on the
+    surer half), orient, web, of_ceiling, gap to the ceiling, and memo_delta, by how much AUROC is higher on matched items
+    than on the others.  answers: id, task, condition, label, prob, orient, web, ceiling.  Intervals and risks are of the
+    items with a probability."""
     about = answers.select("task", "orient", "web", "ceiling").distinct()
     matched = answers.where("condition = 'matched'")
     other = m.auroc(answers.where("condition <> 'matched'"), ["task"], name="_other")
     row = matched.groupBy("task").agg(F.count("*").alias("n")).join(m.auroc(matched, ["task"]), "task").join(m.ece_probability(matched, ["task"], name="ece"), "task")
+    known = staged(matched.where("prob is not null").select("task", "id", "label", "prob"), "known")
+    sure, right = F.abs(2 * F.col("prob") - 1), ((F.col("prob") > 0.5).cast("int") == F.col("label")).cast("int")
+    parts = [
+        interval(bootstrap_auroc(known, ["task"], reps, seed), ["task"], "auroc").withColumnsRenamed({"lo": "auroc_lo", "hi": "auroc_hi"}),
+        m.aurc(known, ["task"], sure, 1 - right),
+        m.selective_accuracy(known, ["task"], sure, right, name="sel_acc_50"),
+    ]
+    for part in parts:
+        row = row.join(part, "task", "left")
     row = row.join(about, "task").join(other, "task", "left").withColumn("memo_delta", F.col("auroc") - F.col("_other"))
-    return row.withColumn("of_ceiling", F.try_divide("auroc", "ceiling")).drop("_other", "ceiling")
+    return row.withColumns({"of_ceiling": F.try_divide("auroc", "ceiling"), "gap": F.col("ceiling") - F.col("auroc")}).drop("_other", "ceiling")
 
 
 def stamp(model: str, seed: int, n: int) -> dict[str, str]:
@@ -54,7 +66,7 @@ def evaluate(items: DataFrame, tasks: list[TaskSpec], model: str = "dry", n: int
     """
     spark = items.sparkSession
     answers = staged(solve(asked(items, tasks, n, seed), model, providers, **options).withColumn("prob", probability(F.col("answer"))), "answers")
-    card = scored(answers).withColumn("model", F.lit(model))
+    card = scored(answers, seed=seed).withColumn("model", F.lit(model))
     if folder is None:
         return card
     now = stamp(model, seed, n)

@@ -30,8 +30,10 @@ def test_a_run_is_scored_and_merged(spark, tmp_path):
     folder = str(tmp_path / "runs")
     one = evaluate(items(spark), [solver.TaskSpec("a", prompt="Is {rep}?", ceiling=0.5)], "wise", 40, 1, providers, folder).collect()
     assert [(r.model, r.task, r.auroc, r.of_ceiling, r.n) for r in one] == [("wise", "a", 1.0, 2.0, 30)] and one[0].memo_delta == 0.0
+    assert (one[0].auroc_lo, one[0].auroc_hi, one[0].aurc, one[0].sel_acc_50, one[0].gap) == (1.0, 1.0, 0.0, 1.0, -0.5)
     both = evaluate(items(spark), [solver.TaskSpec("b", orient="oppose")], "wise", 40, 1, providers, folder, workers=3).collect()
     assert sorted((r.task, r.auroc) for r in both) == [("a", 1.0), ("b", 0.0)]
+    assert {(r.task, r.aurc, r.sel_acc_50, r.auroc_hi) for r in both} == {("a", 0.0, 1.0, 1.0), ("b", 1.0, 0.0, 0.0)}
     stamps = spark.read.json(f"{folder}/run=*/manifest").collect()
     assert {r.model for r in stamps} == {"wise"} and all(r.commit and r.date_utc.endswith("Z") for r in stamps)
 
