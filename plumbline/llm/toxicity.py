@@ -34,6 +34,7 @@ LEAST_GAIN = 4  # bytes, of a window that is passed on
 MUCH = (3, 5, 7)  # bytes; windows that gain as much are counted
 TOP = 4
 FEATURES = TOP + len(MUCH) + 1
+COPIES = (1, 4, 16, 64)  # of the samples, tried in turn
 # segment and match lengths that the trainer looks for: word sequences at first, parts of words once samples are few
 COARSE, FINE = {"k": 16, "d": 8}, ({"k": 6, "d": 6}, {"k": 8, "d": 6})
 # tables for all positions of the dictionaries and an optimal parse: which matches are found then doesn't depend on chance
@@ -88,11 +89,16 @@ def score_text(text: str | None, model: ToxicityModel) -> float:
 
 
 def train(parts: list[bytes], size: int, how: dict[str, int]) -> bytes:
-    """A dictionary of these samples; too few to train on are its content themselves."""
-    try:
-        return zstandard.train_dictionary(size, parts, **how).as_bytes()
-    except zstandard.ZstdError:
-        return b" ".join(parts)[-size:] or b" " * 8
+    """A dictionary trained on these samples; where they are too few for it, on each of them as often as it takes.
+
+    Samples of a few bytes, which no number of copies makes enough, are its content themselves.
+    """
+    for times in COPIES:
+        try:
+            return zstandard.train_dictionary(size, parts * times, **how).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return b" ".join(parts)[-size:] or b" " * 8
 
 
 def _distinct(texts: list[str]) -> list[bytes]:
