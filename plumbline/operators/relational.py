@@ -227,9 +227,14 @@ def anonymized(df: DataFrame, column: str, prefix: str, name: str | None = None)
 
 
 def sections(df: DataFrame, keys: list[str], order: list[str], header: Column, name: str = "section") -> DataFrame:
-    """df with the number of headers up to each row of its group."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(header.cast("int")).over(w))
+    """df with the number of headers up to each row of its group; a group may be dealt to many tasks, whose counts are carried on."""
+    return ranked(df, keys, order, "_rank", sums={name: F.coalesce(header, F.lit(False)).cast("long")}).drop("_rank")
+
+
+def to_common_length(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first rows of each group in this order, as many as the smallest group has; no group is gathered in a row or task."""
+    least = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
+    return ranked(df, keys, order, "_rank").join(F.broadcast(least)).where(F.col("_rank") <= F.col("_least")).drop("_rank", "_least")
 
 
 def best_within_budgets(df: DataFrame, order: Column, reward: str, budgets: list[int], m: int, key: str = "id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import parsing as p
 from plumbline.functions import perturbation as x
 from plumbline.functions import sequences as s
+from plumbline.operators import relational as r
 from plumbline.plans.metric_queries import rounded
 from plumbline.plans.registry import query
 
@@ -115,12 +116,10 @@ def f18(t):
 
 @query("q_f19_series_common_length", """+ v AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY ALL) SELECTING SELECT user_id, round(list_sum(v[1:(SELECT min(len(v)) FROM v)]), 4) AS head_sum FROM v""")
 def f19(t):
-    rows = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    text = rows.select("user_id", F.array_join(F.transform("v", lambda e: e["value"].cast("string")), " ").alias("text"))
-    parsed = text.select("user_id", s.series(F.col("text")).alias("v"))
-    shortest = parsed.agg(F.min(F.size("v")).alias("n"))
-    cut = parsed.join(F.broadcast(shortest)).select("user_id", F.slice("v", F.lit(1), F.col("n")).alias("v"))
-    return cut.select("user_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 4).alias("head_sum"))
+    text = t.events.select("user_id", "ts", "event_id", F.col("value").cast("string").alias("text"))
+    values = text.withColumn("value", F.get(s.series(F.col("text")), 0)).drop("text")
+    head = r.to_common_length(values, ["user_id"], ["ts", "event_id"])
+    return head.groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("head_sum"))
 
 
 @query("q_f20_histogram", "SELECT event_type, CASE WHEN value = 220 THEN 39 ELSE floor(value / 5.5)::BIGINT END AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 220 GROUP BY ALL")

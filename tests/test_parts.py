@@ -145,3 +145,13 @@ def test_percentiles_are_exact(spark):
     shares = [0.0, 1 / 3, 0.5, 0.9, 1.0]
     out = {row.k: row.p for row in r.percentiles(df, ["k"], "v", shares, "p").collect()}
     assert set(out) == set(data) and all(out[k] == pytest.approx(np.quantile(x, shares).tolist()) for k, x in data.items())
+
+
+def test_one_long_group_is_dealt_to_many_tasks(spark):
+    rows = spark.range(20_000).select(F.lit("all").alias("g"), F.col("id").alias("at"), (F.col("id") % 7 == 0).alias("head")).unionByName(
+        spark.createDataFrame([("few", 1, True), ("few", 2, None), ("few", 3, False)], "g string, at long, head boolean")
+    )
+    out = r.sections(rows, ["g"], ["at"], F.col("head")).withColumn("part", F.spark_partition_id())
+    assert out.where("g = 'all'").select("part").distinct().count() > 1
+    assert out.where("(g = 'all' and section <> floor(at / 7) + 1) or (g = 'few' and section <> 1)").isEmpty() and out.count() == 20_003
+    assert sorted((x.g, x.at) for x in r.to_common_length(rows, ["g"], ["at"]).collect()) == [("all", 0), ("all", 1), ("all", 2), ("few", 1), ("few", 2), ("few", 3)]
