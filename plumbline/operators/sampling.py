@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import md5_number, shuffle_key
@@ -162,3 +165,67 @@ def pass_rate_difference(a: DataFrame, b: DataFrame, reps: int, seed, group: str
         return drawn.join(sums, group).groupBy("rep").agg((F.sum(F.col("m") * F.col("k")) / F.sum(F.col("m") * F.col("n"))).alias(name))
 
     return arm(a, "a").join(arm(b, "b"), "rep").select("rep", (F.col("a") - F.col("b")).alias("diff"))
+
+
+# ---- bootstrap without a row for each draw ----------------------------------------------------------------------
+
+SCORES_A_BLOCK = 4096
+
+
+def draws_before(bounds: np.ndarray, n: int, reps: int, seed: tuple[int, ...]) -> np.ndarray:
+    """For each place in ``bounds`` (rising, 0 to n) and each replicate, how many of n draws from n units are of units before it.
+
+    The draws are split down a tree over the units: those of an interval fall into its first half binomially.  An interval's
+    split depends on the seed and its ends alone, so any task that asks about a place is told the same, and the counts of
+    all units are multinomial together.  Only intervals with a place inside are split.
+    """
+    out = np.zeros((len(bounds), reps), np.int64)
+    out[bounds >= n] = n
+    stack = [(0, n, np.full(reps, n), np.zeros(reps, np.int64))]
+    while stack:
+        low, high, count, before = stack.pop()
+        first, last = np.searchsorted(bounds, [low, high])
+        first += int(np.searchsorted(bounds[first:last], low, "right"))  # places at its start are known
+        if first == last:
+            continue
+        middle = (low + high) // 2
+        left = np.random.default_rng([*seed, low, high]).binomial(count, (middle - low) / (high - low))
+        here = np.searchsorted(bounds, [middle, middle + 1])
+        out[here[0] : here[1]] = before + left
+        stack += [(low, middle, left, before), (middle, high, count - left, before + left)]
+    return out
+
+
+def split_bootstrap_auroc(df: DataFrame, keys: list[str], reps: int, seed: int, score: str = "prob", label: str = "label") -> DataFrame:
+    """keys, rep, auroc: of each replicate, rows being drawn one by one with replacement.
+
+    Rows of equal score and label are exchangeable, so only counts by distinct score are ranked; blocks of them draw how
+    often each is in all replicates, and give a row for each replicate.  No exchange has more rows than ``df``, or than
+    blocks times replicates.  A group with one class has null.
+    """
+    from plumbline.operators.metrics import by_score, ratio
+
+    counts = by_score(df, keys, score, label)
+    upto = ranked(counts, keys, ["s"], "_rank", sums={"_upto": F.col("n")})
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    same = [upto[k].eqNullSafe(sizes[k]) for k in keys]
+    rows = upto.join(sizes, reduce(lambda a, b: a & b, same, F.lit(True))) if keys else upto.join(F.broadcast(sizes))
+    key = F.xxhash64(F.lit(seed), *[upto[k] for k in keys])
+    rows = rows.select(*[upto[k].alias(k) for k in keys], key.alias("_key"), F.expr(f"(_rank - 1) div {SCORES_A_BLOCK}").alias("_block"), (F.col("_upto") - F.col("n")).alias("_at"), "pos", "n", "_all")
+
+    def drawn(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_at")
+        at, pos, n = (block[c].to_numpy(np.int64) for c in ("_at", "pos", "n"))
+        bounds = np.concatenate((np.column_stack((at, at + pos)).ravel(), [at[-1] + n[-1]]))
+        places, back = np.unique(bounds, return_inverse=True)
+        before = draws_before(places, int(block["_all"].iloc[0]), reps, (int(block["_key"].iloc[0]) & 0xFFFFFFFFFFFFFFFF,))[back]
+        p, q = np.diff(before, axis=0)[::2], np.diff(before, axis=0)[1::2]
+        lower = np.cumsum(q, axis=0) - q
+        found = {k: block[k].iloc[0] for k in [*keys, "_block"]}
+        return pd.DataFrame(found | {"rep": np.arange(reps), "_p": p.sum(0), "_q": q.sum(0), "_won": (p * (lower + q / 2)).sum(0)})
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    blocks = rows.groupBy(*keys, "_block").applyInPandas(drawn, f"{kinds + ', ' if kinds else ''}_block bigint, rep int, _p bigint, _q bigint, _won double")
+    below = F.sum("_q").over(Window.partitionBy(*keys, "rep").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    sums = blocks.withColumn("_won", F.col("_won") + F.col("_p") * F.coalesce(below, F.lit(0))).groupBy(*keys, "rep").agg(*[F.sum(c).cast("double").alias(c) for c in ("_won", "_p", "_q")])
+    return sums.select(*keys, "rep", ratio(F.col("_won"), F.col("_p") * F.col("_q")).alias("auroc"))

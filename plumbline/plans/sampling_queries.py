@@ -145,3 +145,9 @@ def o1(t):
     return r.ranked(t.preds.withColumn("_c", -F.col("conf")), ["model"], ["_c", "id"], "k").select("model", "id", F.col("k").cast("long").alias("k"))
 
 
+
+
+@query("q_x20_split_draws")
+def x20_split(t):
+    known = t.preds.where("prob is not null and label is not null").select("model", "prob", "label")
+    return rounded(x.interval(x.split_bootstrap_auroc(known, ["model"], 200, 20), ["model"], "auroc"), "lo", "hi")
