@@ -34,6 +34,7 @@ EXTEND = WINDOW_LINES - 2  # a window's chunk has no more lines beside it
 
 _STEP, _ALL = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
 
+BROADCAST_IDS = 4_000_000  # of documents whose texts are read again, some 64 MB; more are shuffled with the texts
 LEAST_SHARE, MOST_SHARES = 50_000, 2_000  # of a chunk's occurrences that meet in one task: a MOST_SHARES-th of all, or LEAST_SHARE
 
 FIRST = ("chunk", "before", "after")  # of a chunk's first occurrence
@@ -199,7 +200,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     hot = F.broadcast(repeated.where(F.col("n") > share).select("k1", "k2", F.ceil(F.col("n") / share).cast("int").alias("deals")))  # MOST_SHARES rows at most
     # the text of each first occurrence: the documents that have one are read again
     wanted = repeated.select(F.col("first.id").alias("id"), F.col("first.line").alias("line"), "k1", "k2")
-    source = docs.join(wanted.select("id").distinct(), "id", "left_semi")
+    ids = written(wanted.select("id").distinct(), "chunks-wanted")
+    source = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     texts = source.mapInPandas(
         _chunk_rows(True), f"{CHUNK_ROW}, chunk string, before array<string>, after array<string>"
     ).join(wanted, ["id", "line", "k1", "k2"], "left_semi")
