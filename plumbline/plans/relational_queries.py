@@ -162,8 +162,7 @@ def j3(t):
 
 @query("q_j4_first_matching", """SELECT c_custkey, arg_min(s_suppkey, s_suppkey) AS s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal GROUP BY c_custkey""")
 def j4(t):
-    met = t.customer.join(t.supplier, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") < F.col("s_acctbal")))
-    return met.groupBy("c_custkey").agg(F.min_by("s_suppkey", "s_suppkey").alias("s_suppkey"))
+    return r.least_above(t.customer, "c_custkey", "c_nationkey", "c_acctbal", t.supplier, "s_suppkey", "s_nationkey", "s_acctbal")
 
 
 @query("q_j5_attach_score", """SELECT p_partkey, p_size, max(l_extendedprice) AS score FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = p_size % 7 WHERE p_size <= 20 GROUP BY ALL""")

@@ -1,5 +1,7 @@
 """Steps that grew faster than their input, or lost exactness with it."""
 
+import random
+
 from plumbline.operators import relational
 
 
@@ -8,3 +10,29 @@ def test_percentiles_between_equal_values_are_that_value(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     for row in relational.percentiles(df, ["g"], "v", [0.9, 1 / 3, 2 / 3]).collect():
         assert row.percentiles == [float(row.g.split(":")[1])] * 3
+
+
+def test_least_above_is_brute_force(spark):
+    rng = random.Random(4)
+    pick = lambda: None if rng.random() < 0.05 else float(rng.randrange(12)) / 2
+    a = [(rng.choice([None, *range(40)]), rng.choice([None, 1, 2, 3]), pick()) for _ in range(150)]
+    b = [(None if rng.random() < 0.2 else k, rng.choice([None, 1, 2]), pick()) for k in range(25)] + [(None, 3, 9.0)]
+    left, right = spark.createDataFrame(a, "k int, g int, v double"), spark.createDataFrame(b, "s int, h int, w double")
+    want: dict = {}
+    for k, g, v in a:
+        for s, h, w in b:
+            if None not in (g, h, v, w) and g == h and v < w:
+                want.setdefault(k, []).append(s)
+    want = {k: min((s for s in found if s is not None), default=None) for k, found in want.items()}
+    assert {r.k: r.s for r in relational.least_above(left, "k", "g", "v", right, "s", "h", "w").collect()} == want
+
+
+def test_first_matching_makes_no_pairs(spark, tmp_path):
+    from plumbline.plans import catalog
+
+    n = 4000
+    spark.range(n).selectExpr("id c_custkey", "1 c_nationkey", "double(id) c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(n).selectExpr("id s_suppkey", "1 s_nationkey", "double(id) s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = catalog.QUERIES["q_j4_first_matching"](spark, str(tmp_path))
+    assert found.where("s_suppkey = c_custkey + 1").count() == found.count() == n - 1
+    assert found._jdf.queryExecution().analyzed().toString().count("c_nationkey") == 0  # both come from the ranked table
