@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def kmers(text: Column, k: int) -> Column:
     """Every k consecutive characters; none of a shorter text."""
-    every = F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substr(text, i, F.lit(k)))
-    return F.when(F.length(text) >= k, every).otherwise(F.array().cast("array<string>"))
+    # one pass: a character is taken, with what stands from it on; substr would seek each place from the start
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)), F.array().cast("array<string>"))
 
 
 def kmer_counts(df: DataFrame, keys: list[str], text: str, k: int) -> DataFrame:

@@ -1,7 +1,11 @@
 """Steps that grew faster than their input, or lost exactness with it."""
 
 import random
+import time
 
+from pyspark.sql import functions as F
+
+from plumbline.functions.sequences import kmers
 from plumbline.operators import relational
 
 
@@ -36,3 +40,14 @@ def test_first_matching_makes_no_pairs(spark, tmp_path):
     found = catalog.QUERIES["q_j4_first_matching"](spark, str(tmp_path))
     assert found.where("s_suppkey = c_custkey + 1").count() == found.count() == n - 1
     assert found._jdf.queryExecution().analyzed().toString().count("c_nationkey") == 0  # both come from the ranked table
+
+
+def test_kmers_are_brute_force_and_linear(spark):
+    texts = ["", "ab", "abc", "a\nb\r\nc", "héllo \U0001f600\U0001f601 x", None, " aáb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for k in (1, 2, 3):
+        assert [r[0] for r in df.select(kmers(F.col("t"), k)).collect()] == [[t[i : i + k] for i in range(len(t) - k + 1)] if t else [] for t in texts]
+    long = spark.range(1).select(F.repeat(F.lit("abcd efg"), 40_000).alias("t"))
+    began = time.perf_counter()
+    assert long.select(F.size(kmers(F.lower("t"), 3))).first()[0] == 319_998
+    assert time.perf_counter() - began < 20
