@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import md5_number, shuffle_key
 from plumbline.operators.relational import ranked
+from plumbline.sources.staging import staged
 
 
 def _in_hash_order(df: DataFrame, keys: list[str], seed, key: str) -> DataFrame:
@@ -124,14 +125,30 @@ def reserved_examples(df: DataFrame, k: int, seed, key: str = "id", label: str =
 # ---- bootstrap --------------------------------------------------------------------------------------------------
 
 
-def multiplicities(units: DataFrame, keys: list[str], unit: str, reps: int, seed) -> DataFrame:
-    """keys, rep, unit, m: how often each unit is drawn in each replicate of its group, with replacement."""
-    numbers = ranked(units, keys, [unit], "_rank", total="_n")
+DRAWS_A_TASK = 1_000_000
+
+
+def _drawn(units: DataFrame, keys: list[str], unit: str, reps: int, seed) -> tuple[DataFrame, DataFrame, bool]:
+    """keys, unit, _rank: the units, numbered within their group; keys, rep, _rank, m: how often each number is drawn; and
+    whether these are too many for one task.
+
+    Tasks are as many as the draws need at DRAWS_A_TASK each, both where draws are made and where they are counted.
+    """
+    numbers = staged(ranked(units, keys, [unit], "_rank", total="_n"), "units")
+    needed = -(-numbers.count() * reps // DRAWS_A_TASK)
+    tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), needed)
     # every unit makes one draw in each replicate
-    drawn = numbers.select(*keys, "_n", (F.col("_rank") - 1).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    making = numbers.select(*keys, "_n", (F.col("_rank") - 1).alias("_i")).repartition(tasks, *keys, "_i")
+    drawn = making.select(*keys, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     at = F.pmod(md5_number(seed, F.col("rep"), F.col("_i")), F.col("_n")) + 1
-    counts = drawn.withColumn("_rank", at).groupBy(*keys, "rep", "_rank").agg(F.count("*").alias("m"))
-    return counts.join(numbers.drop("_n"), [*keys, "_rank"]).select(*keys, "rep", unit, "m")
+    counts = drawn.select(*keys, "rep", at.alias("_rank")).repartition(tasks, *keys, "_rank").groupBy(*keys, "rep", "_rank").agg(F.count("*").alias("m"))
+    return numbers.drop("_n"), counts, needed > 1
+
+
+def multiplicities(units: DataFrame, keys: list[str], unit: str, reps: int, seed) -> DataFrame:
+    """keys, rep, unit, m: how often each unit is drawn in each replicate of its group, with replacement."""
+    numbers, counts, _ = _drawn(units, keys, unit, reps, seed)
+    return counts.join(numbers, [*keys, "_rank"]).select(*keys, "rep", unit, "m")
 
 
 def interval(values: DataFrame, keys: list[str], column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -145,8 +162,11 @@ Metric = Callable[[DataFrame, list[str], Column], DataFrame]  # (rows, keys, wei
 
 def bootstrap(df: DataFrame, keys: list[str], reps: int, seed, metric: Metric, unit: str = "id") -> DataFrame:
     """keys, rep and what ``metric`` gives of each replicate.  ``unit`` is what is drawn: a row's id, or its group."""
-    drawn = multiplicities(df.select(*keys, unit).distinct(), keys, unit, reps, seed)
-    return metric(df.join(drawn, [*keys, unit]), [*keys, "rep"], F.col("m"))
+    numbers, counts, many = _drawn(df.select(*keys, unit).distinct(), keys, unit, reps, seed)
+    placed = df.join(numbers, [*keys, unit])
+    # the size of files says little of that of counts: many are never broadcast, but stay in the tasks that made them
+    rows = counts.join(placed.hint("merge") if many else placed, [*keys, "_rank"]).drop("_rank")
+    return metric(rows, [*keys, "rep"], F.col("m"))
 
 
 def bootstrap_auroc(df: DataFrame, keys: list[str], reps: int, seed, score: str = "prob", label: str = "label", unit: str = "id") -> DataFrame:

@@ -51,3 +51,17 @@ def test_kmers_are_brute_force_and_linear(spark):
     began = time.perf_counter()
     assert long.select(F.size(kmers(F.lower("t"), 3))).first()[0] == 319_998
     assert time.perf_counter() - began < 20
+
+
+def test_draws_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    from plumbline.operators import sampling
+
+    df = spark.range(600).selectExpr("id", "id % 2 g", "id % 7 / 7D prob", "int(id % 3 = 0) label")
+    whole = sorted(map(tuple, sampling.bootstrap_auroc(df, ["g"], 10, 5).collect()))
+    monkeypatch.setattr(sampling, "DRAWS_A_TASK", 300)
+    _, counts, many = sampling._drawn(df.select("g", "id"), ["g"], "id", 10, 5)
+    sizes = counts.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.sum("m").alias("n")).collect()
+    assert many and counts.rdd.getNumPartitions() == 20 and max(r.n for r in sizes) < 1000 and sum(r.n for r in sizes) == 6000
+    again = sampling.bootstrap_auroc(df, ["g"], 10, 5)
+    assert sorted(map(tuple, again.collect())) == whole
+    assert "BuildLeft" not in again._jdf.queryExecution().executedPlan().toString()
