@@ -15,8 +15,9 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, HashingTF, Normalizer, StandardScaler
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +42,13 @@ def class_weights(df: DataFrame, label: str = "label", name: str = "weight") ->
 
 
 def linear_head(df: DataFrame, c: float = 1.0, label: str = "label") -> PipelineModel:
-    """Standardized logistic regression with balanced classes; its penalty is that of inverse strength c."""
+    """Standardized logistic regression with balanced classes; its penalty is that of inverse strength c.
+
+    Features are scaled but not centred, which the intercept, free of penalty, makes up for: so sparse ones stay sparse.
+    """
     data = class_weights(df, label)
     n = data.count()
-    scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True)
     fit = LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="weight", regParam=1 / (c * max(1, n)), standardization=False, maxIter=100)
     return Pipeline(stages=[scale, fit]).fit(data)
 
@@ -155,15 +159,13 @@ def hashed_ngrams(df: DataFrame, tokens: Column, size: int = 1024) -> DataFrame:
 
 def tf_idf(df: DataFrame, tokens: Column, least: int = 2, most: int = 3000) -> DataFrame:
     """df with term counts times ln((1 + n) / (1 + df)) + 1, normalized; terms of fewer than ``least`` documents are left out."""
-    data = df.withColumn("_t", tokens).withColumn("_row", F.monotonically_increasing_id())
+    data = df.withColumn("_t", tokens)
     model = CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=most, minDF=least).fit(data)
     counted = model.transform(data)
-    known = F.array(*[F.lit(w) for w in model.vocabulary]) if model.vocabulary else F.array().cast("array<string>")
-    seen = data.select(F.explode(F.array_intersect("_t", known)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # ``most`` rows at most
-    n, of = data.count(), {r.w: r.n for r in seen}
-    idf = F.array(*[F.lit(math.log((1 + n) / (1 + of.get(w, 0))) + 1) for w in model.vocabulary])
-    weighed = counted.withColumn("_v", array_to_vector(F.zip_with(vector_to_array("_c"), idf, lambda a, b: a * b)))
-    return Normalizer(inputCol="_v", outputCol="features").transform(weighed).drop("_t", "_row", "_c", "_v")
+    seen = IDF(inputCol="_c", outputCol="_v").fit(counted)
+    weights = [math.log((1 + seen.numDocs) / (1 + n)) + 1 for n in seen.docFreq]
+    weighed = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_c", outputCol="_v").transform(counted)  # sparse, as counts are
+    return Normalizer(inputCol="_v", outputCol="features").transform(weighed).drop("_t", "_c", "_v")
 
 
 def bag_of_tokens(df: DataFrame, tokens: Column, most: int = 2000) -> DataFrame:

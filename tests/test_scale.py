@@ -3,10 +3,13 @@
 import random
 import time
 
+import numpy as np
+import pytest
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from plumbline.functions.sequences import kmers
-from plumbline.operators import relational
+from plumbline.operators import heads, relational
 
 
 def test_percentiles_between_equal_values_are_that_value(spark):
@@ -53,6 +56,23 @@ def test_kmers_are_brute_force_and_linear(spark):
     assert time.perf_counter() - began < 20
 
 
+def test_tf_idf_and_its_scaling_stay_sparse(spark):
+    rows = [(k, f"a{k % 50} b{k % 7} c", k % 2) for k in range(200)]
+    df = heads.tf_idf(spark.createDataFrame(rows, "id int, text string, label int"), F.split("text", " "))
+    assert all(isinstance(r.features, SparseVector) and len(r.features.indices) <= 3 for r in df.collect())
+    model = heads.linear_head(df)
+    assert isinstance(model.transform(df).first().scaled, SparseVector)
+
+
+def test_uncentred_heads_are_those_of_centred_features(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)) + 5
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=300) > 0).astype(int)
+    to = lambda v: heads.vectors(spark.createDataFrame([(int(b), [float(c) for c in a]) for a, b in zip(v, y, strict=True)], "label int, v array<double>"), "v")
+    probs = [[r.prob for r in heads.score(heads.linear_head(d), d).collect()] for d in (to(x), to(x - x.mean(0)))]
+    assert probs[0] == pytest.approx(probs[1], abs=1e-4)
+
+
 def test_draws_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
     from plumbline.operators import sampling
 
