@@ -85,3 +85,14 @@ def test_draws_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
     again = sampling.bootstrap_auroc(df, ["g"], 10, 5)
     assert sorted(map(tuple, again.collect())) == whole
     assert "BuildLeft" not in again._jdf.queryExecution().executedPlan().toString()
+
+
+def test_graphs_are_read_once_and_by_all_tasks(spark):
+    from plumbline.operators import graphs
+
+    rows = [(k, None if k % 50 == 0 else "C" * (1 + k % 40)) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, t string").coalesce(1)
+    found = graphs.fingerprinted(df, "t")
+    assert sorted((r.id, r.t, r.bits is None) for r in found.collect()) == [(k, t, t is None) for k, t in rows]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Aggregate") < plan.index("RepartitionByExpression")
