@@ -246,9 +246,9 @@ def s3(t):
     buyers = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey").select("o_orderkey", "c_custkey", "c_mktsegment")
     tables = {"orders": orders, "lineitem": t.lineitem.select("l_orderkey", "l_quantity", "l_returnflag"), "customer": buyers}
     folder = scratch(t.spark, "database")
-    databases.write_databases(tables, {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "o_orderkey"}, folder, 8)
+    databases.write_databases(tables, {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "o_orderkey"}, folder, databases.files_for(t.orders, t.orders, t.lineitem))
     three = "SELECT o.o_orderkey, o_orderstatus, l_quantity, l_returnflag, c_custkey, c_mktsegment FROM lineitem l JOIN orders o ON l_orderkey = o.o_orderkey JOIN customer c ON c.o_orderkey = o.o_orderkey"
     where = [("o_orderstatus", "=", "F"), ("l_returnflag", "in", ["A", "R"]), ("c_mktsegment", "<>", "BUILDING")]
     columns = "o_orderkey long, o_orderstatus string, l_quantity double, l_returnflag string, c_custkey long, c_mktsegment string"
-    rows = databases.database_rows(t.spark, folder, three, "o_orderkey", columns, where)
+    rows = databases.database_rows(t.spark, folder, three, "o_orderkey", columns, where, rows_apart=0)
     return rows.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))

@@ -33,6 +33,14 @@ def local_path(folder: str) -> str:
     return folder.removeprefix("file://").removeprefix("file:")
 
 
+ROWS_A_FILE = 1_000_000
+
+
+def files_for(*tables: DataFrame, least: int = 8) -> int:
+    """So many files that one has ROWS_A_FILE rows of these tables, since each is written by one task."""
+    return max(least, -(-sum(df.count() for df in tables) // ROWS_A_FILE))
+
+
 def write_databases(tables: dict[str, DataFrame], keys: dict[str, str], folder: str, files: int) -> None:
     """Writes these tables into ``files`` database files, each row into that of its key's hash; an index on the key is made.
 
@@ -90,6 +98,9 @@ class DatabaseReader(DataSourceReader):
         each, out = int(self.options.get("rowsapart", self.options.get("rowsApart", 100_000))), []
         for name in sorted(n for n in os.listdir(at) if n.endswith(".db")):
             file = os.path.join(at, name)
+            if not each:
+                out.append(Range(file, None, None))
+                continue
             connection = sqlite3.connect(f"file:{file}?mode=ro", uri=True)
             low, high, n = connection.execute(f'SELECT min("{key}"), max("{key}"), count(*) FROM ({self.options["query"]})').fetchone()
             connection.close()
@@ -128,7 +139,7 @@ class DatabaseSource(DataSource):
     """Rows of a query that each file of a folder answers on its own.
 
     Options: folder; query, which may join tables of a file; key, a whole-number column of its result that tasks share out
-    by ranges; rowsApart, the rows of a task; where, a JSON list of conditions on the result.  The schema is given by the
+    by ranges; rowsApart, the rows of a task, or 0 for a task a file, which are then only read by tasks; where, a JSON list of conditions on the result.  The schema is given by the
     reader.
     """
 

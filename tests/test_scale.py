@@ -96,3 +96,12 @@ def test_graphs_are_read_once_and_by_all_tasks(spark):
     assert sorted((r.id, r.t, r.bits is None) for r in found.collect()) == [(k, t, t is None) for k, t in rows]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Aggregate") < plan.index("RepartitionByExpression")
+
+
+def test_database_files_follow_rows(spark, monkeypatch):
+    from plumbline.sources import databases
+
+    df = spark.range(1000)
+    assert databases.files_for(df, df) == 8
+    monkeypatch.setattr(databases, "ROWS_A_FILE", 100)
+    assert databases.files_for(df, df) == 20
