@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +15,35 @@ from plumbline.sources.staging import staged
 
 HOT_KEYS = 50_000  # at most so many k-mers, or digests, are broadcast
 COPIES = 32  # of a centre's sequence, at most, for its members to meet in as many tasks
+SLICE = 1 << 22  # bytes of a batch's sequences that are held as Python's own at once, or one row's
 
 
-def kmer_members(sequences: DataFrame, k: int, m: int) -> DataFrame:
-    """id, n (characters), kmer, at: the m smallest k-mer hashes of each sequence, and where they first stand."""
+def sliced(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts have about SLICE bytes; so a task's memory doesn't grow with how full its batches are."""
+    upto = np.zeros(batch.num_rows, np.int64)
+    for c in texts:
+        upto += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    ends = [*(np.flatnonzero(np.diff(np.cumsum(upto) // SLICE)) + 1).tolist(), batch.num_rows]
+    for start, end in zip([0, *ends], ends, strict=False):
+        if end > start:
+            yield batch.slice(start, end - start)
+
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("seq").to_pylist()
-            parts = [smallest_kmers(t or "", k, m) for t in texts]
-            times = np.array([len(h) for h, _ in parts])
-            of = pa.array(np.repeat(np.arange(len(texts)), times))
-            size = np.repeat(np.array([len(t or "") for t in texts], np.int64), times)
-            hashes, places = (np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, np.int64) for j in range(2))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), pa.array(size), pa.array(hashes), pa.array(places)], ["id", "n", "kmer", "at"])
+def _kmers(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in sliced(whole, "seq")):
+        texts = [t or "" for t in batch.column("seq").to_pylist()]
+        parts = [smallest_kmers(t, k, m) for t in texts]
+        times = np.array([len(h) for h, _ in parts])
+        of = pa.array(np.repeat(np.arange(len(texts)), times))
+        size = np.repeat(np.array([len(t) for t in texts], np.int64), times)
+        hashes, places = (np.concatenate([p[j] for p in parts]) for j in range(2))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(of), pa.array(size), pa.array(hashes), pa.array(places)], ["id", "n", "kmer", "at"])
 
+
+def kmer_members(sequences: DataFrame, k: int, m: int) -> DataFrame:
+    """id, n (characters), kmer, at: the m smallest k-mer hashes of each sequence, and where they first stand."""
     rows = sequences.select("id", "seq")
-    return rows.mapInArrow(found, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, kmer bigint, at bigint")
+    return rows.mapInArrow(lambda batches: _kmers(batches, k, m), f"id {rows.schema['id'].dataType.simpleString()}, n bigint, kmer bigint, at bigint")
 
 
 def _met(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -66,6 +79,17 @@ def candidates(kmers: DataFrame, cover: float = 0.0) -> DataFrame:
     return best.select(*pair, F.col("p.at").alias("at"), (F.col("p.at") - F.col("p.diagonal")).alias("at_centre"))
 
 
+def _aligned(batches: Iterator[pa.RecordBatch], identity: float, cover: float, band: int) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in sliced(whole, "a", "b")):
+        a, b = ([code_points(t) for t in batch.column(c).to_pylist()] for c in "ab")
+        rows = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if may_match(x, y, identity, cover)]
+        places = (batch.column(c).to_numpy()[rows] for c in ("at", "at_centre"))
+        found = extended([a[k] for k in rows], [b[k] for k in rows], *places, band, identity)
+        kept = batch.select(["member", "centre", "n_centre"]).take(pa.array(rows, pa.int64()))
+        scores = [pa.array(c) for c in np.ascontiguousarray(found.T)]
+        yield pa.RecordBatch.from_arrays([*kept.columns, *scores], ["member", "centre", "n_centre", "identity", "cover_member", "cover_centre"])
+
+
 def confirmed(pairs: DataFrame, sequences: DataFrame, identity: float, cover: float, band: int) -> DataFrame:
     """member, centre, n_centre, identity, cover_member, cover_centre of the pairs whose alignment reaches both bounds.
 
@@ -76,18 +100,8 @@ def confirmed(pairs: DataFrame, sequences: DataFrame, identity: float, cover: fl
     both = dealt.join(sequences.select(F.col("id").alias("member"), F.col("seq").alias("a")), "member")
     both = both.join(copies, ["centre", "copy"]).select("member", "centre", "n_centre", "at", "at_centre", "a", "b")
 
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([code_points(t) for t in batch.column(c).to_pylist()] for c in "ab")
-            rows = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if may_match(x, y, identity, cover)]
-            places = (batch.column(c).to_numpy()[rows] for c in ("at", "at_centre"))
-            found = extended([a[k] for k in rows], [b[k] for k in rows], *places, band, identity)
-            kept = batch.select(["member", "centre", "n_centre"]).take(pa.array(rows, pa.int64()))
-            scores = [pa.array(c) for c in np.ascontiguousarray(found.T)]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *scores], ["member", "centre", "n_centre", "identity", "cover_member", "cover_centre"])
-
     kind = pairs.schema["member"].dataType.simpleString()
-    out = both.mapInArrow(aligned, f"member {kind}, centre {kind}, n_centre bigint, identity double, cover_member double, cover_centre double")
+    out = both.mapInArrow(lambda batches: _aligned(batches, identity, cover, band), f"member {kind}, centre {kind}, n_centre bigint, identity double, cover_member double, cover_centre double")
     return out.where((F.col("identity") >= identity) & (F.col("cover_member") >= cover) & (F.col("cover_centre") >= cover))
 
 

@@ -1,6 +1,9 @@
 """Clustering of sequences, and graphs in line notation, against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.functions import alignment, notation
@@ -141,6 +144,52 @@ def test_clusters_are_brute_force(spark, monkeypatch):
     assert found == want and 40 <= len({c for c, _ in want.values()}) < 250
 
 
+def pairs_of(texts):
+    ids, zero = pa.array(range(len(texts)), pa.int64()), pa.array(np.zeros(len(texts), np.int64))
+    a, b = (pa.array([t[k] for t in texts], pa.string()) for k in range(2))
+    return pa.RecordBatch.from_arrays([ids, ids, zero, zero, zero, a, b], ["member", "centre", "n_centre", "at", "at_centre", "a", "b"])
+
+
+def rows_of(batches):
+    return [r for batch in batches for r in batch.to_pylist()]
+
+
+def test_batches_are_cut_by_the_bytes_of_their_texts(monkeypatch):
+    seqs = ["a" * 30, None, "é" * 20, "b" * 500, "", "c" * 90, "d" * 99, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(seqs))), pa.array(seqs)], ["id", "seq"])
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in rng.integers(20, 80, 30)]
+    pairs = pairs_of([(t, t[:k] + "G" + t[k + 1 :]) for t, k in zip(texts, rng.integers(0, 20, 30), strict=True)])
+    whole = rows_of(clustering._kmers(iter([batch]), 6, 5)), rows_of(clustering._aligned(iter([pairs]), 0.8, 0.5, 8))
+    monkeypatch.setattr(clustering, "SLICE", 100)
+    parts = list(clustering.sliced(batch, "seq"))
+    assert rows_of(parts) == batch.to_pylist() and len(parts) > 3
+    assert all(sum(len((t or "").encode()) for t in p.column("seq").to_pylist()[1:]) <= 100 for p in parts)
+    assert not list(clustering.sliced(batch.slice(0, 0), "seq")) and len(list(clustering.sliced(pairs, "a", "b"))) > 10
+    assert (rows_of(clustering._kmers(iter([batch]), 6, 5)), rows_of(clustering._aligned(iter([pairs]), 0.8, 0.5, 8))) == whole
+
+
+def test_a_full_batch_takes_the_memory_of_a_slice(monkeypatch):
+    texts = [("a" * 100_000, "b" * 100_000)] * 40
+    pairs = pairs_of(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pairs.column("a")], ["id", "seq"])
+
+    def peak(rows):
+        tracemalloc.start()
+        for _ in rows:
+            pass
+        out = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out
+
+    monkeypatch.setattr(clustering, "may_match", lambda *_: False)
+    monkeypatch.setattr(clustering, "smallest_kmers", lambda *_: (np.zeros(0, np.int64),) * 2)
+    for slice_bytes, most in ((1 << 40, None), (1_000_000, 8e6)):
+        monkeypatch.setattr(clustering, "SLICE", slice_bytes)
+        for took, all_at_once in ((peak(clustering._aligned(iter([pairs]), 0.9, 0.8, 8)), 32e6), (peak(clustering._kmers(iter([batch]), 6, 5)), 4e6)):
+            assert took >= all_at_once if most is None else took < min(most, all_at_once)
+
+
 def test_pairs_are_members_and_centres_only(spark):
     rows = [(k, "ACDEFGHIKLMNPQRSTVWY" + "AC" * (k % 3)) for k in range(300)]
     kmers = clustering.kmer_members(spark.createDataFrame(rows, "id long, seq string"), 6, 5)
