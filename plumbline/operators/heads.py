@@ -27,6 +27,7 @@ from plumbline.operators.metrics import auroc
 from plumbline.sources.staging import staged
 
 FITS_AT_ONCE = 4
+ROWS_A_TASK = 50_000
 
 
 def vectors(df: DataFrame, column: str, name: str = "features") -> DataFrame:
@@ -67,13 +68,22 @@ def score(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:
     return out.select(*df.columns, name)
 
 
+def few_parts(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, staged and read in as few tasks as they need, one a core at least where it has so many files.
+
+    Fits of many steps send the driver something from every task of every step, so these follow rows, not shuffle partitions.
+    """
+    rows = staged(df, name)
+    return rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK)))
+
+
 def out_of_fold(df: DataFrame, folds: int, head: Head = linear_head, fold: str = "fold", name: str = "prob") -> DataFrame:
     """df with each row's probability under a head that hasn't seen its fold."""
     first = df.select(F.size(vector_to_array("features")).alias("n")).first()
     if head is linear_head and first and first.n <= MOST_FEATURES:
         heads = fit(df, [Arm(F.col(fold) != k, F.col("label")) for k in range(folds)])
         return staged(scored(df, heads).withColumn(name, F.get("probs", F.col(fold))).drop("probs"), "out-of-fold")
-    held = df.persist()
+    held = few_parts(df, "folds").persist()
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
         parts = list(pool.map(lambda k: score(head(held.where(F.col(fold) != k)), held.where(F.col(fold) == k), name), range(folds)))
     done = staged(reduce(DataFrame.unionByName, parts), "out-of-fold")

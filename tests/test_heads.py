@@ -44,6 +44,21 @@ def test_out_of_fold_scores_signal_and_not_noise(spark):
     assert value(m.auroc(h.out_of_fold(d, 5, h.forest_head), [])) > 0.9
 
 
+def test_fits_of_many_steps_have_few_tasks(spark, monkeypatch):
+    d = points(spark).drop("v").withColumn("fold", F.col("id") % 2).repartition(64)
+    seen = []
+
+    def probe(df):
+        seen.append(df.rdd.getNumPartitions())
+        return h.linear_head(df)
+
+    assert sorted(r.id for r in h.out_of_fold(d, 2, probe).select("id").collect()) == list(range(400))
+    assert len(seen) == 2 and max(seen) <= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(h, "ROWS_A_TASK", 50)  # more rows, more tasks
+    more = h.few_parts(d, "parts")
+    assert more.rdd.getNumPartitions() <= 8 and sorted(map(str, more.collect())) == sorted(map(str, d.collect()))
+
+
 def test_gate_passes_signal_only(spark):
     d = s.shuffled_labels(points(spark).drop("v"), 3)
     row = h.gate(d, 3, F.col("id") % 3, F.col("grp") % 3, "shuffled").first()
