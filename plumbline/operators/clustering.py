@@ -31,13 +31,18 @@ def sliced(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
 
 def _kmers(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in sliced(whole, "seq")):
-        texts = [t or "" for t in batch.column("seq").to_pylist()]
-        parts = [smallest_kmers(t, k, m) for t in texts]
-        times = np.array([len(h) for h, _ in parts])
-        of = pa.array(np.repeat(np.arange(len(texts)), times))
-        size = np.repeat(np.array([len(t) for t in texts], np.int64), times)
-        hashes, places = (np.concatenate([p[j] for p in parts]) for j in range(2))
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(of), pa.array(size), pa.array(hashes), pa.array(places)], ["id", "n", "kmer", "at"])
+        yield _kmers_of(batch, k, m)
+
+
+def _kmers_of(batch: pa.RecordBatch, k: int, m: int) -> pa.RecordBatch:
+    """Of one slice; its texts go before the next slice's are made."""
+    texts = [t or "" for t in batch.column("seq").to_pylist()]
+    parts = [smallest_kmers(t, k, m) for t in texts]
+    times = np.array([len(h) for h, _ in parts])
+    of = pa.array(np.repeat(np.arange(len(texts)), times))
+    size = np.repeat(np.array([len(t) for t in texts], np.int64), times)
+    hashes, places = (np.concatenate([p[j] for p in parts]) for j in range(2))
+    return pa.RecordBatch.from_arrays([batch.column("id").take(of), pa.array(size), pa.array(hashes), pa.array(places)], ["id", "n", "kmer", "at"])
 
 
 def kmer_members(sequences: DataFrame, k: int, m: int) -> DataFrame:
@@ -81,13 +86,18 @@ def candidates(kmers: DataFrame, cover: float = 0.0) -> DataFrame:
 
 def _aligned(batches: Iterator[pa.RecordBatch], identity: float, cover: float, band: int) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in sliced(whole, "a", "b")):
-        a, b = ([code_points(t) for t in batch.column(c).to_pylist()] for c in "ab")
-        rows = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if may_match(x, y, identity, cover)]
-        places = (batch.column(c).to_numpy()[rows] for c in ("at", "at_centre"))
-        found = extended([a[k] for k in rows], [b[k] for k in rows], *places, band, identity)
-        kept = batch.select(["member", "centre", "n_centre"]).take(pa.array(rows, pa.int64()))
-        scores = [pa.array(c) for c in np.ascontiguousarray(found.T)]
-        yield pa.RecordBatch.from_arrays([*kept.columns, *scores], ["member", "centre", "n_centre", "identity", "cover_member", "cover_centre"])
+        yield _aligned_of(batch, identity, cover, band)
+
+
+def _aligned_of(batch: pa.RecordBatch, identity: float, cover: float, band: int) -> pa.RecordBatch:
+    """Of one slice; its texts go before the next slice's are made."""
+    a, b = ([code_points(t) for t in batch.column(c).to_pylist()] for c in "ab")
+    rows = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if may_match(x, y, identity, cover)]
+    places = (batch.column(c).to_numpy()[rows] for c in ("at", "at_centre"))
+    found = extended([a[k] for k in rows], [b[k] for k in rows], *places, band, identity)
+    kept = batch.select(["member", "centre", "n_centre"]).take(pa.array(rows, pa.int64()))
+    scores = [pa.array(c) for c in np.ascontiguousarray(found.T)]
+    return pa.RecordBatch.from_arrays([*kept.columns, *scores], ["member", "centre", "n_centre", "identity", "cover_member", "cover_centre"])
 
 
 def confirmed(pairs: DataFrame, sequences: DataFrame, identity: float, cover: float, band: int) -> DataFrame:
